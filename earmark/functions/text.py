@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from earmark.functions import fixed
@@ -10,6 +12,11 @@ _WS = f"(?U){fixed.WS}+"
 _EDGE = f"(?U)^{fixed.WS}+|{fixed.WS}+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE, "")
 
@@ -139,7 +146,8 @@ def longest_repeat(c: Column) -> Column:
     packed = F.regexp_replace(casefold(c), _WS, "")
     spans = [F.regexp_extract_all(packed, F.lit(r"(?s)((.)\2{11,})"), 1)]
     spans += [F.regexp_extract_all(packed, F.lit(rf"((.{{{width}}})\2{{7,}})"), 1) for width in range(2, 13)]
-    return F.coalesce(F.array_max(F.transform(F.concat(*spans), lambda span: F.length(span))), F.lit(0))
+    longest = F.coalesce(F.array_max(F.transform(F.concat(*spans), lambda span: F.length(span))), F.lit(0))
+    return F.when(F.regexp_like(packed, F.lit(r"(?s)(.{1,12}?)\1{7,}")), longest).otherwise(F.lit(0))
 
 
 def flat_list(c: Column) -> Column:

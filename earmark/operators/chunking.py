@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earmark.functions import fixed
-from earmark.functions.text import search_text, strip
+from earmark.functions.text import keyword_tokens, let, search_text, strip
 from earmark.functions.times import clock, end_or_start
 
 # Executors need not have this package installed: the group functions below are
@@ -45,7 +45,7 @@ def split_oversized(segments: DataFrame, max_chars: int = fixed.MAX_CHARS) -> Da
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def pack(state: Column, unit: Column) -> Column:
-        joined = F.btrim(F.concat(state["open"], F.lit(" "), unit))
+        joined = strip(F.concat(state["open"], F.lit(" "), unit))
         full = (state["open"] != "") & (F.length(joined) > max_chars)
         return F.struct(
             F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
@@ -288,12 +288,12 @@ def chunk_rows(segments: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def keyword_hints(text: Column, limit: int = fixed.KEYWORD_LIMIT) -> Column:
     """Most frequent tokens of one bounded text, ties by first appearance."""
-    from earmark.functions.text import keyword_tokens
+    def ranked(tokens: Column) -> Column:
+        counted = F.transform(F.array_distinct(tokens), lambda t: F.struct(
+            (F.size(F.array_remove(tokens, t)) - F.size(tokens)).alias("n"), F.array_position(tokens, t).alias("at"), t.alias("t")))
+        return F.transform(F.slice(F.array_sort(counted), 1, limit), lambda s: s["t"])
 
-    tokens = keyword_tokens(text)
-    counted = F.transform(F.array_distinct(tokens), lambda t: F.struct(
-        (-F.size(F.filter(tokens, lambda x: x == t))).alias("n"), F.array_position(tokens, t).alias("at"), t.alias("t")))
-    return F.transform(F.slice(F.array_sort(counted), 1, limit), lambda s: s["t"])
+    return let(keyword_tokens(text), ranked)
 
 
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 256, salts: int = 16) -> None:

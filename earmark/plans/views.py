@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from earmark.functions.text import search_text
+from earmark.functions.text import collapse, search_text
 from earmark.functions.times import clock
 from earmark.operators.chunking import chunk_ranges, chunk_rows
 from earmark.operators.ordered import position_block, scan
@@ -30,7 +30,7 @@ def ordered_distinct(x: str) -> str:
 
 def sql_clock(x: str) -> str:
     s = f"CAST(floor(greatest({x}, 0.0)) AS BIGINT)"
-    return f"printf('%02d:%02d:%02d', {s} // 3600, {s} % 3600 // 60, {s} % 60)"
+    return f"CASE WHEN {x} IS NOT NULL THEN printf('%02d:%02d:%02d', {s} // 3600, {s} % 3600 // 60, {s} % 60) END"
 
 
 def sql_clock_ms(x: str, separator: str = ".") -> str:
@@ -40,6 +40,15 @@ def sql_clock_ms(x: str, separator: str = ".") -> str:
             f"{ms} % 60000 // 1000, {ms} % 1000)")
 
 
+def sql_longest_repeat(x: str) -> str:
+    """Longest run of equal characters ``w`` apart, for each unit width ``w``."""
+    packed = rf"string_split(regexp_replace({folded(x)}, '\s+', '', 'g'), '')"
+    bits = (f"array_to_string(list_transform(range(1, len(p) - w + 1), "
+            f"lambda i: CASE WHEN p[i] = p[i + w] THEN '1' ELSE '0' END), '')")
+    return (f"(SELECT coalesce(max(span), 0) FROM (SELECT w, (length(unnest(regexp_extract_all({bits}, '1+'))) + w) // w * w AS span "
+            f"FROM (SELECT {packed} AS p), (SELECT unnest(range(1, 13)) AS w)) WHERE span >= CASE WHEN w = 1 THEN 12 ELSE 8 * w END)")
+
+
 MAX_CHARS, MAX_SECONDS = 2000, 100
 TERMS = ordered_distinct(f"regexp_extract_all({folded('query')}, '[A-Za-z0-9_+#.-]{{2,}}')")
 
@@ -88,8 +97,46 @@ VIEW_SQL = {
                  list(speaker ORDER BY pos) AS sp, string_agg(trim(text), ' ' ORDER BY pos) AS text
           FROM v_ranges JOIN v_segments USING (episode_id) WHERE pos BETWEEN first_pos AND last_pos
           GROUP BY episode_id, chunk_id)""",
+    # Lines of a document as a transcript with odd times and label confidence.
+    "v_lines": """
+        v_lines AS (
+          SELECT CAST(doc_id AS VARCHAR) AS episode_id, pos, pos + 1 AS segment_id, source AS speaker, line AS text,
+                 pos * 2.0::DOUBLE AS start_seconds,
+                 CASE WHEN length(line) % 7 <> 0 THEN pos * 2.0::DOUBLE + length(line) / 20.0 - 0.5 END AS end_seconds,
+                 CAST(quality AS DOUBLE) AS confidence
+          FROM (SELECT doc_id, source, unnest(string_split(text, E'\\n')) AS line,
+                       unnest(range(len(string_split(text, E'\\n')))) AS pos FROM documents)
+          LEFT JOIN labels USING (doc_id))""",
+    # Every turn shown first in half, then whole, as rolling captions do.
+    "v_rolling": """
+        v_rolling AS (
+          SELECT episode_id, pos * 2 + k AS pos, speaker,
+                 CASE WHEN k = 0 THEN trim(regexp_replace(substr(text, 1, greatest(1, length(text) // 2)), '\\s+', ' ', 'g'))
+                      ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS text,
+                 CASE WHEN k = 0 THEN start_seconds ELSE start_seconds + length(text) % 4 END AS start_seconds,
+                 CASE WHEN length(text) % 3 = k THEN NULL WHEN k = 0 THEN start_seconds + 1 ELSE end_seconds END AS end_seconds
+          FROM v_segments, (SELECT unnest([0, 1]) AS k))""",
+    "v_kept": """
+        v_fold AS (
+          SELECT episode_id, pos, pos AS kept, text, speaker, start_seconds AS st, end_seconds AS en FROM v_rolling WHERE pos = 0
+          UNION ALL
+          SELECT n.episode_id, n.pos,
+                 CASE WHEN same OR grown THEN p.kept ELSE n.pos END,
+                 n.text, n.speaker,
+                 CASE WHEN same OR grown THEN p.st ELSE n.start_seconds END,
+                 CASE WHEN same THEN coalesce(n.end_seconds, p.en) WHEN grown THEN coalesce(nullif(n.end_seconds, 0), p.en)
+                      ELSE n.end_seconds END
+          FROM v_fold p JOIN v_rolling n ON n.episode_id = p.episode_id AND n.pos = p.pos + 1,
+          LATERAL (SELECT n.text = p.text AND n.speaker IS NOT DISTINCT FROM p.speaker
+                          AND (p.en IS NULL OR n.start_seconds IS NULL OR n.start_seconds <= p.en + 2) AS same,
+                          starts_with(n.text, p.text) AND n.speaker IS NOT DISTINCT FROM p.speaker
+                          AND (p.en IS NULL OR n.start_seconds IS NULL OR n.start_seconds <= p.en + 1) AS grown)),
+        v_kept AS (
+          SELECT episode_id, kept AS pos, arg_max(text, pos) AS text, any_value(speaker) AS speaker, any_value(st) AS start_seconds,
+                 arg_max(en, pos) FILTER (en IS NOT NULL OR true) AS end_seconds, count(*) AS merged_rows
+          FROM v_fold GROUP BY episode_id, kept)""",
 }
-NEEDS = {"v_terms": ["v_queries"], "v_units": ["v_segments"], "v_ranges": ["v_segments"], "v_chunks": ["v_ranges"]}
+NEEDS = {"v_rolling": ["v_segments"], "v_kept": ["v_rolling"], "v_terms": ["v_queries"], "v_units": ["v_segments"], "v_ranges": ["v_segments"], "v_chunks": ["v_ranges"]}
 
 
 def with_views(views: str, body: str) -> str:
@@ -104,7 +151,7 @@ def with_views(views: str, body: str) -> str:
 
     for name in views.split():
         add(name)
-    head = "WITH RECURSIVE" if "v_ranges" in wanted or "RECURSIVE" in body else "WITH"
+    head = "WITH RECURSIVE" if "v_ranges" in wanted or "v_kept" in wanted or "RECURSIVE" in body else "WITH"
     body = body.strip().removeprefix("RECURSIVE").strip()
     glue = ",\n" if not body.upper().startswith("SELECT") else "\n"
     return f"{head} " + ",\n".join(VIEW_SQL[v].strip() for v in wanted) + glue + body
@@ -145,3 +192,30 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("episode_id"), (F.col("turn") + 1).alias("chunk_id"), "text",
         search_text(F.col("text")).alias("search_text"),
         F.array((F.col("turn") + 1).cast("string")).alias("segment_ids"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines as segments with odd times and label confidence."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("confidence"))
+    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("episode_id"), F.col("source").alias("speaker"), "confidence",
+        F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    start = F.col("pos") * 2.0
+    chars = F.length("text")
+    return rows.select(
+        "episode_id", F.col("pos").cast("long").alias("pos"), (F.col("pos") + 1).cast("long").alias("segment_id"), "speaker", "text",
+        start.alias("start_seconds"), F.when(chars % 7 != 0, start + chars / 20.0 - 0.5).alias("end_seconds"), "confidence")
+
+
+def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn shown first in half, then whole, as rolling captions do."""
+    rows = segments(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    chars = F.length("text")
+    half = F.substring("text", F.lit(1), F.greatest(F.lit(1), F.floor(chars / 2).cast("int")))
+    first = F.col("k") == 0
+    return rows.select(
+        "episode_id", (F.col("pos") * 2 + F.col("k")).alias("pos"), "speaker",
+        collapse(F.when(first, half).otherwise(F.col("text"))).alias("text"),
+        F.when(first, F.col("start_seconds")).otherwise(F.col("start_seconds") + chars % 4).alias("start_seconds"),
+        F.when(chars % 3 == F.col("k"), F.lit(None)).when(first, F.col("start_seconds") + 1)
+        .otherwise(F.col("end_seconds")).cast("double").alias("end_seconds"))
