@@ -78,3 +78,8 @@ def published_at(c: Column) -> Column:
     mail = F.coalesce(*[F.try_to_timestamp(zoned, F.lit(f)) for f in formats])
     iso = F.when(F.regexp_like(c, F.lit(r"^\s*\d{4}-\d{2}-\d{2}")), F.try_to_timestamp(strip(c)))
     return F.coalesce(iso, mail)
+
+
+def epoch_micros(c: Column) -> Column:
+    """Microseconds since 1970 of a wall-clock time without zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
