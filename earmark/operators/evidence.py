@@ -241,7 +241,7 @@ def report_checks(reports: DataFrame, segments: DataFrame, durations: DataFrame)
 
     def wrong(one: Column) -> Column:
         v = values(one)
-        return (F.get(v, F.lit(1)) < v[0]) | F.exists(v, lambda x: x > limit)
+        return (F.get(v, F.lit(1)) < F.get(v, F.lit(0))) | F.exists(v, lambda x: x > limit)
 
     like = lambda pattern: F.regexp_like(text, F.lit(pattern))
     rows = rows.withColumns({
@@ -258,7 +258,7 @@ def report_checks(reports: DataFrame, segments: DataFrame, durations: DataFrame)
     asked = asked.select(
         "report_id", _EP, F.concat_ws("/", "report_id", "n").alias("idx"),
         F.regexp_extract("q", r'[“"](.+?)[”"]', 1).alias("text"),
-        stamp_seconds(parts[0]).alias("start_at"),
+        stamp_seconds(F.get(parts, F.lit(0))).alias("start_at"),
         F.when(F.size(parts) > 1, stamp_seconds(F.element_at(parts, -1))).otherwise(stamp_seconds(F.get(parts, F.lit(0))) + 8).alias("end_at"),
         F.lit(None).cast("array<long>").alias("segment_ids"), F.size(parts).alias("stamps"),
     ).where("text <> '' AND stamps > 0")
