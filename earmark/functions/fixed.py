@@ -98,7 +98,7 @@ MAX_CANDIDATES = 20
 
 # --- fixed values: named character references (the common ones) ---------------------
 ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "hellip": "…",
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "hellip": "…",
     "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
     "laquo": "«", "raquo": "»", "copy": "©", "reg": "®", "trade": "™", "middot": "·",
     "bull": "•", "deg": "°", "times": "×", "euro": "€", "pound": "£", "agrave": "à",

@@ -64,7 +64,7 @@ def unescape(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Caption text without character references, tags, and odd spaces."""
     bare = F.regexp_replace(F.regexp_replace(unescape(c), fixed.CLASS_TAG, ""), fixed.ANY_TAG, "")
-    return collapse(F.replace(F.translate(bare, "​", " "), F.lit("﻿"), F.lit("")))
+    return collapse(F.replace(F.translate(bare, "\u200b", " "), F.lit("\ufeff"), F.lit("")))
 
 
 def speaker_and_text(c: Column) -> Column:
