@@ -9,6 +9,8 @@ from pyspark.sql import Column, functions as F
 from earmark.functions import fixed
 
 _WS = f"(?U){fixed.WS}+"
+_ENTITY_MAP = "map(" + ", ".join(
+    '"&%s;", "%s"' % (name, char.replace('"', '\\"')) for name, char in fixed.ENTITIES.items()) + ")"
 _EDGE = f"(?U)^{fixed.WS}+|{fixed.WS}+$"
 
 
@@ -50,14 +52,15 @@ def _code_point(reference: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Resolve character references once (``&amp;lt;`` becomes ``&lt;``)."""
-    named = c
-    for name, char in fixed.ENTITIES.items():
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    numeric = F.aggregate(
+    named = F.aggregate(
+        F.array_distinct(F.regexp_extract_all(c, F.lit("(&[a-z]+;)"), 1)), c,
+        lambda text, ref: F.replace(text, ref, F.coalesce(F.try_element_at(F.expr(_ENTITY_MAP), ref), ref)))
+    numbered = F.aggregate(
         F.array_distinct(F.regexp_extract_all(c, F.lit(r"(&#(?:[xX][0-9a-fA-F]{1,5}|[0-9]{1,6});)"), 1)),
         named,
         lambda text, ref: F.replace(text, ref, _code_point(ref)),
     )
+    numeric = F.when(F.contains(c, F.lit("&#")), numbered).otherwise(named)
     return F.when(F.contains(c, F.lit("&")), F.replace(numeric, F.lit("&amp;"), F.lit("&"))).otherwise(c)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from earmark.functions import fixed
-from earmark.functions.text import casefold
+from earmark.functions.text import casefold, let
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -180,26 +180,40 @@ def unsafe_reason(c: Column) -> Column:
     )
 
 
-def absolute_url(base: Column, link: Column) -> Column:
-    """Resolve a link against its page, with ``.`` and ``..`` steps removed."""
-    b, l = split_url(base), split_url(link)
-    folder = F.regexp_replace(b.path, r"[^/]*$", "")
-    joined = F.when(l.path == "", b.path).when(F.startswith(l.path, F.lit("/")), l.path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), l.path))
-    steps = F.split(joined, "/")
+def _without_dots(path: Column) -> Column:
+    """Path with ``.`` and ``..`` steps walked."""
+    steps = F.split(path, "/")
     walked = F.aggregate(
         F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.array().cast("array<string>"),
         lambda kept, step: F.when(step == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
         .when(step == ".", kept).otherwise(F.concat(kept, F.array(step))))
-    trailing = F.when(F.regexp_like(joined, F.lit(r"/\.{1,2}$")), F.lit("/")).otherwise(F.lit(""))
-    clean = F.when(F.contains(joined, F.lit("/.")), F.concat(F.lit("/"), F.array_join(walked, "/"), trailing)).otherwise(joined)
-    return (
-        F.when(link == "", base)
-        .when((l.scheme != "") & (l.scheme != b.scheme), link)
-        .when(l.netloc != "", join_url(F.when(l.scheme != "", l.scheme).otherwise(b.scheme), l.netloc, l.path, l.query, l.fragment))
-        .otherwise(join_url(b.scheme, b.netloc, clean,
-                            F.when((l.path == "") & (l.query == ""), b.query).otherwise(l.query), l.fragment))
-    )
+    trailing = F.when(F.regexp_like(path, F.lit(r"/\.{1,2}$")), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(walked, "/"), trailing)
+
+
+def absolute_url(base: Column, link: Column) -> Column:
+    """Resolve a link against its page, with ``.`` and ``..`` steps removed."""
+    names = ("scheme", "netloc", "path", "query", "fragment")
+
+    def packed(c: Column) -> Column:
+        u = split_url(c)
+        return F.struct(c.alias("text"), *[getattr(u, n).alias(n) for n in names])
+
+    def resolved(both: Column) -> Column:
+        b, l = both["b"], both["l"]
+        folder = F.regexp_replace(b["path"], r"[^/]*$", "")
+        joined = F.when(l["path"] == "", b["path"]).when(F.startswith(l["path"], F.lit("/")), l["path"]).otherwise(
+            F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), l["path"]))
+        path = let(joined, lambda p: F.when(F.contains(p, F.lit("/.")), _without_dots(p)).otherwise(p))
+        query = F.when((l["path"] == "") & (l["query"] == ""), b["query"]).otherwise(l["query"])
+        scheme = F.when(l["scheme"] != "", l["scheme"]).otherwise(b["scheme"])
+        return (
+            F.when(l["text"] == "", b["text"])
+            .when((l["scheme"] != "") & (l["scheme"] != b["scheme"]), l["text"])
+            .when(l["netloc"] != "", join_url(scheme, l["netloc"], l["path"], l["query"], l["fragment"]))
+            .otherwise(join_url(b["scheme"], b["netloc"], path, query, l["fragment"])))
+
+    return let(F.struct(packed(base).alias("b"), packed(link).alias("l")), resolved)
 
 
 def media_suffix(url: Column, content_type: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -160,12 +161,6 @@ def check_named(rows: DataFrame, field: str, types: Sequence[str] | None = None)
     return _rules(rows, key, issues)
 
 
-def missing_evidence(items: DataFrame, refs: DataFrame) -> DataFrame:
-    """Items that need at least one reference and have none."""
-    return items.select(_EP, "idx").join(refs.select(_EP, "idx").distinct(), [_EP, "idx"], "left_anti").select(
-        _EP, "idx", F.lit("evidence_required").alias("rule"))
-
-
 def evidence_audit(
     segments: DataFrame, durations: DataFrame, *, chapters: DataFrame | None = None, claims: DataFrame | None = None,
     quotes: DataFrame | None = None, actions: DataFrame | None = None, entities: DataFrame | None = None,
@@ -176,30 +171,31 @@ def evidence_audit(
     ``refs`` holds ``episode_id, collection, idx, ref_no, start, end,
     segment_ids``. Glossary entries may go without references.
     """
-    found: list[DataFrame] = []
-    add = lambda name, rows: found.append(rows.select(_EP, F.lit(name).alias("collection"), "idx", "rule"))
+    parts: list[DataFrame] = []
+    add = lambda name, rows: parts.append(rows.select(_EP, F.lit(name).alias("collection"), "idx", "rule"))
+    named = {"claims": (claims, "claim", None), "actions": (actions, "action", None),
+             "entities": (entities, "name", fixed.ENTITY_TYPES), "glossary": (glossary, "source_term", None)}
+    items: list[DataFrame] = []
+    cited = [refs.select(_EP, "collection", "idx", "ref_no", "start", "end", "segment_ids")] if refs is not None else []
+    for name, (rows, field, types) in named.items():
+        if rows is None:
+            continue
+        add(name, check_claims(rows) if name == "claims" else check_named(rows, field, types))
+        items.append(rows.where(~_blank(F.col(field))).select(
+            _EP, F.lit(name).alias("collection"), "idx", F.lit(name != "glossary").alias("needed")))
     if chapters is not None:
         add("chapters", check_chapters(chapters, durations))
     if quotes is not None:
         add("quotes", check_quotes(quotes, segments, durations))
-    own = lambda name: refs.where(F.col("collection") == name)
-    for name, rows, field, types in (
-        ("claims", claims, "claim", None), ("actions", actions, "action", None),
-        ("entities", entities, "name", fixed.ENTITY_TYPES), ("glossary", glossary, "source_term", None),
-    ):
-        if rows is None:
-            continue
-        add(name, check_claims(rows) if name == "claims" else check_named(rows, field, types))
-        if refs is not None:
-            usable = rows.where(~_blank(F.col(field)))
-            if name != "glossary":
-                add(name, missing_evidence(usable, own(name)))
-            used = own(name).join(usable.select(_EP, "idx"), [_EP, "idx"], "left_semi")
-            add(name, check_references(used, segments, durations, [_EP, "collection", "idx", "ref_no"]))
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionByName(rows)
-    return out
+    if items and cited:
+        # All collections go through one pass of the reference check.
+        known = reduce(DataFrame.unionByName, items)
+        key = [_EP, "collection", "idx"]
+        parts.append(known.where("needed").join(cited[0].select(*key).distinct(), key, "left_anti").select(
+            *key, F.lit("evidence_required").alias("rule")))
+        used = cited[0].join(known.select(*key), key, "left_semi")
+        parts.append(check_references(used, segments, durations, [*key, "ref_no"]).drop("ref_no"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cited_segments(refs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from earmark.operators.ordered import neighbours
 from earmark.plans import views
 from earmark.plans.registry import query
 from earmark.plans.views import searched, sql_clock, with_views
+from earmark.session import materialize
 
 
 def sql_stamp(x: str) -> str:
@@ -50,8 +51,10 @@ def _pick(values: str, at):
 
 
 def _base(spark, sf):
+    """The transcript with what the evidence is made from, stored once."""
     rows = neighbours(views.segments(spark, sf), [_EP], "pos", lead={"next": F.col("text")})
-    return rows.withColumns({"n": F.length("text"), "next": F.coalesce("next", F.lit("")), "idx": F.col("pos")})
+    return materialize(rows.withColumns({
+        "n": F.length("text"), "next": F.coalesce("next", F.lit("")), "idx": F.col("pos")}), "transcript")
 
 
 def _claims(rows):
@@ -136,19 +139,19 @@ _QUOTE_SQL = f"""
 def quote_check(spark, sf):
     from earmark.functions.times import stamp_seconds
 
-    quotes = _quotes(_base(spark, sf)).where("trim(text) <> ''").withColumns({
+    rows = _base(spark, sf)
+    quotes = _quotes(rows).where("trim(text) <> ''").withColumns({
         "start_at": stamp_seconds(F.col("start")), "end_at": stamp_seconds(F.col("end"))})
-    return evidence.quote_found(quotes, views.segments(spark, sf))
+    return evidence.quote_found(quotes, rows)
 
 
 @query("evidence_refs_check", with_views("v_evidence", f"""
   {_ref_sql('a', 'v_refs')}
 SELECT * FROM a_v"""))
 def evidence_refs_check(spark, sf):
-    segments = views.segments(spark, sf)
+    rows = _base(spark, sf)
     key = [_EP, "collection", "idx", "ref_no"]
-    rows = evidence.check_references(_refs(_base(spark, sf)), segments, transcripts.durations(segments), key)
-    return rows.drop("ref_no")
+    return evidence.check_references(_refs(rows), rows, transcripts.durations(rows), key).drop("ref_no")
 
 
 @query("chapter_order", with_views("v_evidence", f"""
@@ -158,14 +161,14 @@ SELECT episode_id, idx, rule FROM ({_RANGE.format(key='episode_id, idx', src='c'
 UNION ALL SELECT episode_id, idx, 'out_of_order' FROM o WHERE s < coalesce(before, -1) - 1
 UNION ALL SELECT episode_id, idx, 'title_required' FROM v_chapters WHERE trim(title) = ''"""))
 def chapter_order(spark, sf):
-    segments = views.segments(spark, sf)
-    return evidence.check_chapters(_chapters(_base(spark, sf)), transcripts.durations(segments))
+    rows = _base(spark, sf)
+    return evidence.check_chapters(_chapters(rows), transcripts.durations(rows))
 
 
 def _audit_parts(spark, sf):
-    rows, segments = _base(spark, sf), views.segments(spark, sf)
-    return rows, segments, evidence.evidence_audit(
-        segments, transcripts.durations(segments), chapters=_chapters(rows), claims=_claims(rows), quotes=_quotes(rows),
+    rows = _base(spark, sf)
+    return rows, evidence.evidence_audit(
+        rows, transcripts.durations(rows), chapters=_chapters(rows), claims=_claims(rows), quotes=_quotes(rows),
         entities=_entities(rows), refs=_refs(rows))
 
 
@@ -205,7 +208,7 @@ _AUDIT = """
 
 @query("evidence_audit", with_views("v_evidence", _AUDIT + "SELECT * FROM violations"))
 def evidence_audit(spark, sf):
-    return _audit_parts(spark, sf)[2]
+    return _audit_parts(spark, sf)[1]
 
 
 @query("evidence_validity", with_views("v_evidence", _AUDIT + """
@@ -213,7 +216,7 @@ SELECT episode_id, count(rule) AS violations, count(rule) = 0 AS valid
 FROM (SELECT DISTINCT episode_id FROM v_segments) LEFT JOIN violations USING (episode_id) GROUP BY episode_id"""))
 def evidence_validity(spark, sf):
     """Roll-up per episode: valid when nothing is violated."""
-    _, segments, found = _audit_parts(spark, sf)
+    segments, found = _audit_parts(spark, sf)
     counted = found.groupBy(_EP).agg(F.count("*").alias("violations"))
     return segments.select(_EP).distinct().join(counted, _EP, "left").select(
         _EP, F.coalesce("violations", F.lit(0).cast("long")).alias("violations"), F.col("violations").isNull().alias("valid"))
@@ -230,7 +233,8 @@ def cited_segments(spark, sf):
 SELECT episode_id, count(*) AS segments, count(c.segment_id) AS cited_segments, round(count(c.segment_id) / count(*), 4) AS citation_coverage
 FROM v_segments s LEFT JOIN c USING (episode_id, segment_id) GROUP BY episode_id"""))
 def citation_coverage(spark, sf):
-    return evidence.citation_coverage(views.segments(spark, sf), _refs(_base(spark, sf)).where("collection = 'claims'"))
+    rows = _base(spark, sf)
+    return evidence.citation_coverage(rows, _refs(rows).where("collection = 'claims'"))
 
 
 @query("evidence_flat", with_views("v_evidence", """
@@ -270,7 +274,7 @@ _REPORT_SQL = rf"""
 """
 
 
-def _reports(spark, sf):
+def _reports(rows):
     n = F.col("n")
     pick = lambda test, yes, no="": F.when(test, F.lit(yes)).otherwise(F.lit(no))
     half = F.btrim(F.regexp_replace(F.substring("text", F.floor(n / 2).cast("int") + 1, n), r"\s+", " "))
@@ -280,12 +284,12 @@ def _reports(spark, sf):
         F.lit("## Timeline\n- ["), clock(F.col("start_seconds")), F.lit("–"), clock(F.col("end_seconds") + (n % 6 - 4) * 8), F.lit("] part\n"),
         pick(n % 4 != 0, "## Limitations\n"), F.lit("> “"), half, F.lit("” "),
         F.when(n % 13 != 0, F.concat(F.lit("["), clock(F.col("start_seconds") + n % 50), F.lit("]"))).otherwise(F.lit("")))
-    return _base(spark, sf).select(F.concat_ws("/", _EP, "pos").alias("report_id"), _EP, text.alias("text"))
+    return rows.select(F.concat_ws("/", _EP, "pos").alias("report_id"), _EP, text.alias("text"))
 
 
 def _report_checks(spark, sf):
-    segments = views.segments(spark, sf)
-    return evidence.report_checks(_reports(spark, sf), segments, transcripts.durations(segments))
+    rows = _base(spark, sf)
+    return evidence.report_checks(_reports(rows), rows, transcripts.durations(rows))
 
 
 @query("report_audit", with_views("v_evidence", _REPORT_SQL + """

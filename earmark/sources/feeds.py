@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earmark.functions import fixed
-from earmark.functions.text import casefold, collapse, strip_markup, unescape
+from earmark.functions.text import casefold, collapse, let, strip_markup, unescape
 from earmark.functions.times import published_at
 from earmark.functions.urls import absolute_url, split_url, suffix
 
@@ -22,14 +22,15 @@ def _node_text(raw: Column) -> Column:
 def _first_text(item: Column, *names: str) -> Column:
     """Text of the first named child that has some, in document order."""
     pattern = rf"(?is)<(?:[\w.-]+:)?(?:{'|'.join(names)})(?:\s[^>]*)?(?<!/)>(.*?)</(?:[\w.-]+:)?(?:{'|'.join(names)})\s*>"
-    texts = F.transform(F.regexp_extract_all(item, F.lit(pattern), 1), _node_text)
+    found = F.regexp_extract_all(item, F.lit(pattern), 1)
+    texts = F.transform(found, lambda raw: let(raw, _node_text))
     return F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), F.lit(""))
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of a tag's attribute, or empty."""
     pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return unescape(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+    return let(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]), unescape)
 
 
 def parse_feeds(files: DataFrame) -> DataFrame:
