@@ -11,7 +11,7 @@ from earmark.functions.urls import sanitize_url, suffix
 
 def requested_languages(spec: Column) -> Column:
     """Concrete languages of a comma-separated wish list, in order."""
-    parts = F.transform(F.split(spec, ","), F.btrim)
+    parts = F.transform(F.split(spec, ","), lambda p: F.btrim(p))
     return F.filter(parts, lambda p: (p != "") & (F.lower(p) != "all") & ~F.startswith(p, F.lit("-")))
 
 

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from earmark.plans import evidence_queries, search_queries, source_queries, timeline_queries, transcript_queries  # noqa: F401
+from earmark.plans import episode_queries, evidence_queries, search_queries, source_queries, timeline_queries, transcript_queries  # noqa: F401
 from earmark.plans.registry import QUERIES, SQL  # noqa: F401
