@@ -132,11 +132,16 @@ def coverage_audit(intervals: DataFrame, durations: DataFrame, keys: list[str])
 
     ``intervals``: keys, ``start``, ``end``; ``durations``: keys, ``duration``.
     """
-    spans = intervals.select(*keys, "start", "end").distinct()
-    spans = scan(spans, keys, ["start", "end"], F.floor(F.col("start") / 3600), lag={"_end": F.col("end")})
+    # Per start only the longest interval meets the next one; shorter ones can
+    # break the cover only by ending before they begin.
+    late = F.col("end") + 0.5 < F.col("start")
+    spans = intervals.select(*keys, "start", "end").distinct().groupBy(*keys, "start").agg(
+        F.max("end").alias("end"), F.count_if(late).alias("_bad"))
+    spans = spans.withColumn("_bad", F.col("_bad") - late.cast("long"))
+    spans = scan(spans, keys, ["start"], F.floor(F.col("start") / 3600), lag={"_end": F.col("end")})
     found = spans.groupBy(*keys).agg(
-        F.min("start").alias("first"), F.max_by("end", F.struct("start", "end")).alias("last"),
-        F.count_if(F.col("start") > F.col("_end") + 0.5).alias("gaps"))
+        F.min("start").alias("first"), F.max_by("end", "start").alias("last"),
+        (F.count_if(F.col("start") > F.col("_end") + 0.5) + F.sum("_bad")).alias("gaps"))
     rows = durations.join(found, keys, "left")
     whole = (F.col("first") <= 0.5) & (F.col("last") >= F.col("duration") - 2) & (F.col("gaps") == 0)
     return rows.select(*keys, F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce(whole, F.lit(False)).alias("complete"))
@@ -171,8 +176,9 @@ def sample_times(episodes: DataFrame, count: int) -> DataFrame:
 
 def segment_at(samples: DataFrame, segments: DataFrame) -> DataFrame:
     """The last segment that began at or before each sample (as-of join)."""
-    begun = segments.where("start_seconds IS NOT NULL").select(
-        _EP, F.col("start_seconds").alias("t"), F.lit(0).alias("kind"), F.col("segment_id").cast("long").alias("n"))
+    # Of segments that begin together only the last can be in force.
+    begun = segments.where("start_seconds IS NOT NULL").groupBy(_EP, F.col("start_seconds").alias("t")).agg(
+        F.max(F.col("segment_id").cast("long")).alias("n")).select(_EP, "t", F.lit(0).alias("kind"), "n")
     asked = samples.select(_EP, F.col("seconds").alias("t"), F.lit(1).alias("kind"), F.col("sample_id").cast("long").alias("n"))
     line = scan(begun.unionByName(asked), [_EP], ["t", "kind", "n"], F.floor(F.col("t") / BUCKET_SECONDS),
                 latest={"segment_id": F.when(F.col("kind") == 0, F.col("n"))})

@@ -89,7 +89,7 @@ def _logged(spark, sf):
     """Every order as a delivery of a chunk, each delivered twice."""
     rows = table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("episode_id"), F.col("o_orderstatus").alias("chunk_key"),
-        F.timestamp_micros(F.col("o_orderkey") * 1000000).alias("at"), F.lit("s").alias("settings"),
+        F.timestamp_seconds(F.col("o_orderkey") + 1000000000).alias("at"), F.lit("s").alias("settings"),
         F.length("o_orderpriority").cast("long").alias("size_bytes"), F.col("o_orderkey").alias("modified"),
         F.sha2("o_orderpriority", 256).alias("sha256"))
     log = scratch_path(spark, "arrivals")
@@ -113,4 +113,4 @@ def stream_quarantine(spark, sf):
     """Versions that newer deliveries replaced."""
     logged = _logged(spark, sf)
     return jobs.replaced_chunks(logged, jobs.current_chunks(logged)).select(
-        "episode_id", "chunk_key", F.unix_seconds("at").alias("version"), "reason")
+        "episode_id", "chunk_key", (F.unix_seconds("at") - 1000000000).alias("version"), "reason")

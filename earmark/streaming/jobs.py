@@ -99,6 +99,10 @@ def replaced_chunks(logged: DataFrame, current: DataFrame) -> DataFrame:
     return episodes.stale_items(versions, now, [*key, "at"])
 
 
+MERGED = "episode_id string, pos long, start_seconds double, end_seconds double, speaker string, text string, merged_rows long"
+RANGES = "episode_id string, chunk_id long, first_pos long, last_pos long"
+
+
 def _names(ddl: str) -> list[str]:
     return [part.split()[0] for part in ddl.split(", ")]
 
