@@ -73,9 +73,13 @@ def published_at(c: Column) -> Column:
     bare = F.regexp_replace(strip(c), r"^[A-Za-z]{3,9},?\s+", "")
     bare = F.regexp_replace(bare, r"\s*\([^)]*\)$", "")
     zoned = F.when(F.regexp_like(bare, F.lit(r"(?:[A-Za-z]{1,5}|[+-]\d{2}:?\d{2})$")), bare).otherwise(F.concat(bare, F.lit(" +0000")))
-    formats = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z",
-               "d MMM yy HH:mm:ss Z", "d MMM yy HH:mm:ss z"]
-    mail = F.coalesce(*[F.try_to_timestamp(zoned, F.lit(f)) for f in formats])
+    # One pattern is chosen by shape, so a date is parsed only once.
+    numeric = F.regexp_like(zoned, F.lit(r"[+-]\d{2}:?\d{2}$"))
+    parse = lambda pattern: F.try_to_timestamp(zoned, F.lit(pattern))
+    full = F.regexp_like(zoned, F.lit(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}"))
+    short = F.regexp_like(zoned, F.lit(r"^\d{1,2} [A-Za-z]{3} \d{2} \d{1,2}:\d{2}"))
+    mail = (F.when(full & numeric, parse("d MMM yyyy H:mm[:ss] Z")).when(full, parse("d MMM yyyy H:mm[:ss] z"))
+            .when(short & numeric, parse("d MMM yy H:mm[:ss] Z")).when(short, parse("d MMM yy H:mm[:ss] z")))
     iso = F.when(F.regexp_like(c, F.lit(r"^\s*\d{4}-\d{2}-\d{2}")), F.try_to_timestamp(strip(c)))
     return F.coalesce(iso, mail)
 

@@ -191,29 +191,37 @@ def _without_dots(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(walked, "/"), trailing)
 
 
-def absolute_url(base: Column, link: Column) -> Column:
-    """Resolve a link against its page, with ``.`` and ``..`` steps removed."""
-    names = ("scheme", "netloc", "path", "query", "fragment")
-
-    def packed(c: Column) -> Column:
-        u = split_url(c)
-        return F.struct(c.alias("text"), *[getattr(u, n).alias(n) for n in names])
-
-    def resolved(both: Column) -> Column:
-        b, l = both["b"], both["l"]
-        folder = F.regexp_replace(b["path"], r"[^/]*$", "")
-        joined = F.when(l["path"] == "", b["path"]).when(F.startswith(l["path"], F.lit("/")), l["path"]).otherwise(
-            F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), l["path"]))
-        path = let(joined, lambda p: F.when(F.contains(p, F.lit("/.")), _without_dots(p)).otherwise(p))
-        query = F.when((l["path"] == "") & (l["query"] == ""), b["query"]).otherwise(l["query"])
-        scheme = F.when(l["scheme"] != "", l["scheme"]).otherwise(b["scheme"])
+def url_base(c: Column) -> Column:
+    """What links are resolved against, as a struct to keep in a column."""
+    part = lambda pattern, group=0: F.regexp_extract(c, pattern, group)
+    return F.struct(
+        c.alias("text"), part(r"^([^:/?#]+:)//", 1).alias("scheme"), part(r"^[^:/?#]+://[^/?#]*").alias("root"),
+        part(r"^[^:/?#]+://[^/?#]*(/[^?#]*/|/)", 1).alias("folder"),
+        part(r"^[^?#]*").alias("bare"), part("^[^#]*").alias("whole"))
+
+
+def resolve_url(base: Column, link: Column) -> Column:
+    """A link on the page described by ``url_base``, made absolute."""
+
+    def resolved(l: Column) -> Column:
+        path = F.regexp_extract(l, r"^[^?#]*", 0)
+        rest = F.regexp_extract(l, r"^[^?#]*(.*)$", 1)
+        below = F.when(F.startswith(l, F.lit("/")), path).otherwise(
+            F.concat(F.when(base["folder"] == "", F.lit("/")).otherwise(base["folder"]), path))
+        clean = let(below, lambda p: F.when(F.contains(p, F.lit("/.")), _without_dots(p)).otherwise(p))
         return (
-            F.when(l["text"] == "", b["text"])
-            .when((l["scheme"] != "") & (l["scheme"] != b["scheme"]), l["text"])
-            .when(l["netloc"] != "", join_url(scheme, l["netloc"], l["path"], l["query"], l["fragment"]))
-            .otherwise(join_url(b["scheme"], b["netloc"], path, query, l["fragment"])))
+            F.when(l == "", base["text"]).when(F.regexp_like(l, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), l)
+            .when(F.startswith(l, F.lit("//")), F.concat(base["scheme"], l))
+            .when(F.startswith(l, F.lit("?")), F.concat(base["bare"], l))
+            .when(F.startswith(l, F.lit("#")), F.concat(base["whole"], l))
+            .otherwise(F.concat(base["root"], clean, rest)))
+
+    return let(link, resolved)
 
-    return let(F.struct(packed(base).alias("b"), packed(link).alias("l")), resolved)
+
+def absolute_url(base: Column, link: Column) -> Column:
+    """Resolve a link against its page, with ``.`` and ``..`` steps removed."""
+    return resolve_url(url_base(base), link)
 
 
 def media_suffix(url: Column, content_type: Column) -> Column:

@@ -126,17 +126,15 @@ def rank(
     size = chunks.select(F.count("*")).scalar()
     weighted = asked.join(spread, "term").withColumn(
         "idf", F.log((size + 1) / (F.col("df") + 0.5)) + 1)
-    scored = (
-        _salted(matches, weighted, "term", key)
-        .groupBy("query_id", *key)
-        .agg(F.sum((1 + F.log("tf")) * F.col("idf")).alias("base"), F.count("*").alias("matched"),
-             F.array_sort(F.collect_list(F.struct("at", "term"))).alias("terms"))
-    )
-    # Only a chunk with every term of the query can contain the whole query.
+    # Only numbers are carried for all pairs; terms are listed for the hits.
+    scored = _salted(matches, weighted.select("query_id", "term", "idf"), "term", key).groupBy("query_id", *key).agg(
+        F.sum((1 + F.log("tf")) * F.col("idf")).alias("base"), F.count("*").alias("matched"))
     phrases = queries.select(
         "query_id", strip(casefold(F.col("query"))).alias("phrase"),
         F.size(ranking_terms(F.col("query"))).alias("needed"))
-    complete = scored.join(phrases.where("needed > 0"), "query_id").where("matched = needed")
+    # Only a chunk with every term of the query can contain the whole query.
+    scored = scored.join(phrases.select("query_id", "needed"), "query_id")
+    complete = scored.where("matched = needed").join(phrases.select("query_id", "phrase"), "query_id")
     exact = complete.select("query_id", *key, "phrase").join(chunks.select(*key, "search_text"), list(key)).where(
         F.contains("search_text", "phrase")).select("query_id", *key)
     # A query without a single term can still match as a whole.
@@ -144,30 +142,27 @@ def rank(
     pairs = containing(chunks, "search_text", bare, "phrase")
     loose = bare.join(pairs, F.col("phrase") == F.col("needle")).join(
         chunks.select(*key, F.col("search_text").alias("text")), "text").select("query_id", *key)
-    none = F.array().cast("array<struct<at:int,term:string>>")
     zero = lambda name: F.lit(0.0).alias(name)
-    parts = scored.select("query_id", *key, "base", zero("bonus"), zero("boost"), "terms").unionByName(
-        exact.unionByName(loose).select(
-            "query_id", *key, zero("base"), F.lit(fixed.PHRASE_BONUS).alias("bonus"), zero("boost"), none.alias("terms")))
+    parts = scored.select("query_id", *key, "base", zero("boost")).unionByName(
+        exact.unionByName(loose).select("query_id", *key, F.lit(fixed.PHRASE_BONUS).alias("base"), zero("boost")))
     if boosts is not None:
         cited = chunks.select(*key, F.explode("segment_ids").alias("sid")).select(
             *key, F.try_to_number("sid", F.lit("9999999999999999")).cast("long").alias("segment_id"))
         lifted = cited.join(boosts, [c for c in ("episode_id", "segment_id") if c in cited.columns and c in boosts.columns])
         lifted = lifted.groupBy("query_id", *key).agg(F.max("boost").alias("boost"))
-        parts = parts.unionByName(lifted.select(
-            "query_id", *key, zero("base"), zero("bonus"), "boost", none.alias("terms")))
-    total = (
+        parts = parts.unionByName(lifted.select("query_id", *key, zero("base"), "boost"))
+    hits = (
         parts.groupBy("query_id", *key)
-        .agg(F.sum("base").alias("base"), F.sum("bonus").alias("bonus"), F.sum("boost").alias("evidence_boost"),
-             F.max("terms").alias("terms"))
-        .withColumn("score", F.round(F.col("base") + F.col("bonus") + F.col("evidence_boost"), 4))
+        .agg(F.sum("base").alias("base"), F.sum("boost").alias("evidence_boost"))
+        .select("query_id", *key, F.round(F.col("base") + F.col("evidence_boost"), 4).alias("score"), "evidence_boost")
     )
-    hits = total.select("query_id", *key, "score", "evidence_boost",
-                        F.transform("terms", lambda t: t["term"]).alias("matched_terms"))
-    if top_k is None:
-        return hits
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *key)
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, top_k))
+    if top_k is not None:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), *key)
+        hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, top_k))
+    said = hits.select("query_id", *key).join(asked, "query_id").join(matches.select("term", *key), ["term", *key])
+    listed = said.groupBy("query_id", *key).agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("_t"))
+    terms = F.coalesce(F.transform("_t", lambda t: t["term"]), F.array().cast("array<string>"))
+    return hits.join(listed, ["query_id", *key], "left").withColumn("matched_terms", terms).drop("_t")
 
 
 def within_budget(hits: DataFrame, max_chars: int = fixed.BUDGET_CHARS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from earmark.functions.times import clock, clock_ms
 from earmark.operators.transcripts import cleaned
 from earmark.plans import views
-from earmark.plans.registry import query, table
+from earmark.plans.registry import query, spread_table, table
 from earmark.plans.views import with_views
 from earmark.sources import captions, feeds, pages
 
@@ -38,7 +38,7 @@ def _escaped(c):
 
 def caption_files(spark, sf, kind: str):
     """Each document as one caption file: a cue per line, one every 2 s."""
-    docs = table(spark, sf, "documents").select(
+    docs = spread_table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("episode_id"), "source", F.split("text", "\n").alias("lines"), "doc_id")
     at = lambda i: i * SECOND
     say = {
@@ -141,7 +141,7 @@ def cleaned_text(spark, sf):
 
 
 def _feed_files(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread_table(spark, sf, "orders")
     number = F.col("o_orderkey").cast("string")
     even = F.col("o_orderkey") % 2 == 0
     when = F.date_format("o_orderdate", "d MMM yyyy HH:mm:ss")
@@ -225,7 +225,7 @@ def feed_candidates(spark, sf):
 
 def _rich_pages(spark, sf):
     """The pages with media links and JSON-LD added to their heads."""
-    p, number = table(spark, sf, "pages"), F.col("page_id").cast("string")
+    p, number = spread_table(spark, sf, "pages"), F.col("page_id").cast("string")
     extra = F.concat(
         F.lit('<link href="/feed.xml" type="application/rss+xml" rel="alternate"><meta content="a/'), number, F.lit('.mp3" property="og:audio">'
               '<link rel="transcript" href="t.html"><audio src=\'/x/'), number, F.lit('.ogg\'></audio><source type="image/png" src="i.png">'

@@ -12,7 +12,7 @@ from earmark.functions.text import collapse, search_text
 from earmark.functions.times import clock
 from earmark.operators.chunking import chunk_ranges, chunk_rows
 from earmark.operators.ordered import position_block, scan
-from earmark.plans.registry import table
+from earmark.plans.registry import spread_table, table
 
 CHARS_PER_SECOND = 15.0
 
@@ -188,7 +188,7 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment as a search unit of its own."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread_table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("episode_id"), (F.col("turn") + 1).alias("chunk_id"), "text",
         search_text(F.col("text")).alias("search_text"),
         F.array((F.col("turn") + 1).cast("string")).alias("segment_ids"))
@@ -197,7 +197,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines as segments with odd times and label confidence."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("confidence"))
-    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+    rows = spread_table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("episode_id"), F.col("source").alias("speaker"), "confidence",
         F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     start = F.col("pos") * 2.0

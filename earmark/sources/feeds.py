@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from earmark.functions import fixed
 from earmark.functions.text import casefold, collapse, let, strip_markup, unescape
 from earmark.functions.times import published_at
-from earmark.functions.urls import absolute_url, split_url, suffix
+from earmark.functions.urls import resolve_url, split_url, suffix, url_base
 
 _ITEM = r"(?is)(<(?:[\w.-]+:)?(?:item|entry)\b[^>]*>.*?</(?:[\w.-]+:)?(?:item|entry)\s*>)"
 _TAG = r"(?is)(<(?:[\w.-]+:)?(?:enclosure|link|transcript)\b[^>]*>)"
@@ -36,21 +36,22 @@ def attribute(tag: Column, name: str) -> Column:
 def parse_feeds(files: DataFrame) -> DataFrame:
     """``feed_url, position, title, …`` from ``feed_url, text``, one row a feed."""
     items = files.select("feed_url", F.posexplode(F.regexp_extract_all("text", F.lit(_ITEM), 1)).alias("position", "item"))
-    item, base = F.col("item"), F.col("feed_url")
+    item, base = F.col("item"), F.col("_base")
 
     def tag(t: Column) -> Column:
         href = F.coalesce(F.nullif(attribute(t, "href"), F.lit("")), attribute(t, "url"))
         kind = F.lower(attribute(t, "type"))
         return F.struct(
             F.lower(F.regexp_extract(t, r"(?i)^<(?:[\w.-]+:)?(\w+)", 1)).alias("name"), href.alias("href"),
-            F.startswith(kind, F.lit("audio/")).alias("audio"), F.lower(attribute(t, "rel")).alias("rel"))
+            F.startswith(kind, F.lit("audio/")).alias("audio"), F.lower(attribute(t, "rel")).alias("rel"),
+            let(href, lambda h: suffix(split_url(h).path)).isin(fixed.MEDIA_SUFFIXES).alias("named"))
 
-    rows = items.withColumn("tags", F.filter(
+    rows = items.withColumn("_base", url_base(F.col("feed_url"))).withColumn("tags", F.filter(
         F.transform(F.regexp_extract_all(item, F.lit(_TAG), 1), tag), lambda t: t["href"] != ""))
-    media = lambda t: t["audio"] | suffix(split_url(t["href"]).path).isin(fixed.MEDIA_SUFFIXES)
+    media = lambda t: t["audio"] | t["named"]
     enclosures = F.filter("tags", lambda t: (t["name"] == "enclosure") & media(t))
     links = F.filter("tags", lambda t: t["name"] == "link")
-    url = lambda array, i: absolute_url(base, F.get(array, F.lit(i))["href"])
+    url = lambda array, i: resolve_url(base, F.get(array, F.lit(i))["href"])
     audio_links = F.filter(links, lambda t: t["audio"])
     sets_audio = lambda t: ((t["name"] == "enclosure") & media(t)) | ((t["name"] == "link") & t["audio"])
     # An audio link counts as a page link only once the audio is known.
@@ -62,9 +63,9 @@ def parse_feeds(files: DataFrame) -> DataFrame:
         _first_text(item, "pubdate", "published", "updated", "date").alias("published"),
         F.nullif(_first_text(item, "duration"), F.lit("")).alias("duration"),
         F.when(F.size(page_links) > 0, url(page_links, 0)).alias("episode_url"),
-        F.when(F.size(enclosures) > 0, absolute_url(base, F.get(F.reverse(enclosures), F.lit(0))["href"]))
+        F.when(F.size(enclosures) > 0, resolve_url(base, F.get(F.reverse(enclosures), F.lit(0))["href"]))
         .when(F.size(audio_links) > 0, url(audio_links, 0)).alias("audio_url"),
-        F.transform(F.filter("tags", lambda t: t["name"] == "transcript"), lambda t: absolute_url(base, t["href"])).alias("transcript_urls"),
+        F.transform(F.filter("tags", lambda t: t["name"] == "transcript"), lambda t: resolve_url(base, t["href"])).alias("transcript_urls"),
         strip_markup(_first_text(item, "description", "summary", "content", "encoded")).alias("description"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from earmark.functions import fixed
 from earmark.functions.text import strip, unescape
-from earmark.functions.urls import absolute_url, split_url, suffix
+from earmark.functions.urls import resolve_url, split_url, suffix, url_base
 from earmark.sources.feeds import attribute
 
 _TAG = r"(?is)(<(?:meta|audio|source|link)\b[^>]*>)"
@@ -35,8 +35,8 @@ def parse_pages(pages: DataFrame, depth: int = 6) -> DataFrame:
             strip(attribute(t, "content")).alias("content"), attribute(t, "src").alias("src"), attribute(t, "href").alias("href"),
             F.lower(attribute(t, "type")).alias("type"), F.lower(attribute(t, "rel")).alias("rel"))
 
-    base = F.col("url")
-    rows = pages.select("page_id", "url", F.transform(F.regexp_extract_all(_visible(F.col("html")), F.lit(_TAG), 1), tag).alias("tags"),
+    base = F.col("_base")
+    rows = pages.select("page_id", "url", url_base(F.col("url")).alias("_base"), F.transform(F.regexp_extract_all(_visible(F.col("html")), F.lit(_TAG), 1), tag).alias("tags"),
                         F.regexp_extract_all(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), F.lit(r"(?is)<title\b[^>]*>(.*?)</title>"), 1).alias("titles"))
     media_type = lambda t: F.regexp_like(t["type"], F.lit("^(?:audio|video)/"))
     feed_type = lambda t: t["type"].isin("application/rss+xml", "application/atom+xml")
@@ -44,24 +44,24 @@ def parse_pages(pages: DataFrame, depth: int = 6) -> DataFrame:
     linked = lambda t: (t["name"] == "link") & (t["href"] != "")
     first_meta = lambda key: F.get(F.filter("tags", lambda t: meta(t) & (t["key"] == key)), F.lit(0))["content"]
     audio = F.transform("tags", lambda t: (
-        F.when(meta(t) & t["key"].isin("og:audio", "og:audio:url", "twitter:player:stream"), absolute_url(base, t["content"]))
+        F.when(meta(t) & t["key"].isin("og:audio", "og:audio:url", "twitter:player:stream"), resolve_url(base, t["content"]))
         .when(t["name"].isin("audio", "source") & (t["src"] != "") & ((t["name"] == "audio") | (t["type"] == "") | media_type(t)),
-              absolute_url(base, t["src"]))
-        .when(linked(t) & ~feed_type(t) & media_type(t), absolute_url(base, t["href"]))))
-    feeds = F.transform("tags", lambda t: F.when(linked(t) & feed_type(t), absolute_url(base, t["href"])))
+              resolve_url(base, t["src"]))
+        .when(linked(t) & ~feed_type(t) & media_type(t), resolve_url(base, t["href"]))))
+    feeds = F.transform("tags", lambda t: F.when(linked(t) & feed_type(t), resolve_url(base, t["href"])))
     written = F.transform("tags", lambda t: F.when(
         linked(t) & ~feed_type(t) & ~media_type(t) & (F.contains(t["rel"], F.lit("transcript")) | suffix(
-            split_url(absolute_url(base, t["href"])).path).isin(fixed.PAGE_TRANSCRIPT_SUFFIXES)), absolute_url(base, t["href"])))
+            split_url(resolve_url(base, t["href"])).path).isin(fixed.PAGE_TRANSCRIPT_SUFFIXES)), resolve_url(base, t["href"])))
     named = strip(F.array_join(F.transform("titles", unescape), " "))
     rows = rows.select(
         "page_id", "url", F.coalesce(first_meta("og:title"), named).alias("title"),
         F.coalesce(first_meta("music:duration"), first_meta("video:duration")).alias("duration"),
         F.array_compact(audio).alias("audio"), F.array_compact(feeds).alias("feeds"), F.array_compact(written).alias("written"))
-    nodes = jsonld_nodes(pages, depth).join(pages.select("page_id", "url"), "page_id")
+    nodes = jsonld_nodes(pages, depth).join(pages.select("page_id", url_base(F.col("url")).alias("_base")), "page_id")
     http = F.when(F.regexp_like("transcript", F.lit("^https?://")), F.col("transcript"))
     found = nodes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
         "path", "name", "duration",
-        F.array_compact(F.array(absolute_url(base, F.col("content_url")), absolute_url(base, F.col("embed_url")))).alias("audio"),
+        F.array_compact(F.array(resolve_url(base, F.col("content_url")), resolve_url(base, F.col("embed_url")))).alias("audio"),
         http.alias("written")))).alias("n"))
     rows = rows.join(found, "page_id", "left")
     listed = lambda field: F.coalesce(F.transform("n", lambda x: x[field]), F.array())
