@@ -16,17 +16,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earmark.functions import fixed
 from earmark.functions.text import casefold, occurrences, query_terms, ranking_terms, strip
-from earmark.operators.substring import SALTS, containing
+from earmark.operators.substring import containing
 from earmark.session import materialize
 
 KEY = ("episode_id", "chunk_id")
 
 
+HEAVY = 1_000_000
+
+
 def _salted(left: DataFrame, right: DataFrame, on: str, spread: Sequence[str]) -> DataFrame:
-    """Equality join whose left rows of one hot value are spread over salts."""
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", salt).join(copies, [on, "_salt"]).drop("_salt")
+    """Equality join that cuts the left rows of a heavy value into parts.
+
+    Only values with more than ``HEAVY`` left rows are salted, so the right
+    side is copied for those alone. There are at most ``rows / HEAVY`` of them
+    (a hundred thousand for 10^11 rows), which bounds what is broadcast.
+    """
+    heavy = left.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > HEAVY).select(
+        on, F.ceil(F.col("_n") / HEAVY).cast("int").alias("_parts"))
+    heavy = F.broadcast(heavy)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(heavy, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
+    copied = right.join(heavy, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [on, "_salt"]).drop("_salt")
 
 
 def postings(chunks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -128,14 +140,14 @@ def rank(
         "idf", F.log((size + 1) / (F.col("df") + 0.5)) + 1)
     # Only numbers are carried for all pairs; terms are listed for the hits.
     scored = _salted(matches, weighted.select("query_id", "term", "idf"), "term", key).groupBy("query_id", *key).agg(
-        F.sum((1 + F.log("tf")) * F.col("idf")).alias("base"), F.count("*").alias("matched"))
+        F.sum((1 + F.log("tf")) * F.col("idf")).alias("base"))
     phrases = queries.select(
         "query_id", strip(casefold(F.col("query"))).alias("phrase"),
         F.size(ranking_terms(F.col("query"))).alias("needed"))
-    # Only a chunk with every term of the query can contain the whole query.
-    scored = scored.join(phrases.select("query_id", "needed"), "query_id")
-    complete = scored.where("matched = needed").join(phrases.select("query_id", "phrase"), "query_id")
-    exact = complete.select("query_id", *key, "phrase").join(chunks.select(*key, "search_text"), list(key)).where(
+    # A chunk that contains the whole query has its rarest term, too.
+    rarest = weighted.groupBy("query_id").agg(F.max_by("term", F.struct("idf", "term")).alias("term")).join(
+        phrases.where("phrase <> ''").select("query_id", "phrase"), "query_id")
+    exact = _salted(matches.select("term", *key), rarest, "term", key).join(chunks.select(*key, "search_text"), list(key)).where(
         F.contains("search_text", "phrase")).select("query_id", *key)
     # A query without a single term can still match as a whole.
     bare = phrases.where("needed = 0 and phrase <> ''")
@@ -159,6 +171,7 @@ def rank(
     if top_k is not None:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), *key)
         hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, top_k))
+        hits = materialize(hits, "hits")
     said = hits.select("query_id", *key).join(asked, "query_id").join(matches.select("term", *key), ["term", *key])
     listed = said.groupBy("query_id", *key).agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("_t"))
     terms = F.coalesce(F.transform("_t", lambda t: t["term"]), F.array().cast("array<string>"))
