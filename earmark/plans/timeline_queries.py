@@ -61,8 +61,10 @@ _DIARIZED = """
     FROM v_segments s JOIN v_clean t USING (episode_id) GROUP BY ALL),
   b AS (SELECT *, row_number() OVER (PARTITION BY episode_id, segment_id ORDER BY ov DESC, first) AS r FROM o),
   d AS (
-    SELECT s.episode_id, s.segment_id, s.speaker AS old, b.speaker AS who, round(least(1.0, ov / greatest(1000,
-           CAST(round(end_seconds * 1000000) AS BIGINT) - CAST(round(start_seconds * 1000000) AS BIGINT))), 4) AS speaker_confidence
+    SELECT s.episode_id, s.segment_id, s.speaker AS old, b.speaker AS who,
+           -- An episode without turns has no confidence (least() skips nulls).
+           CASE WHEN ov IS NOT NULL THEN round(least(1.0, ov / greatest(1000,
+             CAST(round(end_seconds * 1000000) AS BIGINT) - CAST(round(start_seconds * 1000000) AS BIGINT))), 4) END AS speaker_confidence
     FROM v_segments s LEFT JOIN b ON b.episode_id = s.episode_id AND b.segment_id = s.segment_id AND r = 1)
 """
 
