@@ -274,3 +274,10 @@ def report_audit(checks: DataFrame, strict: bool = True, grounded: bool = True)
     names = REPORT_REQUIRED + (REPORT_STRICT + (REPORT_GROUNDED if grounded else []) if strict else [])
     failed = F.array_compact(F.array(*[F.when(~F.col(n), F.lit(n)) for n in names]))
     return checks.withColumn("failures", failed).withColumn("valid", F.size("failures") == 0)
+
+
+def write_collection(rows: DataFrame, path: str) -> None:
+    """One collection as CSV that spreadsheet programs read as UTF-8: the
+    first column's header carries the byte order mark."""
+    first = rows.columns[0]
+    rows.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")

@@ -303,3 +303,43 @@ def report_audit(spark, sf):
 SELECT report_id, quotes_match_transcript FROM checks WHERE NOT quotes_match_transcript"""))
 def report_quote_check(spark, sf):
     return _report_checks(spark, sf).where("NOT quotes_match_transcript").select("report_id", "quotes_match_transcript")
+
+
+# --- documents -------------------------------------------------------------------------
+
+
+def _documents(spark, sf):
+    """Every turn as an evidence document of its own, some of them broken."""
+    n, s = F.col("n"), F.col("segment_id")
+    refs = F.array(F.struct(clock(F.col("start_seconds")).alias("start"), F.array(s, s + 1).alias("segment_ids")))
+    claims = F.array(F.struct(F.col("text").alias("claim"), F.lit("fact").alias("kind"), refs.alias("evidence")),
+                     F.struct(F.col("speaker").alias("claim"), F.lit("rumor").alias("kind"), F.array().cast(
+                         "array<struct<start:string,segment_ids:array<bigint>>>").alias("evidence")))
+    version = F.when(n % 5 == 0, "3.0").otherwise("2.0").alias("schema_version")
+    whole = F.to_json(F.struct(version, claims.alias("claims")))
+    broken = F.to_json(F.struct(version, F.col("speaker").alias("claims")))
+    text = F.when(n % 7 == 0, broken).when(n % 11 == 0, F.lit("[1]")).otherwise(whole)
+    return _base(spark, sf).select(F.concat_ws("/", _EP, "pos").alias("episode_id"), text.alias("text"))
+
+
+@query("evidence_documents", with_views("v_evidence", f"""
+  w AS (SELECT *, episode_id || '/' || pos AS doc FROM v_l WHERE n % 7 <> 0 AND n % 11 <> 0)
+SELECT doc AS episode_id, CAST(0 AS BIGINT) AS idx, text AS claim, 'fact' AS kind, segment_id || ',' || segment_id + 1 AS segment_ids, {sql_clock('start_seconds')} AS start FROM w
+UNION ALL SELECT doc, 1, speaker, 'rumor', NULL, NULL FROM w"""))
+def evidence_documents(spark, sf):
+    from earmark.sources import evidence as documents
+
+    docs = materialize(_documents(spark, sf), "documents")
+    refs = documents.parse_references(docs).select("episode_id", "idx", F.array_join("segment_ids", ",").alias("segment_ids"), "start")
+    return documents.parse_collection(docs, "claims").select("episode_id", "idx", "claim", "kind").join(refs, ["episode_id", "idx"], "left")
+
+
+@query("evidence_document_issues", with_views("v_evidence", """
+  w AS (SELECT *, episode_id || '/' || pos AS doc FROM v_l)
+SELECT doc AS episode_id, 'claims_not_a_list' AS rule FROM w WHERE n % 7 = 0
+UNION ALL SELECT doc, 'not_an_object' FROM w WHERE n % 7 <> 0 AND n % 11 = 0
+UNION ALL SELECT doc, 'schema_version' FROM w WHERE n % 5 = 0 AND (n % 7 = 0 OR n % 11 <> 0)"""))
+def evidence_document_issues(spark, sf):
+    from earmark.sources import evidence as documents
+
+    return documents.document_issues(_documents(spark, sf))

@@ -213,3 +213,20 @@ def progress_eta(spark, sf):
     steps = table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("episode_id"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("done"))
     return timeline.progress(steps)
+
+
+@query("turn_documents", with_views("v_clean", """
+SELECT turn_no AS event_id, start, "end", speaker FROM v_clean"""))
+def turn_documents(spark, sf):
+    """Each event as a turn document, in the shapes such files come in."""
+    from earmark.sources.evidence import parse_turns
+
+    raw = _raw_turns(spark, sf)
+    k = F.col("turn_no") % 3
+    plain = F.struct("start", "end", "speaker")
+    other = F.struct(F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), F.col("speaker").alias("label"))
+    text = F.when(k == 0, F.to_json(F.array(plain))).when(k == 1, F.to_json(F.struct(F.array(other).alias("turns")))).otherwise(
+        F.to_json(F.struct(F.array(plain).alias("segments"))))
+    docs = raw.select(F.col("turn_no").cast("string").alias("episode_id"), text.alias("text"))
+    rows = timeline.clean_turns(parse_turns(docs))
+    return rows.select(F.col("episode_id").cast("long").alias("event_id"), "start", "end", "speaker")

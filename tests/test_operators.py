@@ -131,3 +131,10 @@ def test_quality_of_pathological_repetition(spark):
     r = transcripts.quality(df).first()
     assert (r.status, r.score, r.pathological_segments, r.warnings) == ("warn", 80, 2, ["repeated_tokens", "repeated_pattern"])
     assert {x.segment_id for x in transcripts.repeated_spans(df).collect()} == {2, 3}
+
+
+def test_collection_csv_has_a_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("主张", "00:01–00:02")], "claim string, evidence string")
+    evidence.write_collection(df.coalesce(1), str(tmp_path / "claims"))
+    part = next((tmp_path / "claims").glob("part-*.csv")).read_bytes()
+    assert part.startswith("﻿claim,evidence".encode()) and "主张" in part.decode()
