@@ -39,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("earmark.scratch.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="earmark-")
         spark.conf.set("earmark.scratch.dir", named)

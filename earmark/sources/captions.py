@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earmark.functions import fixed
-from earmark.functions.text import clean_text, speaker_and_text, strip, unescape
+from earmark.functions.text import clean_text, let, speaker_and_text, strip, unescape
 from earmark.functions.times import to_seconds
 
 _KEEP = ("episode_id", "pos", "start_seconds", "end_seconds", "speaker", "language", "confidence", "text")
@@ -21,24 +21,25 @@ def _rows(files: DataFrame, cues: Column) -> DataFrame:
     """Explode an array of cue structs; cues without text are dropped first."""
     full = F.filter(cues, lambda c: F.coalesce(c["text"], F.lit("")) != "")
     rows = files.select("episode_id", F.posexplode(full).alias("pos", "cue"))
-    have = set(rows.schema["cue"].dataType.fieldNames())
-    null = {"language": "string", "confidence": "double", "speaker": "string", "end_seconds": "double"}
-    pick = lambda n: F.col(f"cue.{n}").alias(n) if n in have else F.lit(None).cast(null[n]).alias(n)
-    return rows.select("episode_id", F.col("pos").cast("long").alias("pos"), *[pick(n) for n in _KEEP[2:]])
+    return rows.select("episode_id", F.col("pos").cast("long").alias("pos"), *[F.col(f"cue.{n}").alias(n) for n in _KEEP[2:]])
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 
 
-def _cue(start: Column, end: Column, speaker: Column, text: Column, **more: Column) -> Column:
-    return F.struct(start.alias("start_seconds"), end.alias("end_seconds"), speaker.alias("speaker"), text.alias("text"),
-                    *[c.alias(n) for n, c in more.items()])
+def _cue(start: Column, end: Column, speaker: Column, text: Column,
+         language: Column | None = None, confidence: Column | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        start.cast("double").alias("start_seconds"), end.cast("double").alias("end_seconds"), speaker.cast("string").alias("speaker"),
+        (none if language is None else language).cast("string").alias("language"),
+        (none if confidence is None else confidence).cast("double").alias("confidence"), text.alias("text"))
 
 
-def parse_captions(files: DataFrame) -> DataFrame:
+def caption_cues(text: Column) -> Column:
     """SRT and VTT: a line with ``t --> t`` opens a cue, a blank line ends it."""
-    text = F.regexp_replace("text", "\r\n?", "\n")
+    text = F.regexp_replace(text, "\r\n?", "\n")
     # A block is a time line and the non-blank lines after it.
     block = rf"(?m)^([^\n]*?{fixed.CUE_RANGE}[^\n]*(?:\n(?=[^\n]*\S)[^\n]*)*)"
     blocks = F.regexp_extract_all(text, F.lit(block), 1)
@@ -49,32 +50,35 @@ def parse_captions(files: DataFrame) -> DataFrame:
         at = lambda i: to_seconds(F.regexp_extract(F.split(b, "\n")[0], fixed.CUE_RANGE, i))
         return _cue(at(1), at(2), said["speaker"], said["text"])
 
-    return _rows(files, F.transform(blocks, cue))
+    return F.transform(blocks, cue)
 
 
-def parse_lines(files: DataFrame) -> DataFrame:
+def line_cues(text: Column) -> Column:
     """Plain text: ``[time] text`` lines; without any, the file is one cue."""
-    stripped = F.filter(F.transform(_lines(F.col("text")), strip), lambda x: x != "")
-    rows = files.select("episode_id", stripped.alias("all"))
-    timed = F.filter("all", lambda x: F.regexp_like(x, F.lit(fixed.BRACKET_LINE)))
-    starts = F.transform(F.col("timed"), lambda x: to_seconds(F.regexp_extract(x, fixed.BRACKET_LINE, 1)))
+    return let(F.filter(F.transform(_lines(text), strip), lambda x: x != ""), _cues_of_lines)
 
-    def cue(line: Column, i: Column) -> Column:
+
+def _cues_of_lines(lines: Column) -> Column:
+    timed = F.filter(lines, lambda x: F.regexp_like(x, F.lit(fixed.BRACKET_LINE)))
+    whole = clean_text(F.array_join(F.filter(lines, lambda x: ~F.startswith(x, F.lit("#"))), " "))
+    none = F.lit(None)
+    return let(timed, lambda found: F.when(F.size(found) > 0, _timed_lines(found)).otherwise(F.array(_cue(none, none, none, whole))))
+
+
+def _timed_lines(timed: Column) -> Column:
+    starts = F.transform(timed, lambda x: to_seconds(F.regexp_extract(x, fixed.BRACKET_LINE, 1)))
+
+    def cue(line: Column, i: Column, at: Column) -> Column:
         said = speaker_and_text(F.regexp_extract(line, fixed.BRACKET_LINE, 2))
         # The next line's time, whether or not that line has text.
-        return _cue(F.get("starts", i), F.get("starts", i + 1), said["speaker"], said["text"])
+        return _cue(F.get(at, i), F.get(at, i + 1), said["speaker"], said["text"])
 
-    rows = rows.withColumn("timed", timed).withColumn("starts", starts)
-    whole = clean_text(F.array_join(F.filter("all", lambda x: ~F.startswith(x, F.lit("#"))), " "))
-    none = F.lit(None).cast("double")
-    cues = F.when(F.size("timed") > 0, F.transform("timed", cue)).otherwise(
-        F.array(_cue(none, none, F.lit(None).cast("string"), whole)))
-    return _rows(rows, cues)
+    return let(starts, lambda at: F.transform(timed, lambda line, i: cue(line, i, at)))
 
 
-def parse_ass(files: DataFrame) -> DataFrame:
+def ass_cues(text: Column) -> Column:
     """ASS dialogue lines of exactly ten fields; the last keeps its commas."""
-    said = F.filter(_lines(F.col("text")), lambda x: F.regexp_like(x, F.lit(r"(?i)^\s*dialogue:")))
+    said = F.filter(_lines(text), lambda x: F.regexp_like(x, F.lit(r"(?i)^\s*dialogue:")))
 
     def cue(line: Column) -> Column:
         f = F.split(F.regexp_replace(line, r"^[^:]*:", ""), ",", 10)
@@ -82,7 +86,7 @@ def parse_ass(files: DataFrame) -> DataFrame:
         return _cue(to_seconds(F.get(f, F.lit(1))), to_seconds(F.get(f, F.lit(2))),
                     F.nullif(strip(F.get(f, F.lit(4))), F.lit("")), clean_text(body))
 
-    return _rows(files, F.transform(said, cue))
+    return F.transform(said, cue)
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -91,18 +95,18 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.nullif(got, F.lit(""))
 
 
-def parse_ttml(files: DataFrame) -> DataFrame:
+def ttml_cues(text: Column) -> Column:
     """TTML paragraphs of any namespace; the end may follow from ``dur``."""
     block = r"(?is)(<(?:[\w.-]+:)?p\b[^>]*(?<!/)>.*?</(?:[\w.-]+:)?p\s*>)"
 
     def cue(b: Column) -> Column:
         head = F.regexp_extract(b, r"(?s)^(<[^>]*>)", 1)
         start, end = to_seconds(_attribute(head, "begin")), to_seconds(_attribute(head, "end"))
-        text = clean_text(unescape(F.regexp_replace(b, fixed.ANY_TAG, " ")))
+        said = clean_text(unescape(F.regexp_replace(b, fixed.ANY_TAG, " ")))
         return _cue(start, F.coalesce(end, start + to_seconds(_attribute(head, "dur"))),
-                    F.coalesce(_attribute(head, "speaker"), _attribute(head, "voice")), text)
+                    F.coalesce(_attribute(head, "speaker"), _attribute(head, "voice")), said)
 
-    return _rows(files, F.transform(F.regexp_extract_all("text", F.lit(block), 1), cue))
+    return F.transform(F.regexp_extract_all(text, F.lit(block), 1), cue)
 
 
 _TEXT_KEYS = ("text", "transcript", "content")
@@ -119,19 +123,20 @@ def _filled(*values: Column) -> Column:
 
 
 
-def parse_json(files: DataFrame) -> DataFrame:
+def json_cues(text: Column) -> Column:
     """JSON segments under any of the usual keys and field names.
 
     ``start_ms``/``end_ms`` win over seconds. Texts that are not JSON give no rows.
     """
-    docs = files.select("episode_id", F.try_parse_json("text").alias("doc")).where("doc IS NOT NULL")
-    direct = F.try_variant_get("doc", "$", "array<variant>")
-    nested = [F.try_variant_get("doc", f"$.{key}", "array<variant>") for key in _LIST_KEYS]
-    deeper = [F.try_variant_get("doc", f"$.{outer}.{key}", "array<variant>") for outer in _LIST_KEYS for key in _LIST_KEYS]
-    ordered = [direct]
-    for i, n in enumerate(nested):
-        ordered += [n, *[F.when(F.size(d) > 0, d) for d in deeper[4 * i: 4 * i + 4]]]
-    docs = docs.select("episode_id", F.coalesce(*ordered, F.array().cast("array<variant>")).alias("items"))
+    return let(F.try_parse_json(text), _cues_of_json)
+
+
+def _cues_of_json(doc: Column) -> Column:
+    listed = lambda path: F.try_variant_get(doc, path, "array<variant>")
+    ordered = [listed("$")]
+    for outer in _LIST_KEYS:
+        ordered.append(listed(f"$.{outer}"))
+        ordered += [F.when(F.size(listed(f"$.{outer}.{key}")) > 0, listed(f"$.{outer}.{key}")) for key in _LIST_KEYS]
 
     def cue(item: Column) -> Column:
         get = lambda *names: F.coalesce(*[_field(item, n) for n in names])
@@ -143,44 +148,49 @@ def parse_json(files: DataFrame) -> DataFrame:
             clean_text(F.coalesce(_filled(*[_field(item, n) for n in _TEXT_KEYS]), F.lit(""))),
             language=_field(item, "language"), confidence=F.try_variant_get(item, "$.confidence", "double"))
 
-    return _rows(docs, F.transform("items", cue))
+    return F.transform(F.coalesce(*ordered, F.array().cast("array<variant>")), cue)
 
 
 _EVENTS = "struct<events:array<struct<tStartMs:double,dDurationMs:double,segs:array<struct<utf8:string>>>>>"
 
 
-def parse_events(files: DataFrame) -> DataFrame:
+def event_cues(text: Column) -> Column:
     """JSON3: timed events whose text is the joined segment pieces."""
-    docs = files.select("episode_id", F.from_json("text", _EVENTS).alias("doc"))
-    events = F.coalesce("doc.events", F.array().cast("array<struct<tStartMs:double,dDurationMs:double,segs:array<struct<utf8:string>>>>"))
+    events = F.coalesce(F.from_json(text, _EVENTS)["events"], F.array().cast("array<struct<tStartMs:double,dDurationMs:double,segs:array<struct<utf8:string>>>>"))
 
     def cue(e: Column) -> Column:
         text = clean_text(F.array_join(F.transform(F.coalesce(e["segs"], F.array().cast("array<struct<utf8:string>>")),
                                                    lambda s: F.coalesce(s["utf8"], F.lit(""))), ""))
         start = F.coalesce(e["tStartMs"], F.lit(0.0)) / 1000
         length = F.nullif(F.coalesce(e["dDurationMs"], F.lit(0.0)) / 1000, F.lit(0.0))
-        return _cue(start, start + length, F.lit(None).cast("string"), text)
+        return _cue(start, start + length, F.lit(None), text)
+
+    return F.transform(events, cue)
+
+
+def _parser(cues):
+    def parse(files: DataFrame) -> DataFrame:
+        return _rows(files, cues(F.col("text")))
+
+    parse.__doc__ = cues.__doc__
+    return parse
+
 
-    return _rows(docs, F.transform(events, cue))
+parse_captions, parse_lines, parse_ass = _parser(caption_cues), _parser(line_cues), _parser(ass_cues)
+parse_ttml, parse_json, parse_events = _parser(ttml_cues), _parser(json_cues), _parser(event_cues)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """Parse files by suffix; an unknown suffix is looked at for cue times.
 
-    ``files``: ``episode_id, suffix, text``. Each file takes exactly one branch.
+    ``files``: ``episode_id, suffix, text``. The texts are read once; only the
+    fitting parser runs on each.
     """
-    timed = F.regexp_like("text", F.lit(fixed.CUE_RANGE))
-    is_json = F.col("suffix").isin(".json", ".json3")
-    events = is_json & F.try_parse_json("text").isNotNull() & F.try_variant_get(
-        F.try_parse_json("text"), "$.events", "array<variant>").isNotNull()
-    kind = (
-        F.when(events, "events").when(is_json, "json").when(F.col("suffix") == ".ass", "ass")
-        .when(F.col("suffix").isin(".ttml", ".xml"), "ttml")
-        .when(F.col("suffix").isin(".srt", ".vtt") | timed, "captions").otherwise("lines"))
-    marked = files.withColumn("_kind", kind)
-    out = None
-    for name, parse in (("events", parse_events), ("json", parse_json), ("ass", parse_ass), ("ttml", parse_ttml),
-                        ("captions", parse_captions), ("lines", parse_lines)):
-        rows = parse(marked.where(F.col("_kind") == name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    text, end = F.col("text"), F.col("suffix")
+    has_events = F.try_variant_get(F.try_parse_json(text), "$.events", "array<variant>").isNotNull()
+    cues = (
+        F.when(end.isin(".json", ".json3"), F.when(has_events, event_cues(text)).otherwise(json_cues(text)))
+        .when(end == ".ass", ass_cues(text)).when(end.isin(".ttml", ".xml"), ttml_cues(text))
+        .when(end.isin(".srt", ".vtt") | F.regexp_like(text, F.lit(fixed.CUE_RANGE)), caption_cues(text))
+        .otherwise(line_cues(text)))
+    return _rows(files, cues)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from earmark.functions import fixed
 from earmark.functions.text import strip, unescape
 from earmark.functions.urls import resolve_url, split_url, suffix, url_base
+from earmark.session import materialize
 from earmark.sources.feeds import attribute
 
 _TAG = r"(?is)(<(?:meta|audio|source|link)\b[^>]*>)"
@@ -83,6 +84,8 @@ def jsonld_nodes(pages: DataFrame, depth: int = 6) -> DataFrame:
     """
     spark = pages.sparkSession
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_JSON_LD), 1)).alias("b", "json"))
+    # Few pages have such blocks; they are found once for all levels.
+    blocks = materialize(blocks, "json-ld")
     level = blocks.select("page_id", F.array("b").alias("path"), F.try_parse_json("json").alias("node")).where("node IS NOT NULL")
     levels = [level]
     for _ in range(depth):
