@@ -19,7 +19,6 @@ def local_session(cores: str | int = "*", shuffle: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         # Small local data: keep all cores busy rather than few partitions full.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.driver.memory", os.environ.get("EARMARK_DRIVER_MEMORY", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass",
