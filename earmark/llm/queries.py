@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earmark.llm import bpe, lines, raking, simhash, unigram
+from earmark.llm import bayes, bpe, editcounts, lattice, lines, raking, repair, simhash, unigram, urllists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op1_lattice", """
+WITH RECURSIVE sound AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.n AS a, b.n AS b FROM sound a JOIN sound b ON a.label = b.label AND a.n <> b.n AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT n, n FROM sound UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT r.a, min(s.vec_id) AS component_id FROM reach r JOIN sound s ON r.b = s.n GROUP BY r.a),
+number AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM sound JOIN least ON n = least.a LEFT JOIN number ON n = number.a
+UNION ALL
+SELECT vec_id, 0::BIGINT, vec_id, true FROM embeddings WHERE NOT coalesce(label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false)
+""")
+def lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode_table(table(spark, sf_dir, "documents"))
@@ -53,3 +74,63 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing", raking.mix_sql())
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mix_table(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 9))
+
+
+def _entries(pages: DataFrame) -> DataFrame:
+    """A dated block list out of the pages: each names its domain, host, first folder or whole path, to be listed or unlisted."""
+    digit = lambda a, n: F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), a, n), 16, 10).cast("int")
+    host, path = urllists.host_of("url"), urllists.path_of("url")
+    labels = F.split(host, "\\.")
+    domain = F.when(F.size(labels) > 3, F.array_join(F.slice(labels, 2, 300), ".")).otherwise(host)
+    kind = F.floor(digit(1, 1) / 4)
+    folder = F.concat(F.lit("/"), F.element_at(F.split(F.concat(path, F.lit("//")), "/"), 2))
+    return pages.select(F.when(kind == 0, domain).otherwise(host).alias("host"), F.when(kind == 2, folder).when(kind == 3, path).otherwise("").alias("prefix"),
+                        F.date_add(F.lit("2024-01-01").cast("date"), digit(3, 4) % 366).alias("day"), (digit(2, 1) < 10).alias("listed"))
+
+
+@query("op5_url_lists", r"""
+WITH p AS (SELECT page_id, md5(page_id::VARCHAR) AS m, lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '')) AS h,
+  regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM pages),
+captures AS MATERIALIZED (SELECT page_id, CASE WHEN length(h) BETWEEN 1 AND 253 THEN h ELSE '' END AS host, coalesce(path, '') AS path, m, DATE '2024-01-01' + (('0x' || substr(m, 7, 4))::INT % 366) AS day FROM p),
+kinds AS (SELECT *, ('0x' || substr(m, 1, 1))::INT // 4 AS kind, string_split(host, '.') AS labels FROM captures),
+entries AS (SELECT CASE WHEN kind = 0 AND len(labels) > 3 THEN array_to_string(labels[2:], '.') ELSE host END
+    || CASE kind WHEN 2 THEN '/' || string_split(path || '//', '/')[2] WHEN 3 THEN path ELSE '' END AS key,
+  DATE '2024-01-01' + (('0x' || substr(m, 3, 4))::INT % 366) AS day, ('0x' || substr(m, 2, 1))::INT < 10 AS listed FROM kinds WHERE host <> ''),
+daily AS (SELECT regexp_replace(key, '/+$', '') AS key, day, bool_or(listed) AS listed FROM entries GROUP BY ALL),
+spans AS MATERIALIZED (SELECT key, day AS since, lead(day) OVER (PARTITION BY key ORDER BY day) AS until, listed FROM daily),
+keys AS (SELECT page_id, day, unnest(list_distinct(list_concat(list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.')),
+  list_transform(range(2, len(string_split(path, '/')) + 1), lambda i: host || array_to_string(string_split(path, '/')[:i], '/'))))) AS key FROM kinds WHERE host <> ''),
+hits AS (SELECT page_id, count(*) AS n, max(struct_pack(l := length(key), k := key)).k AS matched FROM keys JOIN spans USING (key)
+  WHERE listed AND since <= day AND (until IS NULL OR day < until) GROUP BY page_id)
+SELECT page_id, host, day::VARCHAR AS fetch_day, coalesce(n, 0)::BIGINT AS n_matches, matched, n IS NULL AS kept FROM captures LEFT JOIN hits USING (page_id)
+""")
+def url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 7, 4), 16, 10).cast("int") % 366)
+    found = urllists.filter_captures(pages.withColumn("day", day), _entries(pages))
+    return found.select("page_id", "host", F.col("day").cast("string").alias("fetch_day"), "n_matches", "matched", "kept")
+
+
+@query("op3_site_quality")
+def site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _edits() -> Column:
+    """Three edits of a document, from its own id and text: at each place some characters go and others of the text come in."""
+    digit = lambda k, n: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(k)), F.col("doc_id").cast("string")).cast("binary")), n, 6), 16, 10).cast("int")
+    length = F.coalesce(F.length("text"), F.lit(0))
+    one = lambda k: F.struct(F.pmod(digit(k, 1), length + 1).alias("start"), (F.pmod(digit(k, 1), length + 1) + digit(k, 7) % 25).alias("end"),
+                             F.substring("text", F.pmod(digit(k, 13), length + 1) + 1, digit(k, 19) % 18).alias("insert"))
+    return F.array(*map(one, range(3)))
+
+
+@query("op7_edit_counts")
+def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = editcounts.count_table(table(spark, sf_dir, "documents"), _edits())
+    return counted.select("doc_id", "tokens_before", "tokens_after", "reencoded", F.size("leaf_tokens").cast("long").alias("n_leaves"), F.sha2("edited", 256).alias("edited_sha256"))
+
+
+@query("op6_repair_shards")
+def repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.write_and_index(table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import Scratch
+from earmark.llm.common import Scratch, key_of
 
 #: Topics by the first pattern that a text matches, in this order; else OTHER.
 TOPICS = (
@@ -56,11 +56,6 @@ def draw_of(doc_id: Column | str, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def key_of(value: Column | str) -> Column:
-    """A value as text that is never null: ``v`` and the value, or ``n``."""
-    return F.coalesce(F.concat(F.lit("v"), F.col(value) if isinstance(value, str) else value), F.lit("n"))
-
-
 def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
     """Target shares of a dimension: its shares of the tokens to the power ``temper``, normalised."""
     sums = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("tokens"))
