@@ -2,8 +2,8 @@
 
 A shard is a run of documents in id order, some ``SHARD_TOKENS`` tokens. Its ids
 are packed by replacing frequent adjacent pairs by new symbols, round after
-round: each round takes all pairs that are at least a quarter as frequent as the
-most frequent one, the more frequent pair first where two overlap. No pair
+round: each round takes all pairs that are at least a tenth (``DOWN``) as
+frequent as the most frequent one, the more frequent pair first where two overlap. No pair
 crosses from one document into the next, so a document can be decoded alone.
 
 A shard file is binary: a magic word, six counts, then as 32-bit integers the
@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from earmark.llm.common import Scratch, slices, vocabulary_path
 WORD_49K, END = "word_bpe_49k.json", 1
 SHARD_TOKENS = 1 << 20
 #: A pair that is there less often is left as it is.
-LEAST, ROUNDS = 8, 12
+LEAST, ROUNDS, DOWN = 8, 6, 10
 #: Words whose ids a task remembers; doesn't change a result.
 REMEMBERED = 500_000
 MAGIC = b"RPAIR001"
@@ -50,17 +51,27 @@ class Words:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").encode().split() for t in texts]
-        distinct = set().union(*words)
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known, out, open_ = self.known, [], []
+        for text in texts:
+            one = (text or "").encode().split()
+            ids = list(map(known.get, one))
+            if None in ids:
+                open_.append((len(out), one))
+                out.append(ids)
+            else:
+                out.append(np.frombuffer(b"".join(ids), dtype=np.uint32))
+        new = list({w for at, one in open_ for w, ids in zip(one, out[at], strict=True) if ids is None})
         for at in range(0, len(new), 10_000):
             some = new[at:at + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, dtype=np.uint32).tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join(map(known.__getitem__, one)), dtype=np.uint32) for one in words]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            ends = (4 * np.cumsum([0, *map(len, found)])).tolist()
+            packed = np.array(list(chain.from_iterable(found)), dtype=np.uint32).tobytes()
+            known.update((w, packed[a:b]) for w, a, b in zip(some, ends, ends[1:], strict=False))
+        for at, one in open_:
+            out[at] = np.frombuffer(b"".join(map(known.__getitem__, one)), dtype=np.uint32)
+        return out
 
 
 @cache
@@ -76,28 +87,26 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np
     base = int(symbols.max()) + 1 if len(symbols) else 0
     closes = np.zeros(len(symbols), dtype=bool)  # the last symbol of a document
     closes[ends[np.diff(ends, prepend=0) > 0] - 1] = True
-    symbols, rules, lengths = symbols.astype(np.int64), np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    symbols, rules, lengths = symbols.astype(np.uint32), np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
         # Rough counts by a small digest first: only pairs that may be frequent are counted exactly.
-        digest = (symbols[:-1] * 0x9E3779B1 ^ symbols[1:] * 0x85EBCA77) & 0x3FFFFF
-        rough = np.bincount(digest[~closes[:-1]], minlength=1 << 22)
-        at = np.flatnonzero((rough[digest] >= max(LEAST, rough.max() // 8)) & ~closes[:-1])
-        keys, number, counts = np.unique(symbols[at] << 32 | symbols[at + 1], return_inverse=True, return_counts=True)
+        digest = (symbols[:-1] * np.uint32(0x9E3779B1) ^ symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)
+        digest[closes[:-1]] = 1 << 18
+        rough = np.bincount(digest, minlength=(1 << 18) + 1)
+        rough[-1] = 0
+        at = np.flatnonzero((rough >= max(LEAST, rough.max() // DOWN))[digest])
+        pair = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
+        keys, number, counts = np.unique(pair, return_inverse=True, return_counts=True)
         if not len(counts) or counts.max() < LEAST:
-            if not len(counts) or rough.max() < LEAST:
-                break
-            at = np.flatnonzero(~closes[:-1])  # the digest misled: count all pairs
-            keys, number, counts = np.unique(symbols[at] << 32 | symbols[at + 1], return_inverse=True, return_counts=True)
-            if counts.max() < LEAST:
-                break
-        chosen = counts >= max(LEAST, counts.max() // 4)
+            break
+        chosen = counts >= max(LEAST, counts.max() // DOWN)
         at, number = at[chosen[number]], number[chosen[number]]
         # The more frequent pair first; alike ones by key. Of overlapping places the better one wins, from the left.
         place = np.empty(len(keys), dtype=np.int64)
         place[np.lexsort((keys, -counts))] = np.arange(len(keys))
-        rank = np.full(len(symbols) + 1, len(keys) + 1)
+        rank = np.full(len(symbols) + 1, len(keys) + 1, dtype=np.int32)
         rank[at] = place[number]
         taken = np.zeros(len(symbols) + 1, dtype=bool)
         while len(at):
@@ -111,7 +120,7 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np
                 rank[gone[gone >= 0]] = len(keys) + 1
             at = at[rank[at] <= len(keys)]
         won = np.flatnonzero(taken[:-1])
-        pairs = symbols[won] << 32 | symbols[won + 1]
+        pairs = symbols[won].astype(np.int64) << 32 | symbols[won + 1]
         kinds, which = np.unique(pairs, return_inverse=True)
         new = np.stack([kinds >> 32, kinds & 0xFFFFFFFF], axis=1)
         size = np.where(new < base, 1, lengths[np.maximum(new - base, 0)] if len(lengths) else 1).sum(axis=1)
