@@ -17,12 +17,14 @@ plain from the ranks, and merges one pair a pre-token at a time otherwise.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
@@ -31,10 +33,12 @@ from pyspark.sql import functions as F
 from earmark.llm.common import read_ranks, slices, vocabulary_path
 
 MULTI_50K = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a task remembers, and bytes of one that it remembers at most. Neither changes a result.
-REMEMBERED, REMEMBERED_BYTES = 700_000, 200
+#: Runs between spaces whose ids a task remembers, and characters of one that it remembers at most. Neither changes a result.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 200
 #: Bytes that go through one queue, but for a single longer pre-token.
-QUEUE_BYTES = 2 << 20
+QUEUE_BYTES = 1 << 20
+#: Ids that are decoded together.
+DECODED = 1 << 20
 
 
 class RankQueue:
@@ -89,8 +93,9 @@ class Vocabulary:
         self.tokens: list[bytes] = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.texts = [str(i) for i in range(self.size)]
-        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        size = np.array([len(t) for t in self.tokens])
+        self.layout = size, np.cumsum(size) - size, np.frombuffer(b"".join(self.tokens), dtype=np.uint8)  # all tokens' bytes, one after the other
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs, doubtful = {}, set()
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -99,16 +104,32 @@ class Vocabulary:
                     pairs[left * self.size + right] = rank
                     if cut > 1 and left > rank or len(token) - cut > 1 and right > rank:
                         doubtful.add(token)
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.made = np.array([pairs[k] for k in sorted(pairs)], dtype=np.int64)
+        # A hash table of the pairs, a quarter full at most.
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.spread, self.mask, self.shift = np.int64(0x2545F4914F6CDD1D), np.int64((1 << 62) - 1), np.int64(62 - bits)
+        self.slots, self.made = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+        for key, at in zip(pairs, ((np.array([*pairs], dtype=np.int64) * self.spread & self.mask) >> self.shift).tolist(), strict=True):
+            while self.slots[at] >= 0:
+                at = (at + 1) & ((1 << bits) - 1)
+            self.slots[at], self.made[at] = key, pairs[key]
+        order = [bytes([a, b]) for a in range(256) for b in range(256)]
+        self.byte_pairs = np.array([ranks.get(pair, self.size) for pair in order], dtype=np.int32)
         self.at_once = False
         self.at_once = all(len(ids) == 4 for ids in self.encode_pieces(sorted(doubtful)))
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair makes, ``size`` if none."""
-        keys = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.made[at], self.size)
+        keys = left.astype(np.int64) * self.size + right
+        at = (keys * self.spread & self.mask) >> self.shift
+        out = np.full(len(keys), self.size, dtype=np.int32)
+        open_ = np.arange(len(keys))
+        while len(open_):  # linear probing; an empty slot ends the search
+            there = self.slots[at]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.made[at[hit]]
+            on = ~hit & (there >= 0)
+            open_, at = open_[on], (at[on] + 1) & (len(self.slots) - 1)
+        return out
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each pre-token by itself, packed as 32-bit integers."""
@@ -130,28 +151,30 @@ class Vocabulary:
         if not n:
             return [b"" for _ in pieces]
         ids = self.bytes[data]
-        piece = np.repeat(np.arange(len(pieces)), np.diff(ends, prepend=0))
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1: no neighbour
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), np.diff(ends, prepend=0))
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)  # n and -1: no neighbour
         last = ends[np.diff(ends, prepend=0) > 0] - 1
         after[last] = n
         before[np.append(0, last[:-1] + 1)] = -1
-        rank = np.full(n + 1, none)  # of the pair that begins at each place
+        rank = np.full(n + 1, none, dtype=np.int32)  # of the pair that begins at each place
+        small = np.uint16 if none < 1 << 16 else np.int32
         alive = np.ones(n, dtype=bool)
         queue = RankQueue(self.size)
 
         def enqueue(places: np.ndarray) -> None:
+            found = rank[places]
+            some = found < none
+            places, found = places[some], found[some]
             if not len(places):
                 return
-            order = np.argsort(rank[places], kind="stable")
-            places = places[order]
-            found = rank[places]
+            order = np.argsort(found.astype(small), kind="stable")
+            places, found = places[order], found[order]
             cuts = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist(), len(places)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if found[a] < none:
-                    queue.push(int(found[a]), places[a:b])
+            for a, b, r in zip(cuts, cuts[1:], found[cuts[:-1]].tolist(), strict=False):
+                queue.push(r, places[a:b])
 
-        inner = np.flatnonzero(after < n)
-        rank[inner] = self.pair_ranks(ids[inner], ids[after[inner]])
+        inner = np.flatnonzero(after < n).astype(np.int32)
+        rank[inner] = self.byte_pairs[data[inner].astype(np.int64) << 8 | data[inner + 1]]
         enqueue(inner)
         while (popped := queue.pop()) is not None:
             r, places = popped
@@ -201,36 +224,52 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+#: A space between two characters that are none always ends a pre-token: the pattern takes it with what follows.
+alone = re.compile(r"(?<=\S) (?=\S)").split
+
+
 class Encoder:
-    """Encodes texts and remembers the pre-tokens it has met."""
+    """Encodes texts and remembers the runs between single spaces that it has met."""
 
     def __init__(self, path: str, pattern: str = PATTERN):
         self.vocabulary = vocabulary(path)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}  # ids of a run with the space before it
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, packed as 32-bit integers; null has none."""
-        pieces = [self.split(t) if t else [] for t in texts]
-        known, ranks = self.known, self.vocabulary.ranks
-        words = set(chain.from_iterable(pieces))
-        new = [w for w in words if w not in known]
-        found: dict[str, bytes] = {}
-        hard: list[str] = []
-        for word in new:
-            whole = ranks.get(word.encode())
+    def encode_all(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens; those that are no token themselves go through one queue."""
+        ranks, found, hard = self.vocabulary.ranks, {}, []
+        for piece in pieces:
+            whole = ranks.get(piece.encode())
             if whole is None:
-                hard.append(word)
+                hard.append(piece)
             else:
-                found[word] = whole.to_bytes(4, "little")
-        found.update(zip(hard, self.vocabulary.encode_pieces([w.encode() for w in hard]), strict=True))
-        if len(known) + len(found) > REMEMBERED:  # keep what this slice uses
-            known = self.known = {w: known[w] for w in words if w in known}
-        known.update(found)
-        out = [b"".join(map(known.__getitem__, one)) for one in pieces]
-        for word in hard:
-            if len(word) > REMEMBERED_BYTES:
-                del known[word]
+                found[piece] = whole.to_bytes(4, "little")
+        found.update(zip(hard, self.vocabulary.encode_pieces([p.encode() for p in hard]), strict=True))
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, packed as 32-bit integers; null has none."""
+        split, runs = self.split, self.runs
+        cut = [alone(t) if t else [""] for t in texts]
+        # Runs after the first have a space before them.
+        look = [list(map(runs.get, one)) for one in cut]
+        new = {r: split(" " + r) for r in {r for one, ids in zip(cut, look, strict=True) if None in ids for r, i in zip(one, ids, strict=True) if i is None}}
+        first = [split(one[0]) for one in cut]
+        known = self.encode_all(set().union(*new.values(), *first)).__getitem__
+        if len(runs) + len(new) > REMEMBERED:  # keep what this slice uses
+            used = set().union(*cut)
+            runs = self.runs = {r: ids for r, ids in runs.items() if r in used}
+        runs.update((r, b"".join(map(known, pieces))) for r, pieces in new.items())
+        out = []
+        for one, ids, begin in zip(cut, look, first, strict=True):
+            if None in ids:
+                ids = list(map(runs.__getitem__, one))
+            ids[0] = b"".join(map(known, begin))
+            out.append(b"".join(ids))
+        for r in new:
+            if len(r) > REMEMBERED_BYTES:
+                del runs[r]
         return out
 
 
@@ -259,7 +298,7 @@ def encode(text: Column | str, path: str | None = None) -> Column:
     def token_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = encoder(path)
         for batch in batches:
-            parts = [packed_lists(coder.encode(texts)) for texts in slices(batch)]
+            parts = [packed_lists(coder.encode(texts)) for texts in slices(batch, 4 << 20)]
             yield pa.concat_arrays(parts) if parts else packed_lists([])
 
     return token_ids(text)
@@ -274,11 +313,20 @@ def decode(ids: Column | str, path: str | None = None) -> Column:
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = vocabulary(path).tokens
+        size, begin, data = vocabulary(path).layout
         for batch in batches:
-            step = max(1, int(len(batch) * (8 << 20) / max(batch.nbytes, 1)))
-            parts = [pa.array([b"".join(map(tokens.__getitem__, one or ())) for one in batch.slice(at, step).to_pylist()], type=pa.binary())
-                     for at in range(0, len(batch), step)]
+            parts = []
+            step = max(1, DECODED * len(batch) // max(len(batch.values), 1))
+            for at in range(0, len(batch), step):
+                some = batch.slice(at, step).fill_null([])
+                ids = some.flatten().to_numpy(zero_copy_only=False)
+                if ids.dtype.kind != "i" or len(ids) and (ids.min() < 0 or ids.max() >= len(size)):
+                    raise ValueError("an id outside the vocabulary")
+                length = size[ids]
+                ends = np.concatenate([[0], np.cumsum(length)])
+                taken = data[np.repeat(begin[ids] - ends[:-1], length) + np.arange(ends[-1])]
+                cuts = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(some).to_numpy())])]
+                parts.append(pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(taken)]))
             yield pa.concat_arrays(parts) if parts else pa.array([], type=pa.binary())
 
     return decoded(ids)
