@@ -34,11 +34,11 @@ from earmark.llm.common import read_ranks, slices, vocabulary_path
 
 MULTI_50K = "byte_bpe_multi_50k.tiktoken"
 #: Runs between spaces whose ids a task remembers, and characters of one that it remembers at most. Neither changes a result.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 200
+REMEMBERED, REMEMBERED_BYTES = 400_000, 200
 #: Bytes that go through one queue, but for a single longer pre-token.
 QUEUE_BYTES = 1 << 20
 #: Ids that are decoded together.
-DECODED = 1 << 20
+DECODED = 1 << 18
 
 
 class RankQueue:
@@ -298,7 +298,7 @@ def encode(text: Column | str, path: str | None = None) -> Column:
     def token_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = encoder(path)
         for batch in batches:
-            parts = [packed_lists(coder.encode(texts)) for texts in slices(batch, 4 << 20)]
+            parts = [packed_lists(coder.encode(texts)) for texts in slices(batch, 2 << 20)]
             yield pa.concat_arrays(parts) if parts else packed_lists([])
 
     return token_ids(text)
