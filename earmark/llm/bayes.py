@@ -35,7 +35,7 @@ from earmark.llm.common import Scratch, key_of, slices
 
 FIT_ROWS, BUCKETS, PENALTY, STEPS = 20_000, 1 << 16, 1.0, 150
 #: Words a task remembers; doesn't change a result.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: The share of a corpus that is worth keeping, where nothing is known.
 KEEP_AT = 0.5
 
@@ -115,6 +115,7 @@ def evidence(text: Column | str, model: tuple[np.ndarray, float], docs: DataFram
                     odds = float(weight[np.fromiter(sorted(buckets), dtype=np.int64, count=len(buckets))].sum()) + bias
                     found.append(1 / (1 + math.exp(-min(max(odds, -30.0), 30.0))))
             yield pa.array(found, type=pa.float64())
+        _known.clear()  # workers live on: nothing is kept between tasks
 
     return chance(text)
 

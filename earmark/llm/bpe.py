@@ -235,6 +235,7 @@ class Encoder:
         self.vocabulary = vocabulary(path)
         self.split = regex.compile(pattern).findall
         self.runs: dict[str, bytes] = {}  # ids of a run with the space before it
+        self.last: list[list[str]] = []
 
     def encode_all(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pre-tokens; those that are no token themselves go through one queue."""
@@ -270,8 +271,14 @@ class Encoder:
         for r in new:
             if len(r) > REMEMBERED_BYTES:
                 del runs[r]
+        self.last = cut
         return out
 
+    def rest(self) -> None:
+        """Between tasks, only what the last slice used is remembered: workers live on, and other operators run in them."""
+        used = set().union(*self.last)
+        self.runs, self.last = {r: ids for r, ids in self.runs.items() if r in used}, []
+
 
 @cache
 def encoder(path: str) -> Encoder:
@@ -300,6 +307,7 @@ def encode(text: Column | str, path: str | None = None) -> Column:
         for batch in batches:
             parts = [packed_lists(coder.encode(texts)) for texts in slices(batch, 2 << 20)]
             yield pa.concat_arrays(parts) if parts else packed_lists([])
+        coder.rest()
 
     return token_ids(text)
 

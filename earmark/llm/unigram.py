@@ -37,7 +37,7 @@ from earmark.llm.common import slices, vocabulary_path
 PIECES = "piece_bpe_32k.model"
 FIT_DOCS, MAX_LANGUAGES, ROUNDS = 2_000, 400, 4
 #: Words a task remembers; doesn't change a result.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Weight, in pieces, of what all languages share in each one's probabilities.
 SHARED = 200.0
 #: Each character counts this much more likely while words are summed up, to stay within range; taken out again.
@@ -330,6 +330,7 @@ def predict(text: Column | str, model: Model, docs: DataFrame) -> Column:
         for batch in batches:
             found = [x for texts in slices(batch, 2 << 20) for x in shared.value.predict(texts)]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], type=pa.string()), pa.array([x[1] for x in found], type=pa.float64())], names=["lang_pred", "score"])
+        shared.value.known, shared.value.rows = {}, None  # workers live on: nothing is kept between tasks
 
     return predicted(text)
 
