@@ -35,8 +35,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with the token ids, their number, and whether they decode to the text."""
-    encoded = docs.withColumn("token_ids", bpe.encode(F.coalesce("text", F.lit(""))))
-    return encoded.withColumns({"n_tokens": F.size("token_ids").cast("long"), "round_trip": bpe.decode("token_ids") == F.coalesce("text", F.lit("")).cast("binary")})
+    coded = docs.withColumn("coded", bpe.encode_and_decode(F.coalesce("text", F.lit(""))))
+    return coded.select(*docs.columns, "coded.token_ids", F.size("coded.token_ids").cast("long").alias("n_tokens"), "coded.round_trip")
 
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]

@@ -312,6 +312,41 @@ def encode(text: Column | str, path: str | None = None) -> Column:
     return token_ids(text)
 
 
+def decoded_bytes(ids: pa.Array, words: Vocabulary) -> pa.Array:
+    """Bytes of each list of ids."""
+    size, begin, data = words.layout
+    parts, step = [], max(1, DECODED * len(ids) // max(len(ids.values), 1))
+    for at in range(0, len(ids), step):
+        some = ids.slice(at, step).fill_null([])
+        every = some.flatten().to_numpy(zero_copy_only=False)
+        if every.dtype.kind != "i" or len(every) and (every.min() < 0 or every.max() >= len(size)):
+            raise ValueError("an id outside the vocabulary")
+        length = size[every]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        taken = data[np.repeat(begin[every] - ends[:-1], length) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(some).to_numpy())])]
+        parts.append(pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(taken)]))
+    return pa.concat_arrays(parts) if parts else pa.array([], type=pa.binary())
+
+
+def encode_and_decode(text: Column | str, path: str | None = None) -> Column:
+    """A struct of ``token_ids`` and ``round_trip``: whether the ids decode to the text's bytes. Null counts as empty."""
+    path = path or vocabulary_path(MULTI_50K)
+
+    @F.arrow_udf("token_ids array<int>, round_trip boolean")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = encoder(path)
+        for batch in batches:
+            ids, same = [packed_lists([])], [pa.array([], type=pa.bool_())]
+            for texts in slices(batch, 2 << 20):
+                ids.append(packed_lists(coder.encode(texts)))
+                same.append(pc.equal(decoded_bytes(ids[-1], coder.vocabulary), pa.array([(t or "").encode() for t in texts], type=pa.binary())))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(same)], names=["token_ids", "round_trip"])
+        coder.rest()
+
+    return both(text)
+
+
 def decode(ids: Column | str, path: str | None = None) -> Column:
     """Bytes of an array of token ids; null and empty arrays give no bytes.
 
@@ -321,21 +356,9 @@ def decode(ids: Column | str, path: str | None = None) -> Column:
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        size, begin, data = vocabulary(path).layout
+        words = vocabulary(path)
         for batch in batches:
-            parts = []
-            step = max(1, DECODED * len(batch) // max(len(batch.values), 1))
-            for at in range(0, len(batch), step):
-                some = batch.slice(at, step).fill_null([])
-                ids = some.flatten().to_numpy(zero_copy_only=False)
-                if ids.dtype.kind != "i" or len(ids) and (ids.min() < 0 or ids.max() >= len(size)):
-                    raise ValueError("an id outside the vocabulary")
-                length = size[ids]
-                ends = np.concatenate([[0], np.cumsum(length)])
-                taken = data[np.repeat(begin[ids] - ends[:-1], length) + np.arange(ends[-1])]
-                cuts = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(some).to_numpy())])]
-                parts.append(pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(taken)]))
-            yield pa.concat_arrays(parts) if parts else pa.array([], type=pa.binary())
+            yield decoded_bytes(batch, words)
 
     return decoded(ids)
 

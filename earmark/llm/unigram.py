@@ -125,8 +125,12 @@ def steps(rows: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 def with_spelled(table: np.ndarray, spelled: list[list[int]]) -> np.ndarray:
-    """``table`` (pieces x languages) with a row for each spelled character."""
-    return np.vstack([table, *[table[one].prod(axis=0, keepdims=True) for one in spelled]]) if spelled else table
+    """``table`` (pieces x languages, lifted) with a row for each spelled character, lifted as one character."""
+    return np.vstack([table, *[spell(table, one)[None] for one in spelled]]) if spelled else table
+
+
+def spell(table: np.ndarray, byte_pieces: list[int]) -> np.ndarray:
+    return table[byte_pieces].prod(axis=0) / LIFT ** (len(byte_pieces) - 1)
 
 
 @dataclass
@@ -152,7 +156,8 @@ class Model:
         """Log probability of each word (with its word mark) in each language."""
         out = np.zeros((len(words), len(self.languages)))
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        step = max(1, 4_000_000 // (24 * len(self.languages)))
+        short.sort(key=lambda i: len(words[i]))  # words of a length together: the tables are as long as the longest
+        step = max(1, 40_000 // len(self.languages))
         for at in range(0, len(short), step):
             index = short[at:at + step]
             out[index] = self._short([words[i] for i in index])
@@ -180,7 +185,7 @@ class Model:
         for a in range(n):
             here = window[0]
             if word[a] not in number:
-                window[1] += here * self.lifted[[vocabulary.byte[b] for b in word[a].encode("utf-8", "replace")]].prod(axis=0)
+                window[1] += here * spell(self.lifted, [vocabulary.byte[b] for b in word[a].encode()])
             for b in range(a + 1, n + 1):
                 part = word[a:b]
                 if part in number:
@@ -258,8 +263,8 @@ def expected(counts: DataFrame, languages: list[str], chances: np.ndarray, path:
         total = np.zeros(table.shape)
         for batch in batches:
             rows = [r for r in zip(batch["lang"].to_pylist(), batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True) if len(r[1]) < LONG]
-            for at in range(0, len(rows), 50_000):
-                part = rows[at:at + 50_000]
+            for at in range(0, len(rows), 10_000):
+                part = rows[at:at + 10_000]
                 words = ["▁" + r[1] for r in part]
                 lang, weight = np.array([number[r[0]] for r in part]), np.array([r[2] for r in part], dtype=float)
                 edges, spelled = pieces(path).edges(words)
