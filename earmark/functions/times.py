@@ -80,7 +80,10 @@ def published_at(c: Column) -> Column:
     short = F.regexp_like(zoned, F.lit(r"^\d{1,2} [A-Za-z]{3} \d{2} \d{1,2}:\d{2}"))
     mail = (F.when(full & numeric, parse("d MMM yyyy H:mm[:ss] Z")).when(full, parse("d MMM yyyy H:mm[:ss] z"))
             .when(short & numeric, parse("d MMM yy H:mm[:ss] Z")).when(short, parse("d MMM yy H:mm[:ss] z")))
-    iso = F.when(F.regexp_like(c, F.lit(r"^\s*\d{4}-\d{2}-\d{2}")), F.try_to_timestamp(strip(c)))
+    day = F.regexp_like(strip(c), F.lit(r"^\d{4}-\d{2}-\d{2}$"))
+    zone = F.regexp_like(strip(c), F.lit(r"(?:[A-Za-z]|:\d{2}[+-]\d{2}:?\d{0,2})$"))
+    utc = F.when(day, F.concat(strip(c), F.lit("T00:00:00Z"))).when(zone, strip(c)).otherwise(F.concat(strip(c), F.lit("Z")))
+    iso = F.when(F.regexp_like(c, F.lit(r"^\s*\d{4}-\d{2}-\d{2}")), F.try_to_timestamp(utc))
     return F.coalesce(iso, mail)
 
 

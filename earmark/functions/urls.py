@@ -171,12 +171,16 @@ def unsafe_reason(c: Column) -> Column:
                   r"|^192\.0\.[02]\.|^198\.(?:1[89]\.|51\.100\.)|^203\.0\.113\.|^(?:24\d|25[0-5])\.")
     literal_v4 = F.regexp_like(host, F.lit(r"^\d{1,3}(?:\.\d{1,3}){3}$"))
     private_v6 = F.regexp_like(host, F.lit(r"^\[(?:::1?|f[cd][0-9a-f:]*|fe[89ab][0-9a-f:]*|2001:db8:.*)\]$"))
+    # One number, hexadecimal, octal or short forms, and IPv4 inside IPv6, can all mean a private address.
+    odd_number = F.regexp_like(host, F.lit(r"^(?:0x[0-9a-f]+|\d+)(?:\.(?:0x[0-9a-f]+|\d+)){0,3}$")) & (
+        ~literal_v4 | F.regexp_like(host, F.lit(r"(?:^|\.)0\d")))
+    mapped = F.regexp_like(host, F.lit(r"^\[(?:0*:)*:?(?:ffff:)?(?:\d{1,3}(?:\.\d{1,3}){3}|ffff:[0-9a-f:]+)\]$"))
     return (
         F.when(~u.scheme.isin("http", "https"), F.lit("scheme"))
         .when(F.regexp_like(u.netloc, F.lit("^[^@]+@")), F.lit("credentials"))
         .when(host == "", F.lit("no_host"))
         .when((host == "localhost") | F.endswith(host, F.lit(".localhost")), F.lit("loopback_name"))
-        .when((literal_v4 & F.regexp_like(host, F.lit(private_v4))) | private_v6, F.lit("private_address"))
+        .when((literal_v4 & F.regexp_like(host, F.lit(private_v4))) | private_v6 | odd_number | mapped, F.lit("private_address"))
     )
 
 

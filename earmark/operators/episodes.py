@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earmark.functions import fixed
-from earmark.functions.text import redact_paths, slug, strip
+from earmark.functions.text import let, redact_paths, slug, strip
 from earmark.functions.urls import sanitize_url, source_key, suffix
 
 _EP = "episode_id"
@@ -74,10 +74,18 @@ def stale_items(cached: DataFrame, current: DataFrame, key: Sequence[str]) -> Da
     return both.select(*key, reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def _climbs_out(steps: Column) -> Column:
+    """Whether the steps of a path lead above its beginning at any point."""
+    depth = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), lambda so_far, step: let(
+        so_far["at"] + F.when(step == "..", -1).when(step.isin("", "."), 0).otherwise(1),
+        lambda at: F.struct(at.alias("at"), F.least(so_far["least"], at).alias("least"))))
+    return depth["least"] < 0
+
+
 def dangling_artifacts(listed: DataFrame, files: DataFrame) -> DataFrame:
     """Listed artifacts that are absent, or whose path leaves the episode."""
     steps = F.split("path", "/")
-    escapes = F.startswith("path", F.lit("/")) | F.regexp_like("path", F.lit(r"^[A-Za-z]:[\\/]")) | F.array_contains(steps, "..")
+    escapes = F.startswith("path", F.lit("/")) | F.regexp_like("path", F.lit(r"^[A-Za-z]:[\\/]")) | _climbs_out(steps)
     rows = listed.withColumn("escapes", escapes)
     missing = rows.where("NOT escapes").join(files.select(_EP, "path").distinct(), [_EP, "path"], "left_anti")
     return rows.where("escapes").select(_EP, "path", F.lit("escapes_episode").alias("problem")).unionByName(
@@ -198,12 +206,26 @@ def sanitize_text(text: Column, root: Column | None = None) -> Column:
     return redact_paths(text, root)
 
 
+def plain_escapes(text: Column) -> Column:
+    r"""JSON text with ``\/`` and the ``\u00xx`` of printable ASCII written out, so that no address hides in escapes.
+
+    The value stays the same: quotes and backslashes keep their escapes, and an
+    escaped backslash before ``u`` or ``/`` isn't taken for an escape.
+    """
+    mark = F.lit("\ue000")
+    held = F.replace(F.replace(text, F.lit("\\\\"), mark), F.lit("\\/"), F.lit("/"))
+    found = F.array_distinct(F.regexp_extract_all(held, F.lit(r"(\\u00(?:2[013-9a-fA-F]|[3467][0-9a-fA-F]|5[0-9abd-fABD-F]))"), 1))
+    plain = F.aggregate(found, held, lambda so_far, e: F.replace(so_far, e, F.decode(F.unhex(F.substring(e, 5, 2)), "UTF-8")))
+    return F.replace(plain, mark, F.lit("\\\\"))
+
+
 def sanitize_json(text: Column, root: Column | None = None) -> Column:
     """JSON text whose web addresses and local paths inside strings are made safe.
 
     Addresses are rewritten one by one with trackers dropped; absolute paths
     keep their last step.
     """
+    text = plain_escapes(text)
     urls = F.array_distinct(F.regexp_extract_all(text, F.lit(r'"(https?://[^"\\\s]+)"'), 1))
     safe = F.aggregate(urls, text, lambda acc, u: F.replace(
         acc, F.concat(F.lit('"'), u, F.lit('"')), F.concat(F.lit('"'), sanitize_url(u, drop_trackers=True), F.lit('"'))))

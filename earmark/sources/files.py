@@ -7,23 +7,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from earmark.functions import fixed
 from earmark.functions.urls import suffix
 
-MAX_TRANSCRIPT_BYTES = 20_000_000
-MAX_PAGE_BYTES = 3_000_000
-
-
-def read_texts(spark: SparkSession, path: str, max_bytes: int = MAX_TRANSCRIPT_BYTES) -> DataFrame:
+def read_texts(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """``path, episode_id, suffix, text``: one row per text file below ``path``.
 
-    Files over ``max_bytes`` are left to ``oversized_files``; a byte order mark
+    Every file is read, unless a caller sets ``max_bytes`` and takes the rest from ``oversized_files``; a byte order mark
     is dropped. The episode is the folder the file lies in.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= max_bytes).select(
+    files = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    return files.select(
         "path", F.element_at(F.split("path", "/"), -2).alias("episode_id"), suffix(F.col("path")).alias("suffix"),
         F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^\ufeff", "").alias("text"))
 
 
-def oversized_files(spark: SparkSession, path: str, max_bytes: int = MAX_TRANSCRIPT_BYTES) -> DataFrame:
+def oversized_files(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
     """Files too large to read as one text; only their names are scanned."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where(F.col("length") > max_bytes).select("path", "length")

@@ -37,7 +37,10 @@ def test_no_pairwise_join(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from earmark.plans import catalog
+
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_columns_reach_the_scan(spark):
