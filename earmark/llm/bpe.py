@@ -30,7 +30,7 @@ from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import read_ranks, slices, vocabulary_path
+from earmark.llm.common import give_back, read_ranks, slices, vocabulary_path
 
 MULTI_50K = "byte_bpe_multi_50k.tiktoken"
 #: Runs between spaces whose ids a task remembers, and characters of one that it remembers at most. Neither changes a result.
@@ -278,6 +278,7 @@ class Encoder:
         """Between tasks, only what the last slice used is remembered: workers live on, and other operators run in them."""
         used = set().union(*self.last)
         self.runs, self.last = {r: ids for r, ids in self.runs.items() if r in used}, []
+        give_back()
 
 
 @cache

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import base64
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -74,6 +75,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[str | Non
         yield texts.slice(at, step).to_pylist()
 
 
+def give_back() -> None:
+    """Return freed memory to the system, at the end of a task: Python workers live on, and the JVM beside them needs the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ranks of a rank file (base64 token, space, rank)."""
     with open(path, "rb") as lines:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import slices
+from earmark.llm.common import give_back, slices
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -122,12 +122,12 @@ def verdict(text: Column | str, with_text: bool = False) -> Column:
     @F.arrow_udf(", ".join(f"{k} {v}" for k, v in FIELDS.items()) + ", cleaned string" * with_text)
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            columns: list[list] = [[] for _ in names]
-            for texts in slices(batch):
-                for text in texts:
-                    for column, value in zip(columns, judge(text), strict=False):
-                        column.append(value)
-            yield pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
+            parts = [pa.array([], type=pa.struct(list(zip(names, types, strict=True))))]
+            for texts in slices(batch, 2 << 20):
+                columns = list(zip(*map(judge, texts), strict=True))[:len(names)]
+                parts.append(pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names))
+            yield pa.concat_arrays(parts)
+        give_back()
 
     return judged(text)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import Scratch, slices, without_old_shuffles
+from earmark.llm.common import Scratch, give_back, slices, without_old_shuffles
 from earmark.llm.components import components, forest
 
 WORDS, SEED, MAX_DISTANCE = 4, 42, 4
@@ -62,7 +62,8 @@ def fingerprint(text: Column | str) -> Column:
     @F.arrow_udf("bigint")
     def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([fingerprint_of(t) for texts in slices(batch) for t in texts], type=pa.int64())
+            yield pa.array([fingerprint_of(t) for texts in slices(batch, 2 << 20) for t in texts], type=pa.int64())
+        give_back()
 
     return fingerprints(text)
 
@@ -104,6 +105,7 @@ def meet(distinct: DataFrame, scratch: Scratch, max_distance: int = MAX_DISTANCE
                     held = [every[CHUNK:]]
             if sum(map(len, held)):
                 yield pack(np.concatenate(held))
+            give_back()
 
         def pack(signed: np.ndarray) -> pa.RecordBatch:
             own = signed.view(np.uint64)
@@ -142,6 +144,7 @@ def meet(distinct: DataFrame, scratch: Scratch, max_distance: int = MAX_DISTANCE
             near = np.bitwise_count(a ^ b) <= max_distance
             a, b = forest(a[near], b[near])
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        give_back()
 
     out = []
     for number in range(PASSES):

@@ -32,7 +32,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import slices, vocabulary_path
+from earmark.llm.common import give_back, slices, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
 FIT_DOCS, MAX_LANGUAGES, ROUNDS = 2_000, 400, 4
@@ -336,6 +336,7 @@ def predict(text: Column | str, model: Model, docs: DataFrame) -> Column:
             found = [x for texts in slices(batch, 2 << 20) for x in shared.value.predict(texts)]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], type=pa.string()), pa.array([x[1] for x in found], type=pa.float64())], names=["lang_pred", "score"])
         shared.value.known, shared.value.rows = {}, None  # workers live on: nothing is kept between tasks
+        give_back()
 
     return predicted(text)
 
