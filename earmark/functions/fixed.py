@@ -95,14 +95,3 @@ SIMPLIFIED = ["zh-cn", "zh-hans", "zh-sg"]
 TRADITIONAL = ["zh-tw", "zh-hant", "zh-hk", "zh-mo"]
 MAX_TRACKS = 16
 MAX_CANDIDATES = 20
-
-# --- fixed values: named character references (the common ones) ---------------------
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "hellip": "…",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
-    "laquo": "«", "raquo": "»", "copy": "©", "reg": "®", "trade": "™", "middot": "·",
-    "bull": "•", "deg": "°", "times": "×", "euro": "€", "pound": "£", "agrave": "à",
-    "aacute": "á", "acirc": "â", "atilde": "ã", "auml": "ä", "ccedil": "ç", "egrave": "è",
-    "eacute": "é", "ecirc": "ê", "iacute": "í", "ntilde": "ñ", "oacute": "ó", "ouml": "ö",
-    "uacute": "ú", "uuml": "ü", "szlig": "ß",
-}

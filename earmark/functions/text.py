@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
 from earmark.functions import fixed
 
 _WS = f"(?U){fixed.WS}+"
-_ENTITY_MAP = "map(" + ", ".join(
-    '"&%s;", "%s"' % (name, char.replace('"', '\\"')) for name, char in fixed.ENTITIES.items()) + ")"
+_NAMED = json.dumps({f"&{name}": char for name, char in html5.items()})
+# Names that also hold without their semicolon, the longest first.
+_BARE = "^&(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+# Numbers from 0x80 to 0x9f mean Windows-1252 characters, where it has one.
+_REMAP = json.dumps({i: bytes([i]).decode("cp1252") for i in range(0x80, 0xA0) if bytes([i]).decode("cp1252", "ignore")})
+_REFERENCE = "(&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]{0,31};?))"
 _EDGE = f"(?U)^{fixed.WS}+|{fixed.WS}+$"
 
 
@@ -43,25 +49,39 @@ def words(c: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
-def _code_point(reference: Column) -> Column:
-    digits = F.regexp_extract(reference, r"&#(?:[xX]([0-9a-fA-F]+)|[0-9]+);", 1)
-    decimal = F.regexp_extract(reference, r"&#([0-9]+);", 1)
-    hexed = F.when(digits != "", digits).otherwise(F.hex(decimal.cast("long")))
-    return F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+def _numbered(reference: Column) -> Column:
+    """The character of ``&#…``: none for control characters and non-characters, U+FFFD where there can't be one."""
+    hexed = F.regexp_like(reference, F.lit("^&#[xX]"))
+    digits = F.regexp_replace(F.regexp_replace(reference, "^&#[xX]?0*|;", ""), "^$", "0")
+    # Nine digits and more are beyond all characters, and would leave the range of numbers.
+    number = F.when(F.length(digits) > 8, F.lit(1 << 32)).when(hexed, F.conv(digits, 16, 10).try_cast("long")).otherwise(digits.try_cast("long"))
+
+    def character(n: Column) -> Column:
+        none = n.between(0x1, 0x8) | n.between(0xE, 0x1F) | n.isin(0xB, 0x7F) | n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
+        return (
+            F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+            .when(n.between(0x80, 0x9F), F.coalesce(F.try_element_at(F.from_json(F.lit(_REMAP), "map<string,string>"), n.cast("string")), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+            .when(none, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+
+    return let(number, character)
+
+
+def _named(reference: Column) -> Column:
+    names = F.from_json(F.lit(_NAMED), "map<string,string>")
+    begin = F.regexp_extract(reference, f"({_BARE})", 1)
+    return F.coalesce(
+        F.try_element_at(names, reference),
+        F.concat(F.try_element_at(names, begin), F.substring(reference, F.length(begin) + 1, F.length(reference))), reference)
 
 
 def unescape(c: Column) -> Column:
-    """Resolve character references once (``&amp;lt;`` becomes ``&lt;``)."""
-    named = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(c, F.lit("(&[a-z]+;)"), 1)), c,
-        lambda text, ref: F.replace(text, ref, F.coalesce(F.try_element_at(F.expr(_ENTITY_MAP), ref), ref)))
-    numbered = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(c, F.lit(r"(&#(?:[xX][0-9a-fA-F]{1,5}|[0-9]{1,6});)"), 1)),
-        named,
-        lambda text, ref: F.replace(text, ref, _code_point(ref)),
-    )
-    numeric = F.when(F.contains(c, F.lit("&#")), numbered).otherwise(named)
-    return F.when(F.contains(c, F.lit("&")), F.replace(numeric, F.lit("&amp;"), F.lit("&"))).otherwise(c)
+    """Resolve character references once, in one pass (``&amp;lt;`` becomes ``&lt;``)."""
+    resolved = F.transform(
+        F.regexp_extract_all(c, F.lit(_REFERENCE), 1),
+        lambda ref: F.when(F.startswith(ref, F.lit("&#")), _numbered(ref)).otherwise(_named(ref)))
+    between = F.split(c, _REFERENCE, -1)
+    joined = F.array_join(F.zip_with(between, resolved, lambda text, char: F.concat(text, F.coalesce(char, F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:

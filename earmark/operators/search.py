@@ -206,10 +206,12 @@ def within_budget(hits: DataFrame, max_chars: int = fixed.BUDGET_CHARS) -> DataF
                          F.col("k.h.rest.*"))
 
 
-def confidence(hits: DataFrame) -> DataFrame:
-    """``query_id, confidence`` judged from the two best scores."""
+def confidence(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """``query_id, confidence`` judged from the two best scores; with ``queries``, those without a hit are ``low``."""
     score = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
     best = hits.where("rank <= 2").groupBy("query_id").agg(score(1).alias("s1"), score(2).alias("s2"))
+    if queries is not None:
+        best = queries.select("query_id").distinct().join(best, "query_id", "left")
     return best.select("query_id", (
         F.when((F.col("s1") >= 8) & (F.col("s2").isNull() | (F.col("s1") >= F.col("s2") * 1.25)), F.lit("high"))
         .when(F.col("s1") >= 3, F.lit("medium")).otherwise(F.lit("low"))).alias("confidence"))

@@ -40,8 +40,8 @@ def _cue(start: Column, end: Column, speaker: Column, text: Column,
 def caption_cues(text: Column) -> Column:
     """SRT and VTT: a line with ``t --> t`` opens a cue, a blank line ends it."""
     text = F.regexp_replace(text, "\r\n?", "\n")
-    # A block is a time line and the non-blank lines after it.
-    block = rf"(?m)^([^\n]*?{fixed.CUE_RANGE}[^\n]*(?:\n(?=[^\n]*\S)[^\n]*)*)"
+    # A block is a time line and the non-blank lines after it; possessive, so that long blocks take no stack.
+    block = rf"(?m)^([^\n]*?{fixed.CUE_RANGE}[^\n]*(?:\n(?=[^\n]*\S)[^\n]*)*+)"
     blocks = F.regexp_extract_all(text, F.lit(block), 1)
 
     def cue(b: Column) -> Column:
