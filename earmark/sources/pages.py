@@ -23,7 +23,7 @@ def _visible(html: Column) -> Column:
     return F.regexp_replace(bare, r"(?is)(<(script|style)\b[^>]*>).*?</\2\s*>", "$1")
 
 
-def parse_pages(pages: DataFrame, depth: int = 6) -> DataFrame:
+def parse_pages(pages: DataFrame) -> DataFrame:
     """One row per page: title, duration and the ordered distinct candidates.
 
     ``pages``: ``page_id, url, html``. Tags are worked on as arrays inside the
@@ -58,7 +58,7 @@ def parse_pages(pages: DataFrame, depth: int = 6) -> DataFrame:
         "page_id", "url", F.coalesce(first_meta("og:title"), named).alias("title"),
         F.coalesce(first_meta("music:duration"), first_meta("video:duration")).alias("duration"),
         F.array_compact(audio).alias("audio"), F.array_compact(feeds).alias("feeds"), F.array_compact(written).alias("written"))
-    nodes = jsonld_nodes(pages, depth).join(pages.select("page_id", url_base(F.col("url")).alias("_base")), "page_id")
+    nodes = jsonld_nodes(pages).join(pages.select("page_id", url_base(F.col("url")).alias("_base")), "page_id")
     http = F.when(F.regexp_like("transcript", F.lit("^https?://")), F.col("transcript"))
     found = nodes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
         "path", "name", "duration",
@@ -76,21 +76,25 @@ def parse_pages(pages: DataFrame, depth: int = 6) -> DataFrame:
         F.array_distinct("feeds").alias("feed_candidates"))
 
 
-def jsonld_nodes(pages: DataFrame, depth: int = 6) -> DataFrame:
+def jsonld_nodes(pages: DataFrame) -> DataFrame:
     """Episode-like JSON-LD objects of each page, in document order.
 
     ``path`` is the position of a node in its tree and sorts like a walk.
-    Blocks that are not JSON give nothing.
+    Trees are walked level by level until a level is empty, each level worked
+    out once; single values are not carried on. Blocks that are not JSON give
+    nothing.
     """
     spark = pages.sparkSession
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_JSON_LD), 1)).alias("b", "json"))
     # Few pages have such blocks; they are found once for all levels.
     blocks = materialize(blocks, "json-ld")
-    level = blocks.select("page_id", F.array("b").alias("path"), F.try_parse_json("json").alias("node")).where("node IS NOT NULL")
+    inner = F.startswith(F.schema_of_variant("node"), F.lit("OBJECT")) | F.startswith(F.schema_of_variant("node"), F.lit("ARRAY"))
+    level = blocks.select("page_id", F.array("b").alias("path"), F.try_parse_json("json").alias("node")).where("node IS NOT NULL").where(inner)
+    level = materialize(level, "json-ld-level")
     levels = [level]
-    for _ in range(depth):
-        level = level.lateralJoin(spark.tvf.variant_explode(F.col("node").outer())).select(
-            "page_id", F.concat("path", F.array("pos")).alias("path"), F.col("value").alias("node"))
+    while not level.isEmpty():
+        level = materialize(level.lateralJoin(spark.tvf.variant_explode(F.col("node").outer())).select(
+            "page_id", F.concat("path", F.array("pos")).alias("path"), F.col("value").alias("node")).where(inner), "json-ld-level")
         levels.append(level)
     nodes = reduce(DataFrame.unionByName, levels)
     get = lambda name: F.try_variant_get("node", f"$.{name}", "string")
