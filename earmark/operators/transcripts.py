@@ -137,11 +137,13 @@ def apply_translation(segments: DataFrame, translated: DataFrame, language: str)
 # --- quality ------------------------------------------------------------------
 
 
-def quality(segments: DataFrame) -> DataFrame:
+def quality(segments: DataFrame, episodes: DataFrame | None = None) -> DataFrame:
     """Metrics, warnings, score and status of every episode.
 
     All metrics add up, so rows are first combined per distinct text (which
-    counts the repetitions too) and only then per episode.
+    counts the repetitions too) and only then per episode. With ``episodes``
+    there is one row for each of them: those without segments fail with score
+    0 and have no metrics.
     """
     text = collapse(F.coalesce("text", F.lit("")))
     timed = F.col("start_seconds").isNotNull() & F.col("end_seconds").isNotNull()
@@ -196,12 +198,18 @@ def quality(segments: DataFrame) -> DataFrame:
     })
     score = (100 - F.when(F.size("errors") > 0, 30).otherwise(0) - F.least(F.lit(25), F.size("_early") * 10)
              - F.when(F.col("_thin"), 15).otherwise(0))
-    return m.withColumns({
+    out = m.withColumns({
         "warnings": F.concat("_early", F.when(F.col("_thin"), F.array(F.lit("untimed_segments")))
                              .otherwise(F.array().cast("array<string>"))),
         "score": F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long"),
     }).withColumn("status", F.when(F.size("errors") > 0, F.lit("fail")).when(F.size("warnings") > 0, F.lit("warn"))
                   .otherwise(F.lit("pass"))).drop("_early", "_thin", "texts", "stuck")
+    if episodes is None:
+        return out
+    return episodes.select("episode_id").distinct().join(out, "episode_id", "left").withColumns({
+        "errors": F.coalesce("errors", F.array(F.lit("no_segments"))),
+        "warnings": F.coalesce("warnings", F.array().cast("array<string>")),
+        "score": F.coalesce("score", F.lit(0).cast("long")), "status": F.coalesce("status", F.lit("fail"))})
 
 
 def repeated_spans(segments: DataFrame, least: int = 32) -> DataFrame:

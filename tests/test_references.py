@@ -1,4 +1,4 @@
-"""Character references, long cue blocks, deep JSON-LD, queries without hits."""
+"""Character references, long cue blocks, deep JSON-LD, queries without hits, episodes without segments."""
 
 import html
 import json
@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from earmark.functions.text import unescape
-from earmark.operators import search
+from earmark.operators import search, transcripts
 from earmark.sources import captions, pages
 
 
@@ -37,3 +37,11 @@ def test_queries_without_hits_are_low(spark):
     hits = spark.createDataFrame([("a", 1, 9.0)], "query_id string, rank int, score double")
     asked = spark.createDataFrame([("a",), ("b",)], "query_id string")
     assert {tuple(r) for r in search.confidence(hits, asked).collect()} == {("a", "high"), ("b", "low")}
+
+
+def test_episodes_without_segments_fail(spark):
+    kinds = "episode_id string, start_seconds double, end_seconds double, confidence double, text string"
+    segments = spark.createDataFrame([("a", 0.0, 1.0, 0.9, "some words here")], kinds)
+    episodes = spark.createDataFrame([("a",), ("b",), ("b",)], "episode_id string")
+    found = {r.episode_id: (r.status, r.score, r.errors, r.warnings) for r in transcripts.quality(segments, episodes).collect()}
+    assert found == {"a": ("pass", 100, [], []), "b": ("fail", 0, ["no_segments"], [])}
