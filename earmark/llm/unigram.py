@@ -44,6 +44,10 @@ SHARED = 200.0
 LIFT = 24.0
 #: Words longer than this are summed up with a running scale.
 LONG = 120
+#: Where a sum falls below this at any place of a word, what was added to it may have vanished: the word is done again in logarithms.
+TINY = 1e-200
+#: Places of the words done in logarithms at a time.
+PLACES = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -77,7 +81,7 @@ class Pieces:
 
         All places walk down the tree of beginnings together, a character at a
         time. Pieces from ``size`` on are characters the vocabulary lacks; the
-        list has the byte pieces of each. Words are up to ``LONG`` characters.
+        list has the byte pieces of each.
         """
         chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         ends = np.cumsum([len(w) for w in words])
@@ -108,7 +112,7 @@ class Pieces:
             at = np.flatnonzero(bare)
             found.append(np.array([word_of[at], place[at] + 1, np.ones(len(at), dtype=np.int64), self.size + number]))
         rows = np.concatenate(found, axis=1) if found else np.zeros((4, 0), dtype=np.int64)
-        rows = rows[:, np.argsort((rows[1] * 64 + rows[2]).astype(np.int16), kind="stable")]
+        rows = rows[:, np.argsort((rows[1] * 64 + rows[2]).astype(np.int16 if len(ends) and begins.max() < 500 else np.int64), kind="stable")]
         return rows, [[self.byte[b] for b in chr(c).encode()] for c in lacking.tolist()]
 
 
@@ -133,6 +137,37 @@ def spell(table: np.ndarray, byte_pieces: list[int]) -> np.ndarray:
     return table[byte_pieces].prod(axis=0) / LIFT ** (len(byte_pieces) - 1)
 
 
+def with_spelled_logs(logs: np.ndarray, spelled: list[list[int]]) -> np.ndarray:
+    """``logs`` (pieces x languages) with a row for each spelled character."""
+    return np.vstack([logs, *[logs[one].sum(axis=0)[None] for one in spelled]]) if spelled else logs
+
+
+def lowest(sums: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least of ``sums`` (place, word, ...) over each word's own places."""
+    own = (np.arange(len(sums))[:, None] <= ends).reshape(len(sums), len(ends), *[1] * (sums.ndim - 2))
+    return sums.min(axis=0, where=own, initial=np.inf).reshape(len(ends), -1).min(axis=1)
+
+
+def expected_by_logs(vocabulary: Pieces, words: list[str], lang: np.ndarray, weight: np.ndarray, logs: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` how often each piece is expected in words whose sums would leave the range of a double."""
+    edges, spelled = vocabulary.edges(words)
+    chance, order = with_spelled_logs(logs, spelled), steps(edges)
+    ends, every = np.array([len(w) for w in words]), np.arange(len(words))
+    forward, backward = np.full((2, ends.max() + 1, len(words)), -np.inf)
+    forward[0], backward[ends, every] = 0.0, 0.0
+    for end, length, at, piece in order:
+        forward[end, at] = np.logaddexp(forward[end, at], forward[end - length, at] + chance[piece, lang[at]])
+    whole = forward[ends, every]
+    for end, length, at, piece in reversed(order):
+        after = chance[piece, lang[at]] + backward[end, at]
+        backward[end - length, at] = np.logaddexp(backward[end - length, at], after)
+        found = np.exp(forward[end - length, at] + after - whole[at]) * weight[at]
+        inside = piece < len(total)
+        np.add.at(total, (piece[inside], lang[at[inside]]), found[inside])
+        for p, w, amount in zip(piece[~inside], at[~inside], found[~inside], strict=True):
+            np.add.at(total, (spelled[p - len(total)], lang[w]), amount)
+
+
 @dataclass
 class Model:
     """Languages in code-point order; probabilities by piece (row) and language."""
@@ -152,6 +187,12 @@ class Model:
             self._lifted = self.chances * LIFT ** pieces(self.path).length[:, None]
         return self._lifted
 
+    @property
+    def logs(self) -> np.ndarray:
+        if not hasattr(self, "_logs"):
+            self._logs = np.log(self.chances)
+        return self._logs
+
     def word_logs(self, words: list[str]) -> np.ndarray:
         """Log probability of each word (with its word mark) in each language."""
         out = np.zeros((len(words), len(self.languages)))
@@ -174,14 +215,30 @@ class Model:
         forward[0] = 1.0
         for end, length, at, piece in steps(rows):
             forward[end, at] += forward[end - length, at] * chances[piece]
-        return np.log(forward[ends, np.arange(len(words))]) - (ends * np.log(LIFT))[:, None]
+        low = np.flatnonzero(lowest(forward, ends) < TINY)
+        forward = forward[ends, np.arange(len(words))]
+        forward[low] = 1.0
+        out = np.log(forward) - (ends * np.log(LIFT))[:, None]
+        if len(low):
+            out[low] = self._by_logs([words[i] for i in low])
+        return out
+
+    def _by_logs(self, words: list[str]) -> np.ndarray:
+        rows, spelled = pieces(self.path).edges(words)
+        chances = with_spelled_logs(self.logs, spelled)
+        ends = np.array([len(w) for w in words])
+        forward = np.full((ends.max() + 1, len(words), len(self.languages)), -np.inf)
+        forward[0] = 0.0
+        for end, length, at, piece in steps(rows):
+            forward[end, at] = np.logaddexp(forward[end, at], forward[end - length, at] + chances[piece])
+        return forward[ends, np.arange(len(words))]
 
     def _long(self, word: str) -> np.ndarray:
         vocabulary = pieces(self.path)
         number, beginnings = vocabulary.number, vocabulary.beginnings
         n = len(word)
         window = np.zeros((vocabulary.reach + 1, len(self.languages)))  # row k: k characters ahead of the place
-        window[0], scale = 1.0, 0.0
+        window[0], scale = 1.0, np.zeros(len(self.languages))  # a scale for each language: they drift apart
         for a in range(n):
             here = window[0]
             if word[a] not in number:
@@ -193,11 +250,10 @@ class Model:
                 elif part not in beginnings:
                     break
             window[:-1], window[-1] = window[1:].copy(), 0.0
-            most = window.max()
+            most = window.max(axis=0)
             window /= most
             scale += np.log(most)
-        with np.errstate(divide="ignore"):
-            return np.log(window[0]) + scale - n * np.log(LIFT)
+        return np.log(window[0]) + scale - n * np.log(LIFT)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         words = [WORD.findall(t.lower()) if t else [] for t in texts]
@@ -259,10 +315,11 @@ def expected(counts: DataFrame, languages: list[str], chances: np.ndarray, path:
     shared = counts.sparkSession.sparkContext.broadcast(chances)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value * LIFT ** pieces(path).length[:, None]
+        table, logs = shared.value * LIFT ** pieces(path).length[:, None], None
         total = np.zeros(table.shape)
         for batch in batches:
-            rows = [r for r in zip(batch["lang"].to_pylist(), batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True) if len(r[1]) < LONG]
+            every = list(zip(batch["lang"].to_pylist(), batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True))
+            rows, apart = [r for r in every if len(r[1]) < LONG], [r for r in every if len(r[1]) >= LONG]
             for at in range(0, len(rows), 10_000):
                 part = rows[at:at + 10_000]
                 words = ["▁" + r[1] for r in part]
@@ -276,7 +333,7 @@ def expected(counts: DataFrame, languages: list[str], chances: np.ndarray, path:
                 for end, length, at_words, piece in order:
                     forward[end, at_words] += forward[end - length, at_words] * chance[piece, lang[at_words]]
                 whole = forward[ends, np.arange(len(words))]
-                places, amounts = [], []
+                places, amounts, words_at = [], [], []
                 share = np.where(whole > 0, weight / np.maximum(whole, 1e-300), 0.0)
                 for end, length, at_words, piece in reversed(order):
                     after = chance[piece, lang[at_words]] * backward[end, at_words]
@@ -284,12 +341,23 @@ def expected(counts: DataFrame, languages: list[str], chances: np.ndarray, path:
                     found = forward[end - length, at_words] * after * share[at_words]
                     places.append(piece * len(number) + lang[at_words])
                     amounts.append(found)
+                    words_at.append(at_words)
                 if places:
-                    sums = np.bincount(np.concatenate(places), np.concatenate(amounts), minlength=chance.size).reshape(chance.shape)
+                    low = np.minimum(lowest(forward, ends), lowest(backward, ends)) < TINY
+                    apart += [part[i] for i in np.flatnonzero(low)]
+                    found = np.where(low[np.concatenate(words_at)], 0.0, np.concatenate(amounts))
+                    sums = np.bincount(np.concatenate(places), found, minlength=chance.size).reshape(chance.shape)
                     total += sums[:len(total)]
                     for byte_pieces, sum_ in zip(spelled, sums[len(total):], strict=True):
                         for b in byte_pieces:
                             total[b] += sum_
+            apart.sort(key=lambda r: len(r[1]))
+            logs = np.log(shared.value) if apart and logs is None else logs
+            while apart:  # the longest first, as many as fit
+                cut = max(0, len(apart) - max(1, PLACES // (len(apart[-1][1]) + 2)))
+                some, apart = apart[cut:], apart[:cut]
+                lang, weight = np.array([number[r[0]] for r in some]), np.array([r[2] for r in some], dtype=float)
+                expected_by_logs(pieces(path), ["▁" + r[1] for r in some], lang, weight, logs, total)
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, lang])], names=["lang", "piece", "n"])
 

@@ -178,6 +178,36 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_a_long_foreign_run_leaves_the_other_evidence(spark):
+    english = "the people of this house were reading the letters that their friends had written "
+    german = "die Leute in diesem Haus haben die Briefe gelesen, die ihre Freunde geschrieben haben "
+    rows = [(i, english if i % 2 else german, "en" if i % 2 else "de") for i in range(40)]
+    model = unigram.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=2)
+    seldom = model.chances.copy()
+    seldom[seldom < np.sort(seldom, axis=0)[-200]] = 6e-10  # as after some 1e6 pieces
+    model = unigram.Model(model.languages, seldom, model.path)
+    for run in ("\U00020000" * 13, "\U00020000" * 100, "\U00020000" * 400, "\u0f40" * 41, "日" * 41, "日" * 119, "日" * 300, "x" * 50_000):
+        (lang, score), = model.predict([english + run])
+        assert lang == "en" and 0.99 < score <= 1
+    word = "▁" + "日" * 20
+    assert np.allclose(model._short([word])[0], model._by_logs([word])[0]) and np.allclose(model._long(word), model._by_logs([word])[0])
+
+
+def test_words_of_every_length_are_learned_from(spark):
+    path = unigram.vocabulary_path(unigram.PIECES)
+    vocabulary = unigram.pieces(path)
+    chances = np.full((vocabulary.size, 1), 1e-12)
+    words = ["the", "日" * 30, "\U00020000" * 30, "ab" * 60, "straße" * 100]
+    counts = spark.createDataFrame([("a", w, 2) for w in words], "lang string, word string, n long")
+    got = {r.piece: r.n for r in unigram.expected(counts, ["a"], chances, path).collect()}
+    want = np.zeros(chances.shape)
+    unigram.expected_by_logs(vocabulary, ["▁" + w for w in words], np.zeros(5, dtype=int), np.full(5, 2.0), np.log(chances), want)
+    assert sorted(got) == np.flatnonzero(want).tolist() and np.allclose([got[p] for p in sorted(got)], want[sorted(got), 0])
+    chars = sum(n * vocabulary.length[p] for p, n in got.items() if p not in vocabulary.byte.values())
+    spelled = sum(n for p, n in got.items() if p in vocabulary.byte.values())
+    assert chars == pytest.approx(2 * sum(1 + len(w) for w in words if w[0] != "\U00020000") + 2) and spelled == pytest.approx(2 * 4 * 30)
+
+
 def test_language_without_letters_or_labels(spark, docs):
     found = {(r.doc_id, r.lang_pred) for r in unigram.identify(docs).collect()}
     assert {(0, "und"), (1, "und"), (17, "und")} <= found and (14, "en") in found
