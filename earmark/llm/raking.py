@@ -5,7 +5,11 @@ for each source, language and topic so that the cells' tokens, times their
 three factors, have the wanted marginals; a document is then kept with a
 probability in proportion to its cell's factors, scaled so that none exceeds 1
 (so the expected tokens keep exactly the raked marginals) and that
-``rate`` of all tokens are kept at most.
+``rate`` of all tokens are kept at most. So the cell with the largest factor
+decides how much is kept. ``fill`` (the pipeline sets it) keeps ``rate`` of the
+tokens instead: values and cells that are too small for their target are kept
+whole, and the others are raked again to what is left. The query and its SQL
+don't fill.
 
 The state is three small tables of factors. Each step reads the cells, with
 sums taken before the shuffle, and writes one dimension's new factors, so the
@@ -19,6 +23,7 @@ null ids draw as the empty text. An empty table gives no row.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +40,10 @@ TOPICS = (
 )
 OTHER = "prose"
 ROUNDS, RATE, TEMPER, SEED = 6, 0.8, 0.9, "mix"
+#: A value's share counts as missed beyond this, in parts of its target.
+MISS = 0.01
 DIMENSIONS = ("source", "lang", "topic")
+LOG = logging.getLogger(__name__)
 
 
 def topic_of(text: Column | str, topics: tuple = TOPICS) -> Column:
@@ -63,7 +71,8 @@ def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
     return sums.select(dimension, (F.pow("tokens", F.lit(temper)) / whole).alias("share"))
 
 
-def fit(slim: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, rate: float = RATE, temper: float = TEMPER) -> DataFrame:
+def fit(slim: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, rate: float = RATE, temper: float = TEMPER,
+        fill: bool = False) -> DataFrame:
     """``source``, ``lang``, ``topic`` (keys) and ``probability`` of every cell.
 
     ``slim`` has the three keys and ``n_tokens``. ``targets`` may give a table
@@ -73,6 +82,8 @@ def fit(slim: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None
     """
     cells = scratch.table(slim.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     wanted = {d: scratch.table((targets or {}).get(d, tempered(cells, d, temper)).toDF(d, "share"), d) for d in DIMENSIONS}
+    if fill:
+        return filled(cells, wanted, scratch, rounds, rate)
     factors = {d: wanted[d].select(d, F.lit(1.0).alias(f"f_{d}")) for d in DIMENSIONS}
     for _ in range(rounds):
         for d in DIMENSIONS:
@@ -93,6 +104,59 @@ def fit(slim: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None
     return raked.select(*DIMENSIONS, F.least(F.col("factor") * scale, F.lit(1.0)).alias("probability"))
 
 
+def reachable(cells: DataFrame, wanted: DataFrame, dimension: str, keep: float) -> DataFrame:
+    """``dimension`` and ``goal``, the tokens to keep of each value: in proportion to ``share``, but no more than there are; ``keep`` in all."""
+    values = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("there")).join(wanted, dimension)
+    level, held = 0.0, -1
+    while True:  # values that are kept whole leave more to the others, until none is added
+        full = F.col("share") * level >= F.col("there")
+        n, there, share = values.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("there")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("share")))).first()
+        if n == held or not share:
+            break
+        held, level = n, max(level, (keep - there) / share)
+    return values.select(dimension, "share", "there", F.least(F.col("share") * level, F.col("there")).alias("goal"))
+
+
+def filled(cells: DataFrame, wanted: dict[str, DataFrame], scratch: Scratch, rounds: int, rate: float) -> DataFrame:
+    """As ``fit``, with ``rate`` of the tokens kept: a cell's probability is its three factors' product, 1 at most.
+
+    Each step moves a dimension's factors so that its values keep their goals,
+    with the cells at probability 1 held. What is kept and missed is logged.
+    """
+    wanted = {d: t.where("share > 0") for d, t in wanted.items()}
+    usable = reduce(lambda rows, d: rows.join(wanted[d].select(d), d, "left_semi"), DIMENSIONS, cells.where("tokens > 0"))
+    usable = scratch.table(usable, "usable")
+    whole, there = (t.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double")).first()[0] for t in (cells, usable))
+    if not there:
+        return cells.select(*DIMENSIONS, F.lit(0.0).alias("probability"))
+    keep = min(rate * whole, there)
+    goals = {d: scratch.table(reachable(usable, wanted[d], d, keep), f"goals-{d}") for d in DIMENSIONS}
+    factors = {d: goals[d].select(d, F.lit(keep / there if d == DIMENSIONS[0] else 1.0).alias(f"f_{d}")) for d in DIMENSIONS}
+    factor = reduce(lambda a, b: a * b, [F.col(f"f_{d}") for d in DIMENSIONS])
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            rows = reduce(lambda rows, o: rows.join(factors[o], o), DIMENSIONS, usable)
+            held = F.sum(F.when(factor >= 1, F.col("tokens")).otherwise(0)).cast("double")
+            free = F.sum(F.when(factor < 1, F.col("tokens") * factor).otherwise(0.0))
+            sums = rows.groupBy(d).agg(held.alias("held"), free.alias("free"), F.first(f"f_{d}").alias("old")).join(goals[d], d)
+            now = F.col("held") + F.col("free")
+            # With the held cells fixed; where those alone are too much, all of the value's cells come down.
+            move = F.when((F.col("goal") > F.col("held")) & (F.col("free") > 0), (F.col("goal") - F.col("held")) / F.col("free")).otherwise(F.least(F.col("goal") / now, F.lit(1.0)))
+            old, factors[d] = factors[d], scratch.table(sums.select(d, (F.col("old") * move).alias(f"f_{d}")), f"factors-{d}")
+            if hasattr(old, "_scratch"):
+                scratch.drop(old)
+    raked = reduce(lambda rows, d: rows.join(factors[d], d, "left"), DIMENSIONS, cells)
+    raked = scratch.table(raked.select(*DIMENSIONS, "tokens", F.least(F.coalesce(factor, F.lit(0.0)), F.lit(1.0)).alias("probability")), "raked")
+    kept = raked.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0]
+    LOG.warning("raking: %.4f of the tokens kept, %.4f wanted", kept / whole, rate)
+    for d in DIMENSIONS:
+        short = raked.groupBy(d).agg(F.sum(F.col("tokens") * F.col("probability")).alias("now")).join(wanted[d], d)
+        miss = F.abs(F.col("now") / kept / F.col("share") - 1)
+        most, n = short.agg(F.max(miss), F.count(F.when(miss > MISS, 1))).first()
+        LOG.warning("raking: %s: %d values miss their share by over %g, the worst by %.4f of it", d, n, MISS, most or 0.0)
+    return raked.select(*DIMENSIONS, "probability")
+
+
 def mix_table(docs: DataFrame, topic: Column | None = None, seed: str = SEED, **settings) -> DataFrame:
     """``doc_id``, the cell, ``n_tokens``, ``probability`` and ``kept`` of every row.
 

@@ -217,6 +217,20 @@ def test_raking_meets_its_targets(spark):
     assert raking.mix_table(docs.limit(0)).count() == raking.sample(docs.limit(0)).count() == 0
 
 
+def test_one_small_source_does_not_lower_what_is_kept(spark):
+    random.seed(7)
+    rows = [(i, " ".join(["w"] * random.randint(1, 60)), random.choice(["en", "de"]), random.choice("abc")) for i in range(3000)]
+    rows += [(9000, "w " * 20, "en", "z"), (9001, "w w", None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in raking.sample(docs, fill=True).collect()}
+    words = {r[0]: len(r[1].split()) for r in rows}
+    assert sum(words[i] for i in kept) / sum(words.values()) == pytest.approx(raking.RATE, abs=0.02)
+    got = raking.mix_table(docs, fill=True).collect()
+    assert sum(r.n_tokens * r.probability for r in got) / sum(words.values()) == pytest.approx(raking.RATE, rel=1e-3)
+    assert {r.doc_id for r in got if r.kept} == kept and [r.probability for r in got if r.doc_id == 9000] == [pytest.approx(1)]
+    assert raking.sample(docs.limit(0), fill=True).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op5_url_lists", "op9_mixing"])
 def test_native_operators_run_no_python(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
