@@ -42,6 +42,9 @@ OTHER = "prose"
 ROUNDS, RATE, TEMPER, SEED = 6, 0.8, 0.9, "mix"
 #: A value's share counts as missed beyond this, in parts of its target.
 MISS = 0.01
+#: Filling ends when no value is further from its goal than this, in parts of it. Where that can't be reached, it ends when
+#: the worst value came nearer by less than a hundredth in ten rounds, or at MOST_ROUNDS; either is logged.
+TOLERANCE, MOST_ROUNDS = 1e-3, 500
 DIMENSIONS = ("source", "lang", "topic")
 LOG = logging.getLogger(__name__)
 
@@ -83,7 +86,7 @@ def fit(slim: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None
     cells = scratch.table(slim.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     wanted = {d: scratch.table((targets or {}).get(d, tempered(cells, d, temper)).toDF(d, "share"), d) for d in DIMENSIONS}
     if fill:
-        return filled(cells, wanted, scratch, rounds, rate)
+        return filled(cells, wanted, scratch, rate)
     factors = {d: wanted[d].select(d, F.lit(1.0).alias(f"f_{d}")) for d in DIMENSIONS}
     for _ in range(rounds):
         for d in DIMENSIONS:
@@ -117,11 +120,12 @@ def reachable(cells: DataFrame, wanted: DataFrame, dimension: str, keep: float)
     return values.select(dimension, "share", "there", F.least(F.col("share") * level, F.col("there")).alias("goal"))
 
 
-def filled(cells: DataFrame, wanted: dict[str, DataFrame], scratch: Scratch, rounds: int, rate: float) -> DataFrame:
+def filled(cells: DataFrame, wanted: dict[str, DataFrame], scratch: Scratch, rate: float, tolerance: float = TOLERANCE) -> DataFrame:
     """As ``fit``, with ``rate`` of the tokens kept: a cell's probability is its three factors' product, 1 at most.
 
     Each step moves a dimension's factors so that its values keep their goals,
-    with the cells at probability 1 held. What is kept and missed is logged.
+    with the cells at probability 1 held, until all values are within
+    ``tolerance``. What is kept and missed is logged.
     """
     wanted = {d: t.where("share > 0") for d, t in wanted.items()}
     usable = reduce(lambda rows, d: rows.join(wanted[d].select(d), d, "left_semi"), DIMENSIONS, cells.where("tokens > 0"))
@@ -133,7 +137,8 @@ def filled(cells: DataFrame, wanted: dict[str, DataFrame], scratch: Scratch, rou
     goals = {d: scratch.table(reachable(usable, wanted[d], d, keep), f"goals-{d}") for d in DIMENSIONS}
     factors = {d: goals[d].select(d, F.lit(keep / there if d == DIMENSIONS[0] else 1.0).alias(f"f_{d}")) for d in DIMENSIONS}
     factor = reduce(lambda a, b: a * b, [F.col(f"f_{d}") for d in DIMENSIONS])
-    for _ in range(rounds):
+    worst: list[float] = []
+    while len(worst) < MOST_ROUNDS:
         for d in DIMENSIONS:
             rows = reduce(lambda rows, o: rows.join(factors[o], o), DIMENSIONS, usable)
             held = F.sum(F.when(factor >= 1, F.col("tokens")).otherwise(0)).cast("double")
@@ -142,9 +147,18 @@ def filled(cells: DataFrame, wanted: dict[str, DataFrame], scratch: Scratch, rou
             now = F.col("held") + F.col("free")
             # With the held cells fixed; where those alone are too much, all of the value's cells come down.
             move = F.when((F.col("goal") > F.col("held")) & (F.col("free") > 0), (F.col("goal") - F.col("held")) / F.col("free")).otherwise(F.least(F.col("goal") / now, F.lit(1.0)))
-            old, factors[d] = factors[d], scratch.table(sums.select(d, (F.col("old") * move).alias(f"f_{d}")), f"factors-{d}")
+            old, factors[d] = factors[d], scratch.table(sums.select(d, (F.col("old") * move).alias(f"f_{d}"), F.abs(now / F.col("goal") - 1).alias(f"off_{d}")), f"factors-{d}")
             if hasattr(old, "_scratch"):
                 scratch.drop(old)
+        # How far each dimension was from its goals when its turn came.
+        offs = reduce(DataFrame.unionAll, [factors[d].select(F.col(f"off_{d}").alias("off")) for d in DIMENSIONS])
+        worst.append(offs.agg(F.max("off")).first()[0])
+        if worst[-1] <= tolerance:
+            break
+        if len(worst) > 10 and worst[-1] > 0.99 * worst[-11]:
+            break
+    if worst[-1] > tolerance:
+        LOG.warning("raking: stopped after %d rounds with a value %.4f off its goal, %g wanted", len(worst), worst[-1], tolerance)
     raked = reduce(lambda rows, d: rows.join(factors[d], d, "left"), DIMENSIONS, cells)
     raked = scratch.table(raked.select(*DIMENSIONS, "tokens", F.least(F.coalesce(factor, F.lit(0.0)), F.lit(1.0)).alias("probability")), "raked")
     kept = raked.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0]

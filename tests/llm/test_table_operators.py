@@ -231,6 +231,20 @@ def test_one_small_source_does_not_lower_what_is_kept(spark):
     assert raking.sample(docs.limit(0), fill=True).count() == 0
 
 
+def test_raking_goes_on_until_a_tied_source_is_met(spark, caplog):
+    cells = [("hot", "xx", 5000), ("hot", "en", 600), ("a", "xx", 600), ("a", "en", 5000), ("b", "en", 2000), ("b", "de", 3000)]
+    docs = spark.createDataFrame([(i, "w " * n, lang, source) for i, (source, lang, n) in enumerate(cells)], "doc_id long, text string, lang string, source string")
+    shares = {"source": {"hot": 0.30, "a": 0.36, "b": 0.34}, "lang": {"xx": 0.33, "en": 0.44, "de": 0.23}}
+    targets = {d: spark.createDataFrame([("v" + k, v) for k, v in s.items()], "k string, share double") for d, s in shares.items()}
+    off = {}
+    for fill in (False, True):
+        got = raking.mix_table(docs, targets=targets, rate=0.05, fill=fill).collect()
+        whole = sum(r.n_tokens * r.probability for r in got)
+        off[fill] = max(abs(sum(r.n_tokens * r.probability for r in got if r[d] == k) / whole / v - 1) for d, s in shares.items() for k, v in s.items())
+    assert off[True] < 2e-3 < off[False], off
+    assert not any("stopped" in r.message for r in caplog.records)
+
+
 @pytest.mark.parametrize("name", ["op5_url_lists", "op9_mixing"])
 def test_native_operators_run_no_python(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
