@@ -2,9 +2,9 @@
 
 A shard is a run of documents in id order, some ``SHARD_TOKENS`` tokens. Its ids
 are packed by replacing frequent adjacent pairs by new symbols, round after
-round: each round takes all pairs that are at least a tenth (``DOWN``) as
-frequent as the most frequent one, the more frequent pair first where two overlap. No pair
-crosses from one document into the next, so a document can be decoded alone.
+round, until no pair is there ``LEAST`` times: each round takes all pairs that
+are at least a tenth (``DOWN``) as frequent as the most frequent one, the more
+frequent pair first where two overlap. No pair crosses from one document into the next, so a document can be decoded alone.
 
 A shard file is binary: a magic word, six counts, then as 32-bit integers the
 rules (left and right symbol), each rule's expansion length, each document's
@@ -32,7 +32,7 @@ from earmark.llm.common import Scratch, slices, vocabulary_path
 WORD_49K, END = "word_bpe_49k.json", 1
 SHARD_TOKENS = 1 << 20
 #: A pair that is there less often is left as it is.
-LEAST, ROUNDS, DOWN = 8, 6, 10
+LEAST, DOWN = 8, 10
 #: Words whose ids a task remembers; doesn't change a result.
 REMEMBERED = 500_000
 MAGIC = b"RPAIR001"
@@ -88,17 +88,21 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np
     closes = np.zeros(len(symbols), dtype=bool)  # the last symbol of a document
     closes[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     symbols, rules, lengths = symbols.astype(np.uint32), np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         # Rough counts by a small digest first: only pairs that may be frequent are counted exactly.
         digest = (symbols[:-1] * np.uint32(0x9E3779B1) ^ symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)
         digest[closes[:-1]] = 1 << 18
         rough = np.bincount(digest, minlength=(1 << 18) + 1)
         rough[-1] = 0
-        at = np.flatnonzero((rough >= max(LEAST, rough.max() // DOWN))[digest])
-        pair = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
-        keys, number, counts = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = max(LEAST, rough.max() // DOWN)
+        while True:
+            at = np.flatnonzero((rough >= enough)[digest])
+            pair = symbols[at].astype(np.int64) << 32 | symbols[at + 1]
+            keys, number, counts = np.unique(pair, return_inverse=True, return_counts=True)
+            # Pairs that share a digest make it look frequent: where none is, all that may be are counted.
+            if enough == LEAST or (len(counts) and counts.max() >= enough):
+                break
+            enough = LEAST
         if not len(counts) or counts.max() < LEAST:
             break
         chosen = counts >= max(LEAST, counts.max() // DOWN)

@@ -243,6 +243,22 @@ def test_grammars_expand_to_what_went_in():
     assert len(repair.pack(many)) < 4 * 7 * 200 * 5 / 10
 
 
+def test_pairs_are_replaced_until_none_is_frequent():
+    rng = np.random.default_rng(3)
+    one = rng.permutation(1000).astype(np.uint32)
+    copies = [one] * 40
+    _, symbols, ends, lengths, _ = repair.replace_pairs(np.concatenate(copies), np.cumsum([1000] * 40))
+    assert len(symbols) == 40 and ends.tolist() == list(range(1, 41)) and lengths.max() == 1000
+    # No frequent pair is left, also in a run of one symbol and among many rare pairs.
+    for texts in ([np.zeros(5000, dtype=np.uint32)], [rng.integers(0, 700, 200_000).astype(np.uint32), *copies]):
+        _, symbols, ends, _, _ = repair.replace_pairs(np.concatenate(texts), np.cumsum([len(t) for t in texts]))
+        inside = np.setdiff1d(np.arange(len(symbols) - 1), ends - 1)
+        pairs = symbols[inside].astype(np.int64) << 32 | symbols[inside + 1]
+        assert not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < repair.LEAST
+        shard = repair.Shard(repair.pack(texts))
+        assert all(np.array_equal(shard.document(i), t) for i, t in enumerate(texts))
+
+
 def test_digests_of_the_query(spark):
     from earmark.llm import queries
 
