@@ -222,13 +222,20 @@ def plain_escapes(text: Column) -> Column:
 def sanitize_json(text: Column, root: Column | None = None) -> Column:
     """JSON text whose web addresses and local paths inside strings are made safe.
 
-    Addresses are rewritten one by one with trackers dropped; absolute paths
-    keep their last step.
+    Strings that begin with an address are decoded, rewritten one by one with
+    trackers dropped, and encoded again, whatever else they hold; absolute
+    paths keep their last step.
     """
     text = plain_escapes(text)
-    urls = F.array_distinct(F.regexp_extract_all(text, F.lit(r'"(https?://[^"\\\s]+)"'), 1))
-    safe = F.aggregate(urls, text, lambda acc, u: F.replace(
-        acc, F.concat(F.lit('"'), u, F.lit('"')), F.concat(F.lit('"'), sanitize_url(u, drop_trackers=True), F.lit('"'))))
+    strings = F.array_distinct(F.regexp_extract_all(text, F.lit(r'(?<!\\)("(?i:https?)://[^"\\]*+(?:\\.[^"\\]*+)*+")'), 1))
+
+    def rewritten(one: Column) -> Column:
+        inner = F.substr(one, F.lit(2), F.length(one) - 2)
+        plain = F.from_json(F.concat(F.lit("["), one, F.lit("]")), "array<string>", {"allowUnquotedControlChars": "true"})[0]
+        safe = F.to_json(F.array(sanitize_url(F.coalesce(plain, inner), drop_trackers=True)))
+        return F.substr(safe, F.lit(2), F.length(safe) - 2)
+
+    safe = F.aggregate(strings, text, lambda acc, one: F.replace(acc, one, rewritten(one)))
     if root is not None:
         safe = F.replace(safe, F.concat(F.lit('"'), root, F.lit("/")), F.lit('"'))
     return F.regexp_replace(safe, r'"/(?:[^"/\\]+/)*([^"/\\]+)"', r'"[LOCAL_PATH_REDACTED]/$1"')

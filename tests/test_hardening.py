@@ -17,6 +17,15 @@ def test_escaped_addresses_lose_their_token(spark):
     assert json.loads(rows[3].s) == json.loads(kept)
 
 
+def test_addresses_with_other_characters_lose_their_token(spark):
+    texts = [r'{"u": "https://h/caf\u00e9?token=SECRET"}', r'{"u": "https://h/x\"y?token=SECRET"}', r'{"u": "https://h/x?token=SECRET and more"}',
+             r'{"u": "https://h/a\\b?token=SECRET\n"}', '{"u": "https://h/caf\u00e9 x?a=1&token=SECRET"}']
+    kept = r'{"a": "say \"https://h/x\" \u00e9", "b": ["https://h/x", "no"]}'
+    rows = spark.createDataFrame([(t,) for t in [*texts, kept]], "t string").select(episodes.sanitize_json(F.col("t")).alias("s")).collect()
+    assert not any("SECRET" in r.s for r in rows) and all(json.loads(r.s)["u"].startswith("https://h/") for r in rows[:-1])
+    assert json.loads(rows[-1].s) == json.loads(kept)
+
+
 def test_steps_that_stay_inside(spark):
     paths = ["frames/../a.md", "../a.md", "a/../../b", "a/./b/../..", "/x", "C:/x"]
     listed = spark.createDataFrame([("e", p) for p in paths], "episode_id string, path string")
