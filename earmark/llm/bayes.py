@@ -58,7 +58,7 @@ def features(text: str | None) -> set[int]:
     for word in distinct:
         pair = _known.get(word)
         if pair is None:
-            pair = (xxhash.xxh32_intdigest(word.lower().strip(b".,;:!?"), 1) % BUCKETS, xxhash.xxh32_intdigest(_run.sub(_shape, word[:200]), 2) % BUCKETS)
+            pair = (xxhash.xxh32_intdigest(word.lower().strip(b".,;:!?"), 1) % BUCKETS, xxhash.xxh32_intdigest(_run.sub(_shape, word), 2) % BUCKETS)
             if len(_known) >= REMEMBERED:
                 _known.clear()
             _known[word] = pair

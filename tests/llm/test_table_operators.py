@@ -198,6 +198,11 @@ def test_lists_as_of_the_day(spark):
     assert urllists.filter_captures(captures, entries.limit(0)).where("kept").count() == len(cases)
 
 
+def test_shapes_are_of_whole_words():
+    word = "a1" * 150
+    assert bayes.features(word) != bayes.features(word + "!")
+
+
 def test_raking_meets_its_targets(spark):
     random.seed(6)
     rows = [(i, " ".join(["w"] * random.randint(1, 60)), random.choice(["en", "de", None]), random.choice("abc"), "x") for i in range(3000)]
