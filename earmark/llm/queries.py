@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earmark.llm import bayes, bpe, editcounts, lattice, lines, raking, repair, simhash, unigram, urllists
+from earmark.llm import bayes, bpe, collocations, editcounts, lattice, lines, packing, raking, repair, simhash, unigram, urllists, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,3 +134,33 @@ def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_repair_shards")
 def repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.write_and_index(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_table(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+runs AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM runs GROUP BY lang),
+spans AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM runs, range(1, 6) t(k)),
+frequent AS MATERIALIZED (SELECT lang, w[i:i + k - 1] AS p, any_value(k) AS k, count(*) AS f FROM spans GROUP BY lang, w[i:i + k - 1] HAVING count(*) >= 100),
+wider AS (SELECT lang, p, max(f) AS f FROM (SELECT lang, unnest([p[:k - 1], p[2:]]) AS p, f FROM frequent WHERE k > 2) GROUP BY lang, p),
+alone AS (SELECT c.* FROM frequent c LEFT JOIN wider USING (lang, p) WHERE c.k > 1 AND (wider.f IS NULL OR wider.f < c.f)),
+cut AS (SELECT alone.*, unnest(range(1, k)) AS c FROM alone),
+scored AS (SELECT cut.lang, cut.p, cut.f AS a, c, l.f AS l, r.f AS r, totals.n, ((1000::HUGEINT * cut.f * totals.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cut JOIN frequent l ON l.lang = cut.lang AND l.p = cut.p[:c] JOIN frequent r ON r.lang = cut.lang AND r.p = cut.p[c + 1:] JOIN totals ON totals.lang = cut.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
+ranked AS (SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked WHERE rank <= 2000
+""")
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
