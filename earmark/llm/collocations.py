@@ -8,15 +8,17 @@ took, until it has been through every shard once. So lengths interleave, and
 the scans end when nothing has become frequent for a full cycle: what could
 have been activated has been seen everywhere by then.
 
-A scan must not make every phrase of its shard. Two bitmaps of fixed size, one
-of what is frequent so far and one of what became so during the last cycle, say
-which phrases may still need counting (one of the subphrases is new); they only
-err by letting more through, and joins with the frequent phrases then decide
-exactly. Counts live in a table that each step merges with the shard's counts in
-one aggregate, with sums taken before the shuffle.
-
-A word's id is a digest of its language and itself; should two share one, the
-texts are read again with another seed. A phrase is the bytes of its ids.
+A scan must not make every phrase of its shard. A bitmap of fixed size holds a
+digest's bit for each phrase that is frequent so far, and bits are only ever
+set. A phrase is activated when the bits of both its subphrases are set (and
+theirs, down to its words), and is counted in the steps where that is so but
+was not yet so a cycle ago: in every shard exactly once. A bit that two phrases share at most activates a
+phrase in vain, whose count is right all the same. Counts live in a table that each step merges with
+the shard's counts in one aggregate, with sums taken before the shuffle.
+
+A word's id is a digest of its language and itself. In the end the texts are
+read once more for the words of the frequent ids; should two have one id, all
+is done again with another seed. A phrase is the bytes of its ids.
 
 Null texts have no words, a null language is ``und``, repeated rows count again,
 an empty table gives no row, and other columns aren't read.
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 from earmark.llm.common import Scratch, give_back, slices
 
 LEAST, LONGEST, TOP = 100, 5, 2_000
-SHARDS = 4
-#: Bits of each of the two bitmaps.
+SHARDS = 2
+#: Bits of a bitmap.
 BITS = 1 << 25
 #: Ids of a row of a shard, and ids worked on at a time; words a task remembers.
 ROW, CHUNK, REMEMBERED = 1 << 15, 1 << 20, 200_000
@@ -46,7 +48,7 @@ PARTS = 64
 #: What ends a piece, as a byte that no UTF-8 text has.
 BREAK = b"\xff"
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
-TOKENS = "shard int, ids array<bigint>, lang string, word string, id bigint, n bigint"
+TOKENS = "shard int, ids array<bigint>, lang string, n bigint"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -74,18 +76,10 @@ def _shards(shards: int, seed: int):
         totals: dict[str, int] = {}
         held: list[np.ndarray] = []
 
-        def batch_of(shard=None, ids=None, lang=None, word=None, id_=None, n=None) -> pa.RecordBatch:
-            size = len(shard)
-            given = [ids, lang, word, id_, n]
-            types = [pa.list_(pa.int64()), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            arrays = [pa.array(shard, type=pa.int32()), *[pa.nulls(size, t) if x is None else pa.array(x, type=t) for x, t in zip(given, types, strict=True)]]
-            return pa.RecordBatch.from_arrays(arrays, names=["shard", "ids", "lang", "word", "id", "n"])
-
-        def named() -> Iterator[pa.RecordBatch]:
-            for lang, ids in known.items():
-                words = [w for w in ids if w != BREAK]
-                yield batch_of([-1] * len(words), lang=[lang] * len(words), word=[w.decode() for w in words], id_=[ids[w] for w in words])
-            known.clear()
+        def batch_of(shard: list[int], ids=None, lang=None, n=None) -> pa.RecordBatch:
+            types = {"ids": pa.list_(pa.int64()), "lang": pa.string(), "n": pa.int64()}
+            given = [pa.nulls(len(shard), t) if x is None else pa.array(x, type=t) for x, t in zip((ids, lang, n), types.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(shard, type=pa.int32()), *given], names=["shard", *types])
 
         def full() -> Iterator[pa.RecordBatch]:
             nonlocal number
@@ -114,16 +108,44 @@ def _shards(shards: int, seed: int):
                     if sum(map(len, held)) >= ROW:
                         yield from full()
                 if sum(map(len, known.values())) > REMEMBERED:
-                    yield from named()
+                    known.clear()
         if held:
             yield from full()
-        yield from named()
-        yield batch_of([-2] * len(totals), lang=list(totals), n=list(totals.values()))
+        yield batch_of([-1] * len(totals), lang=list(totals), n=list(totals.values()))
         give_back()
 
     return rows
 
 
+def _names(frequent, seed: int):
+    """The words whose ids may be frequent."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, set[bytes]] = {}
+        for batch in batches:
+            langs, at = batch.column("lang").to_pylist(), 0
+            for texts in slices(batch.column("text"), 1 << 20):
+                for text in texts:
+                    lang, at = langs[at], at + 1
+                    seen.setdefault("und" if lang is None else lang, set()).update(tokens(text))
+                if sum(map(len, seen.values())) > REMEMBERED:
+                    yield from named(seen)
+        yield from named(seen)
+        give_back()
+
+    def named(seen: dict[str, set[bytes]]) -> Iterator[pa.RecordBatch]:
+        for lang, some in seen.items():
+            some.discard(BREAK)
+            words, by_word = list(some), Ids(lang, seed)
+            ids = np.fromiter(map(by_word.__getitem__, words), dtype=np.int64, count=len(words))
+            there = np.flatnonzero(_has(frequent.value, mixed(np.full(len(ids), 1, dtype=np.uint64), ids))).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array([lang] * len(there), type=pa.string()), pa.array([words[i].decode() for i in there], type=pa.string())],
+                                             names=["id", "lang", "word"])
+        seen.clear()
+
+    return names
+
+
 def _next_end(every: np.ndarray, at: int) -> int:
     ends = np.flatnonzero(every[at:] == 0)
     return at + int(ends[0]) + 1 if len(ends) else len(every)
@@ -154,46 +176,47 @@ def _phrases(ids: np.ndarray, at: np.ndarray, digests: np.ndarray, k: int) -> pa
     return pa.RecordBatch.from_arrays([phrase, pa.array(n.astype(np.int64))], names=["phrase", "n"])
 
 
-def counted(ids: np.ndarray, frequent: np.ndarray, recent: np.ndarray, words: bool, longest: int) -> Iterator[pa.RecordBatch]:
-    """The phrases of ``ids`` that may need counting: words if asked for, longer ones by the bitmaps."""
+def counted(ids: np.ndarray, frequent: np.ndarray, before: np.ndarray, words: bool, longest: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of ``ids`` to count: words if asked for, longer ones by the bitmaps of now and of a cycle ago."""
     at = np.flatnonzero(ids)
     digests = mixed(np.full(len(at), 1, dtype=np.uint64), ids[at])
     if words:
         yield _phrases(ids, at, digests, 1)
+    were = np.ones(len(at), dtype=bool)  # whether they were counted a cycle ago
     for k in range(2, longest + 1):
-        # Of the phrases one shorter, those frequent so far, and which became so lately.
+        # Of the phrases one shorter, those frequent so far, and which of them were so a cycle ago.
         stay = _has(frequent, digests)
         at, digests = at[stay], digests[stay]
-        new = _has(recent, digests)
+        old = were[stay] & _has(before, digests)
         # One begins where the other's second word is.
         both = np.flatnonzero(at[1:] == at[:-1] + 1) if len(at) else np.array([], dtype=np.int64)
         both = both[ids[at[both] + k - 1] != 0]
-        lately = new[both] | new[both + 1]
+        were = old[both] & old[both + 1]
         at, digests = at[both], mixed(digests[both], ids[at[both] + k - 1])
-        if lately.any():
-            yield _phrases(ids, at[lately], digests[lately], k)
+        if not were.all():
+            yield _phrases(ids, at[~were], digests[~were], k)
 
 
-def _scan(frequent, recent, words: bool, longest: int):
+def _scan(frequent, before, words: bool, longest: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
             for row in batch.column("ids"):
                 held.append(np.append(row.values.to_numpy(), np.zeros(longest, dtype=np.int64)))
                 if sum(map(len, held)) >= CHUNK:
-                    yield from counted(np.concatenate(held), frequent.value, recent.value, words, longest)
+                    yield from counted(np.concatenate(held), frequent.value, before.value, words, longest)
                     held = []
         if held:
-            yield from counted(np.concatenate(held), frequent.value, recent.value, words, longest)
+            yield from counted(np.concatenate(held), frequent.value, before.value, words, longest)
         give_back()
 
     return scan
 
 
-def _bits(bits: int, since: int):
+def _bits(bits: int):
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, risen = batch.column("phrase").to_pylist(), batch.column("risen").to_numpy()
+            rows = batch.column("phrase").to_pylist()
             digests = np.full(len(rows), 1, dtype=np.uint64)
             lengths = np.array([len(r) // 8 for r in rows], dtype=np.int64)
             for k in range(int(lengths.max(initial=0))):
@@ -201,49 +224,42 @@ def _bits(bits: int, since: int):
                 digests[some] = mixed(digests[some], np.frombuffer(b"".join(rows[i][8 * k:8 * k + 8] for i in some.tolist()), dtype=np.int64))
             bit = digests & np.uint64(bits - 1)
             mask = (np.uint64(1) << (bit & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int32)), pa.array(mask), pa.array(np.where(risen >= since, mask, 0))],
-                                             names=["slot", "frequent", "recent"])
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int32)), pa.array(mask)], names=["slot", "mask"])
 
     return slots
 
 
+def bitmap_of(phrases: DataFrame, bits: int) -> np.ndarray:
+    """The bits of all ``phrase``; never more than ``bits`` / 64 rows come to the driver."""
+    found = phrases.select("phrase").mapInArrow(_bits(bits), "slot int, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[found["slot"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    return out
+
+
 def frequent_phrases(shards: DataFrame, scratch: Scratch, n_shards: int, least: int, longest: int, bits: int) -> DataFrame:
     """``phrase`` and ``f`` of all phrases of up to ``longest`` words that are there ``least`` times."""
     spark = scratch.spark
-    kinds = "phrase binary, f bigint, since int, risen int"
-    state, step = spark.createDataFrame([], kinds), 0
-    while True:
-        bitmaps = np.zeros((2, bits // 64), dtype=np.uint64)
-        if step:
-            marked = state.where("risen IS NOT NULL").select("phrase", "risen").mapInArrow(_bits(bits, step - n_shards), "slot int, frequent bigint, recent bigint")
-            found = marked.groupBy("slot").agg(F.bit_or("frequent").alias("frequent"), F.bit_or("recent").alias("recent")).toArrow()
-            bitmaps[:, found["slot"].to_numpy()] = np.stack([found[c].to_numpy() for c in ("frequent", "recent")]).view(np.uint64)
-        shared = [spark.sparkContext.broadcast(b) for b in bitmaps]
+    state, step, last = spark.createDataFrame([], "phrase binary, f bigint, since int, risen int"), 0, 0
+    bitmaps = [np.zeros(bits // 64, dtype=np.uint64)] * (n_shards + 1)  # those of the last cycle
+    while step < n_shards or step <= last + n_shards:
+        shared = [spark.sparkContext.broadcast(b) for b in (bitmaps[-1], bitmaps[0])]
         here = shards.where(F.col("shard") == step % n_shards).select("ids")
-        new = here.mapInArrow(_scan(*shared, step < n_shards, longest), "phrase binary, n bigint").groupBy("phrase").agg(F.sum("n").alias("n"))
-        if step:
-            so_far = state.where("risen IS NOT NULL")
-            size = F.length("phrase")
-            longer = new.where(size > 8).withColumn("head", F.substring("phrase", F.lit(1), size - 8)).withColumn("tail", F.substring("phrase", F.lit(9), size - 8))
-            longer = longer.join(so_far.select(F.col("phrase").alias("head")), "head", "left_semi").join(so_far.select(F.col("phrase").alias("tail")), "tail", "left_semi")
-            longer = longer.select("phrase", "n")
-            new = new.where(size == 8).unionByName(longer) if step < n_shards else longer
-        none = F.lit(None).cast("int")
-        both = state.withColumn("n", F.lit(0).cast("long")).unionByName(new.select("phrase", F.lit(0).cast("long").alias("f"), none.alias("since"), none.alias("risen"), "n"))
-        merged = both.groupBy("phrase").agg(F.sum("f").alias("f"), F.min("since").alias("since"), F.min("risen").alias("risen"), F.sum("n").alias("n"))
-        # What has been through every shard isn't counted again.
-        f = F.col("f") + F.when(F.coalesce("since", F.lit(step)) + n_shards > step, F.col("n")).otherwise(0)
-        merged = merged.select("phrase", f.alias("f"), F.coalesce("since", F.lit(step)).alias("since"), "risen")
+        new = here.mapInArrow(_scan(*shared, step < n_shards, longest), "phrase binary, n bigint")
+        both = state.unionByName(new.select("phrase", F.col("n").alias("f"), F.lit(step).alias("since"), F.lit(None).cast("int").alias("risen")))
+        merged = both.groupBy("phrase").agg(F.sum("f").alias("f"), F.min("since").alias("since"), F.min("risen").alias("risen"))
         merged = merged.withColumn("risen", F.coalesce("risen", F.when(F.col("f") >= least, step)))
+        # What was first seen a cycle ago has its whole count.
         old, state = state, scratch.table(merged.where((F.col("f") >= least) | (F.col("since") + (n_shards - 1) > step)), f"state-{step}")
         if step:
             scratch.drop(old)
         for b in shared:
             b.destroy()
-        last = state.where(F.length("phrase") < 8 * longest).agg(F.max("risen")).first()[0]
-        if step >= n_shards - 1 and (last is None or step >= last + n_shards):
-            return state.where("risen IS NOT NULL").select("phrase", "f")
+        risen = state.where((F.col("risen") == step) & (F.length("phrase") < 8 * longest))
+        bitmaps = [*bitmaps[1:], bitmaps[-1] | bitmap_of(risen, bits)]
+        last = step if (bitmaps[-1] != bitmaps[-2]).any() else last
         step += 1
+    return state.where("risen IS NOT NULL").select("phrase", "f")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -253,12 +269,16 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         path = scratch.path("shards")
         docs.select("text", "lang").mapInArrow(_shards(shards, seed), TOKENS).write.partitionBy("shard").parquet(path)
         every = docs.sparkSession.read.schema(TOKENS).parquet(path)
-        words = every.where("shard = -1").select("id", "lang", "word").distinct()
-        if words.groupBy("id").count().where("count > 1").isEmpty():
+        frequent = frequent_phrases(every, scratch, shards, least, longest, bits)
+        ids = frequent.where(F.length("phrase") == 8).select(F.col("phrase").alias("word_id"))
+        shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(F.col("word_id").alias("phrase")), bits))
+        said = docs.select("text", "lang").mapInArrow(_names(shared, seed), "id bigint, lang string, word string").distinct()
+        names = scratch.table(said.select(_bytes("id").alias("word_id"), "lang", "word").join(ids, "word_id", "left_semi"), "names")
+        shared.destroy()
+        if names.groupBy("word_id").count().where("count > 1").isEmpty():
             break
         seed += 1
-    totals = every.where("shard = -2").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = frequent_phrases(every, scratch, shards, least, longest, bits)
+    totals = every.where("shard = -1").groupBy("lang").agg(F.sum("n").alias("n"))
     size = F.length("phrase")
     found = frequent.where(size > 8)
     # Within a longer one that is there as often; one word more is enough to look at, as counts only fall with length.
@@ -270,10 +290,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     cut = cut.join(frequent.select(F.col("phrase").alias("head"), F.col("f").alias("l")), "head").join(frequent.select(F.col("phrase").alias("tail"), F.col("f").alias("r")), "tail")
     # Names: one row a word of a phrase.
     places = alone.select("phrase", F.posexplode(F.transform(F.sequence(F.lit(1), size, F.lit(8)), lambda b: F.substring("phrase", b, F.lit(8)))).alias("at", "word_id"))
-    frequent_words = frequent.where(size == 8).select(F.col("phrase").alias("word_id"))
-    named = words.select(_bytes("id").alias("word_id"), "lang", "word").join(frequent_words, "word_id", "left_semi")
-    names = places.join(named, "word_id").groupBy("phrase").agg(F.max("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("said"))
-    scored = cut.join(names, "phrase").join(totals, "lang")
+    said = places.join(names, "word_id").groupBy("phrase").agg(F.max("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("said"))
+    scored = cut.join(said, "phrase").join(totals, "lang")
     score = F.expr("(1000 * CAST(a AS DECIMAL(15,0)) * CAST(n AS DECIMAL(16,0))) DIV (CAST(l AS DECIMAL(15,0)) * CAST(r AS DECIMAL(15,0)))")
     worst = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("w")
     rows = scored.groupBy("phrase").agg(F.first("lang").alias("lang"), F.first("said").alias("said"), F.first("a").alias("a"), F.first("n").alias("n"), worst)
