@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +29,7 @@ from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import give_back, read_ranks, slices, vocabulary_path
+from earmark.llm.common import give_back, kept, read_ranks, slices, vocabulary_path
 
 MULTI_50K = "byte_bpe_multi_50k.tiktoken"
 #: Runs between spaces whose ids a task remembers, and characters of one that it remembers at most. Neither changes a result.
@@ -218,7 +217,7 @@ class Vocabulary:
         return [packed[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
-@cache
+@kept
 def vocabulary(path: str) -> Vocabulary:
     """Read once in each Python worker."""
     return Vocabulary(path)
@@ -281,7 +280,7 @@ class Encoder:
         give_back()
 
 
-@cache
+@kept
 def encoder(path: str) -> Encoder:
     """One for each Python worker and vocabulary."""
     return Encoder(path)

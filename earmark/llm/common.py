@@ -6,7 +6,7 @@ import atexit
 import base64
 import ctypes
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, wraps
 
 import public_tokenizers
 import pyarrow as pa
@@ -83,6 +83,37 @@ def give_back() -> None:
         trim(0)
 
 
+_kept: list = []
+
+
+def kept(fn):
+    """``functools.cache``, but for one module at a time: its first call drops what other modules keep in this process."""
+    mine = cache(fn)
+    _kept.append((fn.__module__, mine))
+
+    @wraps(fn)
+    def call(*args):
+        if not mine.cache_info().currsize:
+            for module, other in _kept:
+                if module != fn.__module__:
+                    other.cache_clear()
+        return mine(*args)
+
+    return call
+
+
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have texts go to Python workers a few megabytes at a time, from here on in this session; smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ranks of a rank file (base64 token, space, rank)."""
     with open(path, "rb") as lines:

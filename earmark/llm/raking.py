@@ -34,7 +34,7 @@ from earmark.llm.common import Scratch, key_of
 #: Topics by the first pattern that a text matches, in this order; else OTHER.
 TOPICS = (
     ("legal", "(?i)licensed under|all rights reserved|public license"),
-    ("contact", "[0-9A-Za-z._]+@[0-9A-Za-z.]+"),
+    ("contact", "[0-9A-Za-z._]@[0-9A-Za-z.]"),
     ("secret", "AKIA[0-9A-Z]{16}|token ="),
     ("listing", " \\| |###|%%%|&&&"),
 )
@@ -193,7 +193,7 @@ def sample(docs: DataFrame, topic: Column | None = None, seed: str = SEED, **set
     keys = {"source": key_of("source"), "lang": key_of("lang"), "topic": key_of(topic)}
     slim = scratch.table(docs.select(*[c.alias(d) for d, c in keys.items()], tokens_of("text").alias("n_tokens")), "slim")
     cells = scratch.table(fit(slim, scratch, **settings), "probabilities")
-    named = {d: "_".join([*docs.columns, d]) for d in (*DIMENSIONS, "probability")}
+    named = {d: "_".join([*docs.columns, d]).replace(".", "_") for d in (*DIMENSIONS, "probability")}
     cells = cells.select(*[F.col(d).alias(n) for d, n in named.items()])
     drawn = draw_of("doc_id", seed) < F.col(f"`{named['probability']}`")
     rows = docs.withColumns({named[d]: c for d, c in keys.items()}).join(cells, [named[d] for d in DIMENSIONS])

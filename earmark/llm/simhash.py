@@ -191,7 +191,8 @@ def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     found = groups(docs, max_distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count("*").alias("n"))
     chosen = Scratch(docs.sparkSession, "chosen").table(chosen.select("one.*", "n"), "chosen")
-    key, digest = "_".join([*docs.columns, "id"]), "_".join([*docs.columns, "hash"])
+    free = "_".join(docs.columns).replace(".", "_")  # longer than any name there
+    key, digest = f"{free}_id", f"{free}_hash"
     wanted = chosen.select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest))
     same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest))
     kept = docs.join(wanted, same, "left_semi")

@@ -7,11 +7,10 @@ letters, lower-cased, with the vocabulary's word mark in front). Characters the
 vocabulary lacks are spelled with its byte pieces.
 
 Fitting is expectation-maximisation on Spark: the words of a bounded sample
-(``FIT_DOCS`` documents a language, drawn by a hash of the id; of the
-``MAX_LANGUAGES`` languages with most documents) are counted by language, and
-each round sums, over those counts, how often every piece is expected. What
-reaches the driver is one number a language and piece. Prediction reads every
-whole text.
+(``FIT_DOCS`` documents a language, drawn by a hash of the id) are counted by
+language, and each round sums, over those counts, how often every piece is
+expected. What reaches the driver and the tasks is one number a language and
+piece, for all languages there are. Prediction reads every whole text.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every
 text if nothing could be learned (no rows, or no language given). Ties go to
@@ -24,7 +23,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +30,12 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earmark.llm.common import give_back, slices, vocabulary_path
+from earmark.llm.common import Scratch, give_back, kept, slices, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
-FIT_DOCS, MAX_LANGUAGES, ROUNDS = 2_000, 400, 4
-#: Words a task remembers; doesn't change a result.
-REMEMBERED = 300_000
+FIT_DOCS, ROUNDS = 2_000, 4
+#: Words a task remembers when it predicts, and when it counts; words whose pieces are expected at a time. None changes a result.
+REMEMBERED, COUNTED, AT_ONCE = 100_000, 50_000, 2_000
 #: Weight, in pieces, of what all languages share in each one's probabilities.
 SHARED = 200.0
 #: Each character counts this much more likely while words are summed up, to stay within range; taken out again.
@@ -116,7 +114,7 @@ class Pieces:
         return rows, [[self.byte[b] for b in chr(c).encode()] for c in lacking.tolist()]
 
 
-@cache
+@kept
 def pieces(path: str) -> Pieces:
     return Pieces(path)
 
@@ -302,17 +300,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     lang, at = langs[at], at + 1
                     for word, n in Counter(WORD.findall(text.lower())).items():
                         counts[lang, word] += n
-                if len(counts) > REMEMBERED:
+                if len(counts) > COUNTED:
                     yield flush()
         yield flush()
+        give_back()
 
     return docs.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def expected(counts: DataFrame, languages: list[str], chances: np.ndarray, path: str) -> DataFrame:
-    """(language number, piece, how often it is expected) under ``chances``."""
+def expected(counts: DataFrame, languages: list[str], shared, path: str) -> DataFrame:
+    """(language number, piece, how often it is expected) under the broadcast ``shared`` probabilities."""
     number = {name: i for i, name in enumerate(languages)}
-    shared = counts.sparkSession.sparkContext.broadcast(chances)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, logs = shared.value * LIFT ** pieces(path).length[:, None], None
@@ -320,8 +318,8 @@ def expected(counts: DataFrame, languages: list[str], chances: np.ndarray, path:
         for batch in batches:
             every = list(zip(batch["lang"].to_pylist(), batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True))
             rows, apart = [r for r in every if len(r[1]) < LONG], [r for r in every if len(r[1]) >= LONG]
-            for at in range(0, len(rows), 10_000):
-                part = rows[at:at + 10_000]
+            for at in range(0, len(rows), AT_ONCE):
+                part = rows[at:at + AT_ONCE]
                 words = ["▁" + r[1] for r in part]
                 lang, weight = np.array([number[r[0]] for r in part]), np.array([r[2] for r in part], dtype=float)
                 edges, spelled = pieces(path).edges(words)
@@ -360,37 +358,38 @@ def expected(counts: DataFrame, languages: list[str], chances: np.ndarray, path:
                 expected_by_logs(pieces(path), ["▁" + r[1] for r in some], lang, weight, logs, total)
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, lang])], names=["lang", "piece", "n"])
+        give_back()
 
     found = counts.mapInArrow(expect, "lang int, piece int, n double")
     return found.groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS, max_languages: int = MAX_LANGUAGES, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS) -> Model:
     """A model of the languages in ``lang`` from ``doc_id``, ``lang`` and ``text``; every row given may be learned from."""
     path = path or vocabulary_path(PIECES)
-    size = pieces(path).size
+    size, spark = pieces(path).size, docs.sparkSession
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in top)
+    number = usable.groupBy("lang").agg(F.count("*").alias("documents"))
+    languages = sorted(r["lang"] for r in number.collect())
     if not languages:
         return Model([], np.zeros((size, 0)), path)
     # The share of each language's documents that is read: all, or as many as give fit_docs on average.
-    shares = F.create_map(*[x for r in top for x in (F.lit(r["lang"]), F.lit(min(1.0, fit_docs / r["count"])))])
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.where(F.col("lang").isin(languages)).where(drawn < shares[F.col("lang")])
+    sample = usable.join(number, "lang").where(drawn < F.lit(float(fit_docs)) / F.col("documents"))
     # As many pieces as shuffles have: the sample is small in bytes, but each word takes work.
-    counts = word_counts(sample).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").persist()
-    try:
-        chances = np.full((size, len(languages)), 1.0 / size)
-        for _ in range(rounds):
-            total = np.zeros((size, len(languages)))
-            for r in expected(counts, languages, chances, path).toLocalIterator():
-                total[r["piece"], r["lang"]] = r["n"]
-            shared = (total / np.maximum(total.sum(axis=0), 1.0)).mean(axis=1) * 0.9 + 0.1 / size
-            chances = total + SHARED * shared[:, None]
-            chances /= chances.sum(axis=0)
-    finally:
-        counts.unpersist()
+    scratch = Scratch(spark, "unigram")
+    counts = scratch.table(word_counts(sample).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word"), "counts")
+    chances = np.full((size, len(languages)), 1.0 / size)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(chances)
+        found = expected(counts, languages, shared, path).toArrow()
+        shared.destroy()
+        total = np.zeros((size, len(languages)))
+        total[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
+        alike = (total / np.maximum(total.sum(axis=0), 1.0)).mean(axis=1) * 0.9 + 0.1 / size
+        chances = total + SHARED * alike[:, None]
+        chances /= chances.sum(axis=0)
+    scratch.drop(counts)
     return Model(languages, chances, path)
 
 
@@ -417,9 +416,11 @@ def identify(docs: DataFrame, **settings) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **settings) -> DataFrame:
-    """The rows whose language is found with ``min_score`` or more; same columns."""
+    """The rows whose language is found with ``min_score`` or more; same columns. Where no language is given to learn from, all rows stay."""
     model = fit(docs.where(~in_fold(F.col("doc_id")) & F.col("doc_id").isNotNull()), **settings)
+    if not model.languages:
+        return docs
     mark = "_".join([*docs.columns, "language"])
     found = docs.withColumn(mark, predict("text", model, docs))
-    kept = found.where((F.col(f"`{mark}`.lang_pred") != "und") & (F.col(f"`{mark}`.score") >= min_score))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept_rows = found.where((F.col(f"`{mark}`.lang_pred") != "und") & (F.col(f"`{mark}`.score") >= min_score))
+    return kept_rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -268,3 +268,31 @@ def test_pipeline_stages(spark):
         docs, ids = (spark.createDataFrame(found, out.schema), {r.doc_id for r in found})
     assert all(r.round_trip and r.n_tokens == len(r.token_ids) for r in found) and ids
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == ids
+
+
+ODD = [(1, "The cat sat on the mat and looked at the dog.", "en", "a"), (2, None, "en", "a"), (3, "", None, None), (4, "12 34 --", "de", "b"),
+       (5, "x" * 200_000 + " the end of a very long word", "en", "a"), (None, "Die Katze sitzt auf der Matte und schaut.", "de", None)]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_tables(spark, name, stage):
+    rows = [*ODD, ODD[0], ODD[0], *[(10 + i, f"number {i} of the words in the list that is here for you and me today", "en", "a") for i in range(40)]]
+    docs = spark.createDataFrame([(*r, r[1], 7, "x") for r in rows], "doc_id long, text string, lang string, source string, coded string, token_ids int, `a.b` string")
+    out = stage(spark, docs, SF)
+    got = out.collect()
+    assert {r.doc_id for r in got} <= {r[0] for r in rows} and all(r["a.b"] == "x" for r in got)
+    assert out.columns == docs.columns if name != "tokens" else out.columns == [*docs.columns, "token_ids_", "n_tokens", "round_trip"]
+    if name == "tokens":
+        assert len(got) == len(rows) and all(r.round_trip and r.n_tokens == len(r.token_ids_) for r in got)
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.columns == out.columns and empty.collect() == []
+
+
+def test_without_languages_no_document_goes(spark):
+    docs = spark.createDataFrame([(i, f"a text {i}", None, "s") for i in range(5)], "doc_id long, text string, lang string, source string")
+    assert corpus_pipeline.language(spark, docs, SF).count() == 5
+
+
+def test_topics_of_a_long_run_of_letters(spark):
+    docs = spark.createDataFrame([("a" * 1_000_000,), ("b" * 1_000_000 + "@c",)], "text string")
+    assert [r[0] for r in docs.select(raking.topic_of("text")).collect()] == ["prose", "contact"]

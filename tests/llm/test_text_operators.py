@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from earmark.llm import bpe, editcounts, lines, repair, unigram
+from earmark.llm import common, bpe, editcounts, lines, repair, unigram
 
 ODD = [None, "", " ", "a", "a  b", " a", "a \n b c\n\nd", "x   y", "it's \x85 d", "ab" * 3000, "é" * 999, "\U0001f600" * 50, "<|endoftext|>", "!" * 999,
        "one two three four five six seven eight nine ten.", "日本語テスト", "\x1c\x1fb", "12 345"]
@@ -199,7 +199,7 @@ def test_words_of_every_length_are_learned_from(spark):
     chances = np.full((vocabulary.size, 1), 1e-12)
     words = ["the", "日" * 30, "\U00020000" * 30, "ab" * 60, "straße" * 100]
     counts = spark.createDataFrame([("a", w, 2) for w in words], "lang string, word string, n long")
-    got = {r.piece: r.n for r in unigram.expected(counts, ["a"], chances, path).collect()}
+    got = {r.piece: r.n for r in unigram.expected(counts, ["a"], spark.sparkContext.broadcast(chances), path).collect()}
     want = np.zeros(chances.shape)
     unigram.expected_by_logs(vocabulary, ["▁" + w for w in words], np.zeros(5, dtype=int), np.full(5, 2.0), np.log(chances), want)
     assert sorted(got) == np.flatnonzero(want).tolist() and np.allclose([got[p] for p in sorted(got)], want[sorted(got), 0])
@@ -268,3 +268,15 @@ def test_digests_of_the_query(spark):
         ids = want.encode_ordinary(texts[row.doc_id])
         assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+
+
+def test_as_many_languages_as_there_are(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 4, f"l{i % 450:03d}") for i in range(1350)]
+    model = unigram.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=1)
+    assert model.languages == sorted({r[2] for r in rows}) and np.allclose(model.chances.sum(axis=0), 1)
+
+
+def test_caches_of_one_module_at_a_time():
+    unigram.pieces(unigram.vocabulary_path(unigram.PIECES))
+    bpe.encoder(bpe.vocabulary_path(bpe.VOCABULARY) if hasattr(bpe, "VOCABULARY") else bpe.vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+    assert not any(mine.cache_info().currsize for module, mine in common._kept if module == unigram.__name__)
