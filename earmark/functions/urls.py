@@ -175,6 +175,11 @@ def unsafe_reason(c: Column) -> Column:
     odd_number = F.regexp_like(host, F.lit(r"^(?:0x[0-9a-f]+|\d+)(?:\.(?:0x[0-9a-f]+|\d+)){0,3}$")) & (
         ~literal_v4 | F.regexp_like(host, F.lit(r"(?:^|\.)0\d")))
     mapped = F.regexp_like(host, F.lit(r"^\[(?:0*:)*:?(?:ffff:)?(?:\d{1,3}(?:\.\d{1,3}){3}|ffff:[0-9a-f:]+)\]$"))
+    dotted = F.regexp_extract(host, r"^\[[0:]*(?:ffff:)?(\d{1,3}(?:\.\d{1,3}){3})\]$", 1)
+    high, low = (F.conv(F.nullif(F.regexp_extract(host, r"^\[[0:]*ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})\]$", i), F.lit("")), 16, 10).cast("int") for i in (1, 2))
+    hexed = F.concat_ws(".", *[F.floor(part / 256).cast("string") if top else (part % 256).cast("string") for part in (high, low) for top in (True, False)])
+    inside = F.coalesce(F.nullif(dotted, F.lit("")), F.nullif(hexed, F.lit("")))
+    mapped = mapped & (inside.isNull() | F.regexp_like(inside, F.lit(private_v4)))
     return (
         F.when(~u.scheme.isin("http", "https"), F.lit("scheme"))
         .when(F.regexp_like(u.netloc, F.lit("^[^@]+@")), F.lit("credentials"))

@@ -212,11 +212,15 @@ def plain_escapes(text: Column) -> Column:
     The value stays the same: quotes and backslashes keep their escapes, and an
     escaped backslash before ``u`` or ``/`` isn't taken for an escape.
     """
-    mark = F.lit("\ue000")
-    held = F.replace(F.replace(text, F.lit("\\\\"), mark), F.lit("\\/"), F.lit("/"))
-    found = F.array_distinct(F.regexp_extract_all(held, F.lit(r"(\\u00(?:2[013-9a-fA-F]|[3467][0-9a-fA-F]|5[0-9abd-fABD-F]))"), 1))
-    plain = F.aggregate(found, held, lambda so_far, e: F.replace(so_far, e, F.decode(F.unhex(F.substring(e, 5, 2)), "UTF-8")))
-    return F.replace(plain, mark, F.lit("\\\\"))
+    even = r"(?<!\\)((?:\\\\)*)\\"  # the backslash that begins an escape: those before it are pairs
+    slashes = F.regexp_replace(text, F.lit(even + "/"), F.lit("$1/"))
+    found = F.array_distinct(F.regexp_extract_all(slashes, F.lit(even + r"(u00(?:2[013-9a-fA-F]|[3467][0-9a-fA-F]|5[0-9abd-fABD-F]))"), 2))
+
+    def written(so_far: Column, e: Column) -> Column:
+        letter = F.decode(F.unhex(F.substring(e, 4, 2)), "UTF-8")
+        return F.regexp_replace(so_far, F.concat(F.lit(even), e), F.concat(F.lit("$1\\"), letter))
+
+    return F.aggregate(found, slashes, written)
 
 
 def sanitize_json(text: Column, root: Column | None = None) -> Column:

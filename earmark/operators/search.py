@@ -2,8 +2,8 @@
 
 A term matches as a substring, so an inverted index of whole tokens is not
 enough. A Latin term can only occur inside one run of Latin characters: terms
-are therefore matched against the distinct runs of the corpus (its vocabulary),
-and counts come from joining the run postings. CJK terms are at most four
+are therefore looked for in the distinct runs of the corpus (its vocabulary) by
+an automaton, and counts come from joining the run postings. CJK terms are at most four
 characters, so CJK runs are indexed as grams of one to four characters. Both
 are equality joins; no term is compared with every chunk.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from earmark.functions import fixed
 from earmark.functions.text import casefold, occurrences, query_terms, ranking_terms, strip
-from earmark.operators.substring import containing
+from earmark.operators.substring import found_in
 from earmark.session import materialize
 
 KEY = ("episode_id", "chunk_id")
@@ -62,9 +62,8 @@ def term_matches(terms: DataFrame, index: DataFrame, key: Sequence[str] = KEY) -
     wanted = terms.select("term").distinct()
     latin = F.regexp_like("term", F.lit(f"^{fixed.LATIN_RUN}$"))
     vocabulary = index.where(F.regexp_like("token", F.lit(f"^{fixed.LATIN_RUN}$"))).select("token").distinct()
-    inside = containing(vocabulary, "token", wanted.where(latin), "term").select(
-        F.col("text").alias("token"), F.col("needle").alias("term"),
-        occurrences(F.col("text"), F.col("needle")).alias("per"))
+    inside = found_in(vocabulary, "token", wanted.where(latin), "term").select(
+        "token", F.col("needle").alias("term"), occurrences(F.col("token"), F.col("needle")).alias("per"))
     whole = wanted.where(~latin).select(F.col("term").alias("token"), "term", F.lit(1).cast("long").alias("per"))
     hits = _salted(index, inside.unionByName(whole), "token", key)
     return hits.groupBy("term", *key).agg(F.sum(F.col("tf") * F.col("per")).alias("tf"))
@@ -82,8 +81,7 @@ def expand_queries(queries: DataFrame, glossary: DataFrame) -> DataFrame:
             F.transform("labels", strip), lambda x: x.isNotNull() & (x != "")))).alias("at", "label"))
         .withColumn("_label", casefold(F.col("label")))
     )
-    pairs = containing(folded, "_folded", named, "_label")
-    mentions = folded.select("query_id", F.col("_folded").alias("text")).join(pairs, "text").join(
+    mentions = found_in(folded.select("query_id", F.col("_folded").alias("text")), "text", named, "_label").join(
         named.select("entry", F.col("_label").alias("needle")).distinct(), "needle")
     entries = mentions.select("query_id", "text", "entry").distinct()
     added = (
@@ -105,8 +103,7 @@ def evidence_boosts(queries: DataFrame, items: DataFrame) -> DataFrame:
     """
     asked = queries.select("query_id", F.explode(ranking_terms(F.col("query"))).alias("term"))
     texts = items.select("item", "episode_id", "segment_ids", casefold(F.col("searchable")).alias("text"))
-    pairs = containing(texts, "text", asked, "term").withColumnRenamed("needle", "term")
-    item_terms = texts.select("item", "text").join(pairs, "text").select("item", "term")
+    item_terms = found_in(texts.select("item", "text"), "text", asked, "term").select("item", F.col("needle").alias("term"))
     counted = _salted(item_terms, asked, "term", ["item"]).groupBy("query_id", "item").agg(F.count("*").alias("terms"))
     boost = F.least(F.lit(fixed.BOOST_CAP), fixed.BOOST_BASE + fixed.BOOST_STEP * F.col("terms"))
     cited = texts.select("item", "episode_id", F.explode(F.array_distinct("segment_ids")).alias("segment_id"))
@@ -151,9 +148,8 @@ def rank(
         F.contains("search_text", "phrase")).select("query_id", *key)
     # A query without a single term can still match as a whole.
     bare = phrases.where("needed = 0 and phrase <> ''")
-    pairs = containing(chunks, "search_text", bare, "phrase")
-    loose = bare.join(pairs, F.col("phrase") == F.col("needle")).join(
-        chunks.select(*key, F.col("search_text").alias("text")), "text").select("query_id", *key)
+    loose = found_in(chunks.select(*key, "search_text"), "search_text", bare, "phrase").join(
+        bare, F.col("phrase") == F.col("needle")).select("query_id", *key)
     zero = lambda name: F.lit(0.0).alias(name)
     parts = scored.select("query_id", *key, "base", zero("boost")).unionByName(
         exact.unionByName(loose).select("query_id", *key, F.lit(fixed.PHRASE_BONUS).alias("base"), zero("boost")))

@@ -8,6 +8,7 @@ from earmark.functions import fixed
 from earmark.functions.text import casefold, words
 from earmark.operators import search
 from earmark.operators.chunking import chunk_members, chunk_ranges
+from earmark.operators.substring import found_in
 from earmark.plans import views
 from earmark.plans.registry import query, table
 from earmark.plans.views import folded, ordered_distinct, searched, with_views
@@ -53,13 +54,13 @@ def term_matches(spark, sf):
     return search.term_matches(asked, search.postings(views.units(spark, sf)))
 
 
-@query("retrieval_confidence", with_views("v_terms v_units", _RANKED + """
-SELECT query_id, CASE WHEN s1 >= 8 AND (s2 IS NULL OR s1 >= s2 * 1.25) THEN 'high'
+@query("retrieval_confidence", with_views("v_queries v_terms v_units", _RANKED + """
+SELECT DISTINCT query_id, CASE WHEN s1 >= 8 AND (s2 IS NULL OR s1 >= s2 * 1.25) THEN 'high'
                       WHEN s1 >= 3 THEN 'medium' ELSE 'low' END AS confidence
-FROM (SELECT query_id, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2
-      FROM ranked GROUP BY query_id)"""))
+FROM v_queries LEFT JOIN (SELECT query_id, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2
+                          FROM ranked GROUP BY query_id) USING (query_id)"""))
 def retrieval_confidence(spark, sf):
-    return search.confidence(_hits(spark, sf))
+    return search.confidence(_hits(spark, sf), views.questions(spark, sf))
 
 
 @query("context_chunks", with_views("v_terms v_units", _RANKED + """
@@ -169,21 +170,19 @@ def expanded_search(spark, sf):
 @query("topic_timeline", with_views("v_queries v_segments", f"""
   hits AS (SELECT DISTINCT query_id, s.episode_id, s.segment_id
            FROM (SELECT query_id, unnest(string_split(trim(query), ' ')) AS topic FROM v_queries) t
-           JOIN v_segments s ON length(topic) >= 9 AND contains({searched('s.text')}, {folded('topic')}))
+           JOIN v_segments s ON topic <> '' AND contains({searched('s.text')}, {folded('topic')}))
 SELECT DISTINCT h.query_id, s.episode_id, s.segment_id, s.start_seconds,
        row_number() OVER (PARTITION BY h.query_id, s.episode_id ORDER BY s.segment_id) AS place
 FROM (SELECT DISTINCT query_id, episode_id, unnest(range(segment_id - 1, segment_id + 2)) AS segment_id FROM hits) h
 JOIN v_segments s USING (episode_id, segment_id)"""))
 def topic_timeline(spark, sf):
-    """Long words of each query as topics: hits with neighbours, in order."""
+    """The words of each query as topics: hits with neighbours, in order."""
     topics = views.questions(spark, sf).select(
-        "query_id", F.explode(F.split(F.btrim("query"), " ")).alias("t")).where(F.length("t") >= 9)
+        "query_id", F.explode(F.split(F.btrim("query"), " ")).alias("t")).where("t <> ''")
     topics = topics.select("query_id", casefold(F.col("t")).alias("topic")).distinct()
     units = views.units(spark, sf)
-    pairs = search.containing(units, "search_text", topics, "topic")
-    found = topics.join(pairs, topics["topic"] == pairs["needle"]).join(
-        units.select("episode_id", "chunk_id", F.col("search_text").alias("text")), "text").select(
-        "query_id", "episode_id", "chunk_id").distinct()
+    pairs = found_in(units.select("episode_id", "chunk_id", "search_text"), "search_text", topics, "topic")
+    found = topics.join(pairs, topics["topic"] == pairs["needle"]).select("query_id", "episode_id", "chunk_id").distinct()
     times = views.segments(spark, sf).select("episode_id", F.col("segment_id").alias("chunk_id"), "start_seconds")
     near = search.context_chunks(found, times, 1)
     placed = search.in_order(near, ["query_id", "episode_id"], "chunk_id")

@@ -19,11 +19,17 @@ def _node_text(raw: Column) -> Column:
     return collapse(F.when(F.contains(raw, F.lit("<![CDATA[")), quoted).otherwise(plain))
 
 
-def _first_text(item: Column, *names: str) -> Column:
+def _children(item: Column) -> Column:
+    """The elements directly below an item; what is nested in them is part of them."""
+    inner = F.regexp_replace(item, r"^<[^>]*>", "")
+    return F.regexp_extract_all(inner, F.lit(r"(?is)(<((?:[\w.-]+:)?[\w.-]+)(?:\s[^>]*)?(?<!/)>.*?</\2\s*>)"), 1)
+
+
+def _first_text(children: Column, *names: str) -> Column:
     """Text of the first named child that has some, in document order."""
-    pattern = rf"(?is)<(?:[\w.-]+:)?(?:{'|'.join(names)})(?:\s[^>]*)?(?<!/)>(.*?)</(?:[\w.-]+:)?(?:{'|'.join(names)})\s*>"
-    found = F.regexp_extract_all(item, F.lit(pattern), 1)
-    texts = F.transform(found, lambda raw: let(raw, _node_text))
+    pattern = rf"(?is)^<(?:[\w.-]+:)?(?:{'|'.join(names)})(?:\s[^>]*)?>(.*)</[^>]*>$"
+    named = F.filter(children, lambda c: F.regexp_like(c, F.lit(pattern)))
+    texts = F.transform(named, lambda c: let(F.regexp_extract(c, pattern, 1), _node_text))
     return F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), F.lit(""))
 
 
@@ -46,7 +52,7 @@ def parse_feeds(files: DataFrame) -> DataFrame:
             F.startswith(kind, F.lit("audio/")).alias("audio"), F.lower(attribute(t, "rel")).alias("rel"),
             let(href, lambda h: suffix(split_url(h).path)).isin(fixed.MEDIA_SUFFIXES).alias("named"))
 
-    rows = items.withColumn("_base", url_base(F.col("feed_url"))).withColumn("tags", F.filter(
+    rows = items.withColumn("_base", url_base(F.col("feed_url"))).withColumn("children", _children(item)).withColumn("tags", F.filter(
         F.transform(F.regexp_extract_all(item, F.lit(_TAG), 1), tag), lambda t: t["href"] != ""))
     media = lambda t: t["audio"] | t["named"]
     enclosures = F.filter("tags", lambda t: (t["name"] == "enclosure") & media(t))
@@ -59,14 +65,14 @@ def parse_feeds(files: DataFrame) -> DataFrame:
         ~t["audio"] | F.exists(F.slice("tags", F.lit(1), i), sets_audio)))
     return rows.select(
         "feed_url", F.col("position").cast("long").alias("position"),
-        _first_text(item, "title").alias("title"), _first_text(item, "guid", "id").alias("guid"),
-        _first_text(item, "pubdate", "published", "updated", "date").alias("published"),
-        F.nullif(_first_text(item, "duration"), F.lit("")).alias("duration"),
+        _first_text(F.col("children"), "title").alias("title"), _first_text(F.col("children"), "guid", "id").alias("guid"),
+        _first_text(F.col("children"), "pubdate", "published", "updated", "date").alias("published"),
+        F.nullif(_first_text(F.col("children"), "duration"), F.lit("")).alias("duration"),
         F.when(F.size(page_links) > 0, url(page_links, 0)).alias("episode_url"),
         F.when(F.size(enclosures) > 0, resolve_url(base, F.get(F.reverse(enclosures), F.lit(0))["href"]))
         .when(F.size(audio_links) > 0, url(audio_links, 0)).alias("audio_url"),
         F.transform(F.filter("tags", lambda t: t["name"] == "transcript"), lambda t: resolve_url(base, t["href"])).alias("transcript_urls"),
-        strip_markup(_first_text(item, "description", "summary", "content", "encoded")).alias("description"))
+        strip_markup(_first_text(F.col("children"), "description", "summary", "content", "encoded")).alias("description"))
 
 
 def latest_items(items: DataFrame) -> DataFrame:

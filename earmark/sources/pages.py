@@ -13,7 +13,8 @@ from earmark.session import materialize
 from earmark.sources.feeds import attribute
 
 _TAG = r"(?is)(<(?:meta|audio|source|link)\b[^>]*>)"
-_JSON_LD = r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""
+# Comments and other scripts are matched, too, so that nothing inside them counts; they leave group 1 empty.
+_JSON_LD = r"""(?is)<!--.*?-->|<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>|<script\b[^>]*>.*?</script>"""
 EPISODE_TYPES = ["podcastepisode", "audioobject", "videoobject", "episode"]
 
 
@@ -85,7 +86,7 @@ def jsonld_nodes(pages: DataFrame) -> DataFrame:
     nothing.
     """
     spark = pages.sparkSession
-    blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_JSON_LD), 1)).alias("b", "json"))
+    blocks = pages.select("page_id", F.posexplode(F.filter(F.regexp_extract_all("html", F.lit(_JSON_LD), 1), lambda x: x != "")).alias("b", "json"))
     # Few pages have such blocks; they are found once for all levels.
     blocks = materialize(blocks, "json-ld")
     inner = F.startswith(F.schema_of_variant("node"), F.lit("OBJECT")) | F.startswith(F.schema_of_variant("node"), F.lit("ARRAY"))
