@@ -61,7 +61,9 @@ def term_matches(terms: DataFrame, index: DataFrame, key: Sequence[str] = KEY) -
     """
     wanted = terms.select("term").distinct()
     latin = F.regexp_like("term", F.lit(f"^{fixed.LATIN_RUN}$"))
-    vocabulary = index.where(F.regexp_like("token", F.lit(f"^{fixed.LATIN_RUN}$"))).select("token").distinct()
+    # Small in bytes, but each run takes work: as many parts as shuffles have.
+    width = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = index.where(F.regexp_like("token", F.lit(f"^{fixed.LATIN_RUN}$"))).select("token").distinct().repartition(width, "token")
     inside = found_in(vocabulary, "token", wanted.where(latin), "term").select(
         "token", F.col("needle").alias("term"), occurrences(F.col("token"), F.col("needle")).alias("per"))
     whole = wanted.where(~latin).select(F.col("term").alias("token"), "term", F.lit(1).cast("long").alias("per"))
