@@ -43,6 +43,13 @@ TOP_K = 8
 BUDGET_CHARS = 12000
 PHRASE_BONUS = 8.0
 BOOST_BASE, BOOST_STEP, BOOST_CAP = 4.0, 2.0, 14.0
+#: Fields of an evidence item that are searched, by collection.
+SEARCHED_FIELDS = {
+    "claims": ("claim",),
+    "actions": ("action", "for_whom"),
+    "entities": ("name", "context"),
+    "glossary": ("source_term", "preferred_term", "note"),
+}
 
 # --- fixed values: evidence enumerations --------------------------------------
 CLAIM_KINDS = ["fact", "opinion", "anecdote", "prediction", "recommendation", "synthesis"]

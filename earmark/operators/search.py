@@ -10,7 +10,9 @@ are equality joins; no term is compared with every chunk.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -71,30 +73,74 @@ def term_matches(terms: DataFrame, index: DataFrame, key: Sequence[str] = KEY) -
     return hits.groupBy("term", *key).agg(F.sum(F.col("tf") * F.col("per")).alias("tf"))
 
 
-def expand_queries(queries: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Add to each query the other labels of glossary entries it mentions.
+def expansions(queries: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``query_id, entry, matched, added``: glossary entries that a query mentions and the labels each adds.
 
-    ``glossary``: ``entry`` (order) and ``labels``. Result: ``query_id, query,
-    expanded, added`` with each added label once, in entry and label order.
+    ``glossary``: ``entry`` (order) and ``labels``. A label that two entries
+    could add counts for the first; entries that add nothing give no row.
     """
-    folded = queries.withColumn("_folded", casefold(F.col("query")))
+    folded = queries.select("query_id", casefold(F.col("query")).alias("text"))
     named = (
         glossary.select("entry", F.posexplode(F.array_distinct(F.filter(
             F.transform("labels", strip), lambda x: x.isNotNull() & (x != "")))).alias("at", "label"))
         .withColumn("_label", casefold(F.col("label")))
     )
-    mentions = found_in(folded.select("query_id", F.col("_folded").alias("text")), "text", named, "_label").join(
+    mentions = found_in(folded, "text", named, "_label").join(
         named.select("entry", F.col("_label").alias("needle")).distinct(), "needle")
-    entries = mentions.select("query_id", "text", "entry").distinct()
-    added = (
-        entries.join(named, "entry").where(~F.contains("text", "_label"))
-        .groupBy("query_id", "label").agg(F.min(F.struct("entry", "at")).alias("first"))
-        .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("first", "label"))).alias("_added"))
-    )
-    more = F.coalesce(F.transform("_added", lambda a: a["label"]), F.array().cast("array<string>"))
-    return queries.join(added, "query_id", "left").select(
-        "query_id", "query", more.alias("added"),
-        F.btrim(F.concat_ws(" ", F.array(F.col("query")), more)).alias("expanded"))
+    rows = mentions.select("query_id", "text", "entry").distinct().join(named, "entry").withColumn("_in", F.contains("text", "_label"))
+    first = F.min(F.struct("entry", "at")).over(Window.partitionBy("query_id", "label"))
+    rows = rows.withColumn("_new", ~F.col("_in") & (first == F.struct("entry", "at")))
+    labels = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct("at", "label")))), lambda a: a["label"])
+    return rows.groupBy("query_id", "entry").agg(labels("_in").alias("matched"), labels("_new").alias("added")).where("size(added) > 0")
+
+
+def _expanded(queries: DataFrame, more: DataFrame) -> DataFrame:
+    listed = more.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("entry", "added"))).alias("_added"))
+    added = F.coalesce(F.flatten(F.transform("_added", lambda a: a["added"])), F.array().cast("array<string>"))
+    return queries.join(listed, "query_id", "left").select(
+        "query_id", "query", added.alias("added"),
+        F.btrim(F.concat_ws(" ", F.array(F.col("query")), added)).alias("expanded"))
+
+
+def expand_queries(queries: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Add to each query the other labels of glossary entries it mentions.
+
+    ``glossary``: ``entry`` (order) and ``labels``. Result: ``query_id, query,
+    expanded, added`` with each added label once, in entry and label order.
+    """
+    return _expanded(queries, expansions(queries, glossary))
+
+
+def searchable_items(records: DataFrame) -> DataFrame:
+    """Evidence items as they are searched: the fields of their collection as one text, and every segment they cite.
+
+    ``records``: ``episode_id, collection, idx`` and ``item`` (JSON). Segments
+    are cited by whole numbers in ``segment_ids`` lists at any depth.
+    """
+    texts = [F.when(F.col("collection") == name, F.concat_ws(" ", *[F.coalesce(F.get_json_object("item", f"$.{f}"), F.lit("")) for f in fields]))
+             for name, fields in fixed.SEARCHED_FIELDS.items()]
+    lists = F.regexp_extract_all("item", F.lit(r'"segment_ids"\s*:\s*\[([^\]]*)\]'), 1)
+    numbers = F.filter(F.transform(F.split(F.concat_ws(",", lists), ","), lambda x: F.btrim(x)), lambda x: F.regexp_like(x, F.lit(r"^-?\d{1,18}$")))
+    return records.select(
+        F.concat_ws("/", "episode_id", "collection", "idx").alias("item"), "episode_id", "collection", "idx",
+        F.coalesce(*texts).alias("searchable"), F.array_sort(F.array_distinct(F.transform(numbers, lambda x: x.cast("long")))).alias("segment_ids"))
+
+
+def evidence_matches(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """``query_id, item, <other columns of items>, matched_terms, boost`` of the items that have a term of a query and cite a segment."""
+    asked = queries.select("query_id", F.posexplode(ranking_terms(F.col("query"))).alias("at", "term"))
+    citing = items.where("size(segment_ids) > 0")
+    texts = citing.select("item", casefold(F.col("searchable")).alias("text"))
+    item_terms = found_in(texts, "text", asked, "term").select("item", F.col("needle").alias("term"))
+    listed = _salted(item_terms, asked, "term", ["item"]).groupBy("query_id", "item").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("_t"))
+    boost = F.least(F.lit(fixed.BOOST_CAP), fixed.BOOST_BASE + fixed.BOOST_STEP * F.size("_t"))
+    return listed.withColumns({"matched_terms": F.transform("_t", lambda t: t["term"]), "boost": boost}).drop("_t").join(citing.drop("searchable"), "item")
+
+
+def segment_boosts(matches: DataFrame) -> DataFrame:
+    """``query_id, episode_id, segment_id, boost``: the largest of the matching items that cite a segment."""
+    cited = matches.select("query_id", "episode_id", "boost", F.explode(F.array_distinct("segment_ids")).alias("segment_id"))
+    return cited.groupBy("query_id", "episode_id", "segment_id").agg(F.max("boost").alias("boost"))
 
 
 def evidence_boosts(queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -103,16 +149,50 @@ def evidence_boosts(queries: DataFrame, items: DataFrame) -> DataFrame:
     ``items``: ``item`` (unique), ``episode_id``, ``searchable`` text and
     ``segment_ids``. A claim in another language still leads to its segments.
     """
-    asked = queries.select("query_id", F.explode(ranking_terms(F.col("query"))).alias("term"))
-    texts = items.select("item", "episode_id", "segment_ids", casefold(F.col("searchable")).alias("text"))
-    item_terms = found_in(texts.select("item", "text"), "text", asked, "term").select("item", F.col("needle").alias("term"))
-    counted = _salted(item_terms, asked, "term", ["item"]).groupBy("query_id", "item").agg(F.count("*").alias("terms"))
-    boost = F.least(F.lit(fixed.BOOST_CAP), fixed.BOOST_BASE + fixed.BOOST_STEP * F.col("terms"))
-    cited = texts.select("item", "episode_id", F.explode(F.array_distinct("segment_ids")).alias("segment_id"))
-    return (
-        counted.withColumn("boost", boost).join(cited, "item")
-        .groupBy("query_id", "episode_id", "segment_id").agg(F.max("boost").alias("boost"))
-    )
+    return segment_boosts(evidence_matches(queries, items))
+
+
+#: Neighbouring chunks that stay in one block, and what rounding and the order of sums may shift a score by.
+RUN, SLACK = 64, 1e-3
+
+
+def block_count(size: int, top_k: int | None) -> int:
+    """Blocks for ``size`` chunks: as many bounds a query as chunks in its first ``top_k`` blocks, that is about the root of ``size``."""
+    return max(1, -(-size // max(RUN, math.isqrt(size // max(1, top_k or 1)))))
+
+
+def in_blocks(rows: DataFrame, blocks: int, key: Sequence[str] = KEY) -> DataFrame:
+    """Add ``block``; runs of neighbours by the key's last column (a number) are dealt out by digest, so no episode makes a large one."""
+    return rows.withColumn("block", F.pmod(F.xxhash64(*key[:-1], F.floor(F.col(key[-1]) / RUN)), F.lit(blocks)))
+
+
+def _weight() -> Column:
+    return (1 + F.log("tf")) * F.col("idf")
+
+
+def block_bounds(impacts: DataFrame, weighted: DataFrame, extra: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """``query_id, block, bound``: no chunk of the block scores more for the query.
+
+    ``impacts``: the largest ``tf`` of a term in a block; ``extra``: what a
+    chunk gets besides its terms.
+    """
+    by_term = _salted(impacts.select("term", "block", "tf"), weighted.select("query_id", "term", "idf"), "term", ["block"])
+    rows = by_term.select("query_id", "block", _weight().alias("terms"), F.lit(0.0).alias("more"))
+    more = extra.groupBy("query_id", "block", *key).agg(F.sum(F.col("base") + F.col("boost")).alias("more"))
+    rows = rows.unionByName(more.select("query_id", "block", F.lit(0.0).alias("terms"), "more"))
+    return rows.groupBy("query_id", "block").agg((F.sum("terms") + F.max("more")).alias("bound"))
+
+
+def best_blocks(bounds: DataFrame, k: int) -> DataFrame:
+    """The ``k`` blocks of each query with the largest bounds; each holds a hit at least, so ``k`` hits are among them."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
+    return bounds.withColumn("_place", place).where(F.col("_place") <= k).select("query_id", "block")
+
+
+def reachable(bounds: DataFrame, seeds: DataFrame, reached: DataFrame) -> DataFrame:
+    """The other blocks in which a chunk may still come up to ``least``, the score at rank k so far."""
+    others = bounds.join(seeds, ["query_id", "block"], "left_anti").join(reached, "query_id", "left")
+    return others.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK)).select("query_id", "block")
 
 
 def rank(
@@ -124,22 +204,25 @@ def rank(
 ) -> DataFrame:
     """Rank chunks for each query.
 
+    The k blocks with the largest bounds are scored first; what stands at rank
+    k then says which other blocks can matter, and only those are scored. The
+    result is that of scoring all.
+
     ``queries``: ``query_id, query`` (already expanded, if wanted); ``chunks``:
     the key, ``search_text`` and, where boosts are given, ``segment_ids``.
     Result: ``query_id, <key>, score, matched_terms, evidence_boost, rank``.
     """
     asked = queries.select(
         "query_id", F.posexplode(ranking_terms(F.col("query"))).alias("at", "term"))
-    # Both are read several times below.
+    size = chunks.count()
+    blocks = block_count(size, top_k)
+    # These are read several times below.
     index = materialize(postings(chunks, key), "postings")
-    matches = materialize(term_matches(asked, index, key), "matches")
-    spread = matches.groupBy("term").agg(F.count("*").alias("df"))
-    size = chunks.select(F.count("*")).scalar()
+    matches = materialize(in_blocks(term_matches(asked, index, key), blocks, key), "matches")
+    impacts = materialize(matches.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.count("*").alias("n")), "impacts")
+    spread = impacts.groupBy("term").agg(F.sum("n").alias("df"))
     weighted = asked.join(spread, "term").withColumn(
         "idf", F.log((size + 1) / (F.col("df") + 0.5)) + 1)
-    # Only numbers are carried for all pairs; terms are listed for the hits.
-    scored = _salted(matches, weighted.select("query_id", "term", "idf"), "term", key).groupBy("query_id", *key).agg(
-        F.sum((1 + F.log("tf")) * F.col("idf")).alias("base"))
     phrases = queries.select(
         "query_id", strip(casefold(F.col("query"))).alias("phrase"),
         F.size(ranking_terms(F.col("query"))).alias("needed"))
@@ -153,23 +236,34 @@ def rank(
     loose = found_in(chunks.select(*key, "search_text"), "search_text", bare, "phrase").join(
         bare, F.col("phrase") == F.col("needle")).select("query_id", *key)
     zero = lambda name: F.lit(0.0).alias(name)
-    parts = scored.select("query_id", *key, "base", zero("boost")).unionByName(
-        exact.unionByName(loose).select("query_id", *key, F.lit(fixed.PHRASE_BONUS).alias("base"), zero("boost")))
+    extra = exact.unionByName(loose).select("query_id", *key, F.lit(fixed.PHRASE_BONUS).alias("base"), zero("boost"))
     if boosts is not None:
         cited = chunks.select(*key, F.explode("segment_ids").alias("sid")).select(
             *key, F.try_to_number("sid", F.lit("9999999999999999")).cast("long").alias("segment_id"))
         lifted = cited.join(boosts, [c for c in ("episode_id", "segment_id") if c in cited.columns and c in boosts.columns])
         lifted = lifted.groupBy("query_id", *key).agg(F.max("boost").alias("boost"))
-        parts = parts.unionByName(lifted.select("query_id", *key, zero("base"), "boost"))
-    hits = (
-        parts.groupBy("query_id", *key)
-        .agg(F.sum("base").alias("base"), F.sum("boost").alias("evidence_boost"))
-        .select("query_id", *key, F.round(F.col("base") + F.col("evidence_boost"), 4).alias("score"), "evidence_boost")
-    )
-    if top_k is not None:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), *key)
-        hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, top_k))
-        hits = materialize(hits, "hits")
+        extra = extra.unionByName(lifted.select("query_id", *key, zero("base"), "boost"))
+    extra = materialize(in_blocks(extra, blocks, key), "extra")
+    bounds = materialize(block_bounds(impacts, weighted, extra, key), "bounds")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Whole scores of the chunks of (query, block) ``pairs``."""
+        terms = weighted.select("query_id", "term", "idf").join(pairs, "query_id")
+        parts = matches.join(terms, ["term", "block"]).select("query_id", *key, _weight().alias("base"), zero("boost"))
+        parts = parts.unionByName(extra.join(pairs, ["query_id", "block"], "left_semi").drop("block"))
+        total = parts.groupBy("query_id", *key).agg(F.sum("base").alias("base"), F.sum("boost").alias("evidence_boost"))
+        return total.select("query_id", *key, F.round(F.col("base") + F.col("evidence_boost"), 4).alias("score"), "evidence_boost")
+
+    if top_k is None:
+        hits = scored(bounds.select("query_id", "block"))
+    else:
+        k = max(1, top_k)
+        rank_of = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *key))
+        seeds = materialize(best_blocks(bounds, k), "seeds")
+        first = materialize(scored(seeds), "first")
+        reached = first.withColumn("rank", rank_of).where(F.col("rank") <= k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        every = first.unionByName(scored(reachable(bounds, seeds, reached)))
+        hits = materialize(every.withColumn("rank", rank_of).where(F.col("rank") <= k), "hits")
     said = hits.select("query_id", *key).join(asked, "query_id").join(matches.select("term", *key), ["term", *key])
     listed = said.groupBy("query_id", *key).agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("_t"))
     terms = F.coalesce(F.transform("_t", lambda t: t["term"]), F.array().cast("array<string>"))
@@ -222,6 +316,57 @@ def context_chunks(hits: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
     return around.join(chunks, ["episode_id", "chunk_id"])
 
 
+class Answers(NamedTuple):
+    """What a search gives: one row a query, and the rows behind it."""
+
+    queries: DataFrame
+    hits: DataFrame
+    context: DataFrame
+    expansions: DataFrame | None
+    evidence_matches: DataFrame | None
+
+
+def corpus_search(
+    queries: DataFrame,
+    chunks: DataFrame,
+    glossary: DataFrame | None = None,
+    items: DataFrame | None = None,
+    top_k: int = fixed.TOP_K,
+    max_chars: int = fixed.BUDGET_CHARS,
+    context: int = 0,
+) -> Answers:
+    """Search a corpus for every query: expansion, boosts, ranking, budget, context and confidence.
+
+    ``queries``: ``query_id`` (unique) and ``query``; ``chunks``: the key,
+    ``text, search_text, segment_ids``; ``glossary`` as for ``expansions``,
+    ``items`` as made by ``searchable_items``. Queries are ranked as expanded;
+    evidence is matched with the query as asked.
+
+    ``queries`` of the result: ``query_id, query, expanded, total_chunks,
+    hit_count, returned_chars, truncated_by_budget, confidence`` with a row for
+    each query, those without a hit (``low``) included.
+    """
+    more = matched = boosts = None
+    wider = queries.select("query_id", "query", F.col("query").alias("expanded"))
+    if glossary is not None:
+        more = materialize(expansions(queries, glossary), "expansions")
+        wider = _expanded(queries, more).drop("added")
+    if items is not None:
+        matched = materialize(evidence_matches(queries, items), "evidence")
+        boosts = segment_boosts(matched)
+    ranked = rank(wider.select("query_id", F.col("expanded").alias("query")), chunks, boosts, top_k)
+    texts = chunks.select(*KEY, F.coalesce("text", F.lit("")).alias("text"))
+    kept = materialize(within_budget(ranked.join(texts, list(KEY)), max_chars), "answers")
+    sums = kept.groupBy("query_id").agg(F.count("*").alias("hit_count"), F.sum(F.length("text")).alias("returned_chars"))
+    before = ranked.groupBy("query_id").agg(F.count("*").alias("_ranked"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    rows = wider.join(before, "query_id", "left").join(sums, "query_id", "left").join(confidence(kept, queries), "query_id").select(
+        "query_id", "query", "expanded", F.lit(chunks.count()).cast("long").alias("total_chunks"), zero("hit_count").alias("hit_count"),
+        zero("returned_chars").alias("returned_chars"), (zero("hit_count") < zero("_ranked")).alias("truncated_by_budget"), "confidence")
+    around = context_chunks(kept, chunks.drop("segment_ids", "search_text"), context)
+    return Answers(rows, kept, around if context else around.limit(0), more, matched)
+
+
 def in_order(rows: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
     """Add ``place`` 1, 2, 3, … along ``pos`` in groups of any size."""
     from earmark.operators.ordered import position_block, scan

@@ -167,6 +167,83 @@ def expanded_search(spark, sf):
         F.array_join("matched_terms", " ").alias("matched_terms"), F.col("rank").cast("long").alias("rank"))
 
 
+def _partners(spark, sf):
+    """Passages 2j and 2j + 1 name the same thing by their first two words."""
+    first = table(spark, sf, "benchmark").select("item_id", F.regexp_extract("text", r"^(\S+\s+\S+)", 1).alias("label"))
+    listed = F.array_sort(F.collect_list(F.struct("item_id", "label")))
+    return first.groupBy(F.floor(F.col("item_id") / 2).alias("entry")).agg(F.transform(listed, lambda x: x["label"]).alias("labels"))
+
+
+def _records(spark, sf):
+    """The claims as JSON items of a collection."""
+    cited = F.array(F.struct(F.array(F.col("turn") + 1, F.col("turn") + 2).alias("segment_ids")))
+    return table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("episode_id"), F.lit("claims").alias("collection"), F.col("turn").alias("idx"),
+        F.to_json(F.struct(F.col("text").alias("claim"), cited.alias("evidence"))).alias("item"))
+
+
+SEARCH_CHARS = 2500
+_CUT = rf"""CASE WHEN length(t.text) > {SEARCH_CHARS} - used_before THEN
+  regexp_replace(substr(t.text, 1, {SEARCH_CHARS} - used_before), '\s+$', '') || '…' ELSE t.text END"""
+
+
+@query("corpus_search", with_views("v_units", "RECURSIVE " + f"""
+  v_queries0 AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+  labels AS (SELECT item_id // 2 AS entry, regexp_extract(text, '^(\\S+\\s+\\S+)', 1) AS label, min(item_id) AS ix
+             FROM benchmark WHERE regexp_extract(text, '^(\\S+\\s+\\S+)', 1) <> '' GROUP BY ALL),
+  hit AS (SELECT DISTINCT query_id, {folded('query')} AS q, entry
+          FROM v_queries0 JOIN labels ON contains({folded('query')}, {folded('label')})),
+  added AS (SELECT query_id, label, min(struct_pack(entry := entry, ix := ix)) AS first
+            FROM hit JOIN labels USING (entry) WHERE NOT contains(q, {folded('label')}) GROUP BY ALL),
+  v_queries AS (SELECT v_queries0.query_id, trim(query || coalesce(' ' || string_agg(label, ' ' ORDER BY first), '')) AS query,
+                       count(DISTINCT first.entry) AS expansions
+                FROM v_queries0 LEFT JOIN added USING (query_id) GROUP BY v_queries0.query_id, v_queries0.query),
+  {views.VIEW_SQL["v_terms"]},
+  {_BOOSTS.replace("v_terms", "terms0").replace("claims AS", "terms0 AS (SELECT query_id, unnest(" + views.TERMS + ") AS term FROM v_queries0), claims AS")},
+  {_RANKED[:_RANKED.index("total AS")]}
+  total AS (
+    SELECT query_id, episode_id, chunk_id, round(coalesce(base, 0) + coalesce(bonus, 0) + coalesce(boost, 0), 4) AS score
+    FROM scored FULL JOIN phrase USING (query_id, episode_id, chunk_id)
+    FULL JOIN (SELECT query_id, episode_id, segment_id AS chunk_id, boost FROM boosts
+               WHERE (episode_id, segment_id) IN (SELECT (episode_id, chunk_id) FROM v_units)) USING (query_id, episode_id, chunk_id)),
+  ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, episode_id, chunk_id) AS rank FROM total QUALIFY rank <= 8),
+  texts AS (SELECT r.*, u.text FROM ranked r JOIN v_units u USING (episode_id, chunk_id)),
+  kept AS (
+    SELECT query_id, rank, episode_id, chunk_id, score, length({_CUT.replace("used_before", "0")}) AS chars,
+           length({_CUT.replace("used_before", "0")}) AS used FROM texts t WHERE rank = 1
+    UNION ALL
+    SELECT t.query_id, t.rank, t.episode_id, t.chunk_id, t.score, length({_CUT.replace("used_before", "k.used")}),
+           k.used + length({_CUT.replace("used_before", "k.used")})
+    FROM kept k JOIN texts t ON t.query_id = k.query_id AND t.rank = k.rank + 1 WHERE k.used < {SEARCH_CHARS}),
+  answers AS (
+    SELECT query_id, count(*) AS hit_count, CAST(sum(chars) AS BIGINT) AS returned_chars, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2,
+           string_agg(episode_id || '/' || chunk_id, ' ' ORDER BY rank) AS hits FROM kept GROUP BY query_id),
+  near AS (SELECT query_id, count(DISTINCT u.episode_id || '/' || u.chunk_id) AS context_chunks
+           FROM kept k JOIN v_units u ON u.episode_id = k.episode_id AND abs(u.chunk_id - k.chunk_id) <= 1 GROUP BY query_id),
+  matched AS (SELECT query_id, count(*) AS evidence_matches FROM found GROUP BY query_id),
+  counted AS (SELECT query_id, count(*) AS n FROM ranked GROUP BY query_id)
+SELECT query_id, query AS expanded, (SELECT count(*) FROM v_units) AS total_chunks, coalesce(hit_count, 0) AS hit_count,
+       coalesce(returned_chars, 0) AS returned_chars, coalesce(hit_count, 0) < coalesce(n, 0) AS truncated_by_budget,
+       CASE WHEN s1 >= 8 AND (s2 IS NULL OR s1 >= s2 * 1.25) THEN 'high' WHEN s1 >= 3 THEN 'medium' ELSE 'low' END AS confidence,
+       CAST(s1 AS DOUBLE) AS best_score, coalesce(hits, '') AS hits, coalesce(context_chunks, 0) AS context_chunks, expansions,
+       coalesce(evidence_matches, 0) AS evidence_matches
+FROM v_queries LEFT JOIN answers USING (query_id) LEFT JOIN near USING (query_id) LEFT JOIN matched USING (query_id)
+LEFT JOIN counted USING (query_id)"""))
+def corpus_search(spark, sf):
+    """Every question over every turn, with expansion, evidence, budget and context."""
+    found = search.corpus_search(
+        views.questions(spark, sf), views.units(spark, sf), _partners(spark, sf), search.searchable_items(_records(spark, sf)),
+        max_chars=SEARCH_CHARS, context=1)
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("/", "episode_id", "chunk_id").alias("at"))))
+    hits = found.hits.groupBy("query_id").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best_score"), F.array_join(F.transform(listed, lambda h: h["at"]), " ").alias("hits"))
+    out = found.queries.drop("query").join(hits, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit("")))
+    for name, rows in (("context_chunks", found.context), ("expansions", found.expansions), ("evidence_matches", found.evidence_matches)):
+        out = out.join(rows.groupBy("query_id").agg(F.count("*").alias(name)), "query_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out
+
+
 @query("topic_timeline", with_views("v_queries v_segments", f"""
   hits AS (SELECT DISTINCT query_id, s.episode_id, s.segment_id
            FROM (SELECT query_id, unnest(string_split(trim(query), ' ')) AS topic FROM v_queries) t
