@@ -169,7 +169,8 @@ def evidence_audit(
     """``episode_id, collection, idx, rule``: every violation, one row each.
 
     ``refs`` holds ``episode_id, collection, idx, ref_no, start, end,
-    segment_ids``. Glossary entries may go without references.
+    segment_ids``. Glossary entries may go without references, but where
+    ``glossary`` has its ``evidence`` (as parsed), that must be a list.
     """
     parts: list[DataFrame] = []
     add = lambda name, rows: parts.append(rows.select(_EP, F.lit(name).alias("collection"), "idx", "rule"))
@@ -183,6 +184,8 @@ def evidence_audit(
         add(name, check_claims(rows) if name == "claims" else check_named(rows, field, types))
         items.append(rows.where(~_blank(F.col(field))).select(
             _EP, F.lit(name).alias("collection"), "idx", F.lit(name != "glossary").alias("needed")))
+        if name == "glossary" and "evidence" in rows.columns:
+            add(name, rows.where(~_blank(F.col(field)) & F.col("evidence").isNull()).select(_EP, "idx", F.lit("evidence_not_a_list").alias("rule")))
     if chapters is not None:
         add("chapters", check_chapters(chapters, durations))
     if quotes is not None:
@@ -222,16 +225,18 @@ def _heading(name: str) -> Column:
 
 
 def report_checks(reports: DataFrame, segments: DataFrame, durations: DataFrame) -> DataFrame:
-    """One row per report with its ten checks as columns.
+    """One row per report with its ten checks as columns, and ``transcript_read``.
 
-    ``reports``: ``report_id, episode_id, text``.
+    ``reports``: ``report_id, episode_id, text``. An episode without a row in
+    ``durations`` has no transcript that could be read.
     """
     text, stamp = F.col("text"), fixed.STAMP
     lines = F.filter(F.regexp_extract_all(text, F.lit(r"(?m)(^>\s+.+$)"), 1),
                      lambda q: F.regexp_like(q, F.lit(r'[“”"]|—\s*\S')))
     rows = reports.select(
         "report_id", _EP, "text", lines.alias("quotes"),
-        F.regexp_extract_all(text, F.lit(f"({stamp})"), 1).alias("stamps")).join(durations, _EP, "left")
+        F.regexp_extract_all(text, F.lit(f"({stamp})"), 1).alias("stamps")).join(
+            durations.withColumn("_read", F.lit(True)), _EP, "left").withColumn("transcript_read", F.coalesce("_read", F.lit(False))).drop("_read")
     values = lambda s: F.transform(F.regexp_extract_all(s, F.lit(f"({fixed.STAMP_PART})"), 1), stamp_seconds)
     limit = F.col("duration") + 2
 
@@ -269,11 +274,21 @@ REPORT_STRICT = ["chapters_or_timeline", "evidence_timestamps", "limitations", "
 REPORT_GROUNDED = ["timestamp_ranges_valid", "quotes_match_transcript"]
 
 
+REPORT_WARNED = ["evidence_timestamps", "limitations", "quotes_are_timestamped", "no_placeholders", "timestamp_ranges_valid", "quotes_match_transcript"]
+
+
 def report_audit(checks: DataFrame, strict: bool = True, grounded: bool = True) -> DataFrame:
-    """Add ``failures`` and ``valid`` for the chosen strictness."""
+    """Add ``failures``, ``warnings`` and ``valid`` for the chosen strictness.
+
+    Where reports are held against transcripts (``grounded``), one without a
+    transcript fails as ``transcript_unreadable``, strict or not. A check that
+    isn't required still warns.
+    """
     names = REPORT_REQUIRED + (REPORT_STRICT + (REPORT_GROUNDED if grounded else []) if strict else [])
-    failed = F.array_compact(F.array(*[F.when(~F.col(n), F.lit(n)) for n in names]))
-    return checks.withColumn("failures", failed).withColumn("valid", F.size("failures") == 0)
+    missed = lambda some: [F.when(~F.col(n), F.lit(n)) for n in some]
+    unread = [F.when(~F.col("transcript_read"), F.lit("transcript_unreadable"))] if grounded else []
+    return checks.withColumn("failures", F.array_compact(F.array(*missed(names), *unread))).withColumn(
+        "warnings", F.array_compact(F.array(*missed(REPORT_WARNED)))).withColumn("valid", F.size("failures") == 0)
 
 
 def write_collection(rows: DataFrame, path: str) -> None:

@@ -93,6 +93,28 @@ def test_report(spark):
     assert got == {"good": (True, []), "bad": (False, ["no_placeholders", "quotes_match_transcript", "timestamp_ranges_valid"])}
 
 
+def test_report_without_a_transcript(spark):
+    segments = spark.createDataFrame([("e", 1, None, None, "A", "no times")], SEG)
+    text = '# T\n\n- Source: x\n\n## Summary\nyes\n\n> “never again”\n'
+    reports = spark.createDataFrame([("there", "e", text), ("gone", "f", text), ("null", "e", None)], "report_id string, episode_id string, text string")
+    checks = evidence.report_checks(reports, segments, transcripts.durations(segments))
+    loose = {r.report_id: r for r in evidence.report_audit(checks, strict=False).collect()}
+    assert loose["there"].failures == [] and loose["gone"].failures == ["transcript_unreadable"]
+    assert loose["there"].warnings == loose["gone"].warnings == ["evidence_timestamps", "limitations", "quotes_are_timestamped"]
+    free = {r.report_id: r for r in evidence.report_audit(checks, strict=False, grounded=False).collect()}
+    assert free["gone"].valid and loose["there"].valid and not loose["gone"].valid
+    strict = {r.report_id: r.failures for r in evidence.report_audit(checks).collect()}
+    assert strict["gone"] == [*strict["there"], "transcript_unreadable"]
+
+
+def test_glossary_evidence_is_a_list(spark):
+    segments = spark.createDataFrame([("e", 1, 0.0, 5.0, "A", "We ship on Friday")], SEG)
+    entry = "array<struct<start:string>>"
+    glossary = spark.createDataFrame([("e", 0, "term", None), ("e", 1, "term", []), ("e", 2, " ", None)], f"episode_id string, idx long, source_term string, evidence {entry}")
+    found = evidence.evidence_audit(segments, transcripts.durations(segments), glossary=glossary)
+    assert {(r.collection, r.idx, r.rule) for r in found.collect()} == {("glossary", 0, "evidence_not_a_list"), ("glossary", 2, "source_term_required")}
+
+
 def test_track_plan(spark):
     media = spark.createDataFrame([(1, "zh-Hans,en", "en")], "media_id long, requested string, language string")
     have = [("human", "zh-CN"), ("human", "en"), ("automatic", "zh-Hans"), ("automatic", "en-orig")]
