@@ -121,23 +121,40 @@ def _filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
+def _picked(doc: Column, text: Column) -> Column:
+    """The first list under the usual keys, at any depth; an empty one ends the object that it is in.
+
+    What is still to be looked at waits in order with its depth. ``text`` bounds
+    the steps: a value is looked at once, and only what a key opens has inner ones.
+    """
+    entry = lambda depth, value: F.struct(depth.cast("int").alias("depth"), value.alias("value"))
+    state = lambda waiting, found: F.struct(waiting.alias("waiting"), found.alias("found"))
+    none = F.lit(None).cast("array<variant>")
+
+    def step(so_far: Column, _: Column) -> Column:
+        first, rest = F.get(so_far["waiting"], F.lit(0)), F.slice(so_far["waiting"], F.lit(2), F.size(so_far["waiting"]))
+        listed = F.try_variant_get(first["value"], "$", "array<variant>")
+        inner = F.array(*[entry(first["depth"] + 1, F.try_variant_get(first["value"], f"$.{k}", "variant")) for k in _LIST_KEYS])
+        return (
+            F.when(so_far["found"].isNotNull() | (F.size(so_far["waiting"]) == 0), so_far)
+            .when(F.size(listed) > 0, state(so_far["waiting"], listed))
+            .when(listed.isNotNull(), state(F.filter(rest, lambda e: e["depth"] < first["depth"]), none))
+            .otherwise(state(F.concat(F.filter(inner, lambda e: e["value"].isNotNull()), rest), none)))
+
+    opened = F.coalesce(F.regexp_count(text, F.lit(r'"\s*:\s*[{\[]')), F.lit(0)) + 1
+    found = F.aggregate(F.sequence(F.lit(0), opened * len(_LIST_KEYS)), state(F.array(entry(F.lit(0), doc)), none), step)
+    return F.coalesce(found["found"], F.array().cast("array<variant>"))
 
 
 def json_cues(text: Column) -> Column:
-    """JSON segments under any of the usual keys and field names.
+    """JSON segments under any of the usual keys and field names, however deep.
 
     ``start_ms``/``end_ms`` win over seconds. Texts that are not JSON give no rows.
     """
-    return let(F.try_parse_json(text), _cues_of_json)
-
+    return let(F.try_parse_json(text), lambda doc: _cues_of_json(_picked(doc, text)))
 
-def _cues_of_json(doc: Column) -> Column:
-    listed = lambda path: F.try_variant_get(doc, path, "array<variant>")
-    ordered = [listed("$")]
-    for outer in _LIST_KEYS:
-        ordered.append(listed(f"$.{outer}"))
-        ordered += [F.when(F.size(listed(f"$.{outer}.{key}")) > 0, listed(f"$.{outer}.{key}")) for key in _LIST_KEYS]
 
+def _cues_of_json(items: Column) -> Column:
     def cue(item: Column) -> Column:
         get = lambda *names: F.coalesce(*[_field(item, n) for n in names])
         ms = lambda name: F.try_variant_get(item, f"$.{name}", "double") / 1000
@@ -148,7 +165,7 @@ def _cues_of_json(doc: Column) -> Column:
             clean_text(F.coalesce(_filled(*[_field(item, n) for n in _TEXT_KEYS]), F.lit(""))),
             language=_field(item, "language"), confidence=F.try_variant_get(item, "$.confidence", "double"))
 
-    return F.transform(F.coalesce(*ordered, F.array().cast("array<variant>")), cue)
+    return F.transform(items, cue)
 
 
 _EVENTS = "struct<events:array<struct<tStartMs:double,dDurationMs:double,segs:array<struct<utf8:string>>>>>"

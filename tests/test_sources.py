@@ -114,3 +114,24 @@ def test_page_fixture(spark):
     r = pages.parse_pages(spark.createDataFrame([(1, "https://h.example/e/1", html)], "page_id long, url string, html string")).first()
     assert (r.title, r.duration, r.audio_candidates, r.feed_candidates, r.transcript_candidates) == (
         "Shown & told", "PT5M", ["https://h.example/a.mp3", "https://h.example/e/b.mp3"], ["https://h.example/e/feed.xml"], ["https://h.example/e/t.vtt"])
+
+
+def test_json_segments_at_any_depth(spark):
+    import json
+
+    from earmark.sources import captions
+
+    one, two = [{"start": 1, "text": "one"}], [{"start": 2, "text": "two"}]
+    deep = one
+    for k in range(20):
+        deep = {("segments", "utterances", "cues", "transcript")[k % 4]: deep, "meta": {"cues": two}}
+    docs = {"deep": deep, "list": one, "three": {"transcript": {"cues": {"segments": one}}}, "order": {"cues": two, "segments": {"cues": one}},
+            "empty": {"segments": [], "cues": two}, "empty inside": {"segments": {"segments": [], "cues": two}, "cues": one},
+            "none inside": {"segments": {"x": 1}, "utterances": "said", "cues": {"cues": None}, "transcript": one},
+            "many": {"segments": [{"start": i, "text": "w", "transcript": {"cues": []}} for i in range(5000)]}, "scalar": 7}
+    files = [(k, json.dumps(v)) for k, v in docs.items()] + [("broken", "{"), ("null", None), ("blank", "")]
+    rows = captions.parse_json(spark.createDataFrame(files, "episode_id string, text string")).collect()
+    said = {k: [r.text for r in rows if r.episode_id == k] for k, _ in files}
+    assert len(said.pop("many")) == 5000
+    assert said == {"deep": ["one"], "list": ["one"], "three": ["one"], "order": ["one"], "empty": [], "empty inside": ["one"], "none inside": ["one"],
+                    "scalar": [], "broken": [], "null": [], "blank": []}
