@@ -73,7 +73,7 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_mixing", raking.mix_sql())
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raking.mix_table(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 9))
+    return raking.mix_table(table(spark, sf_dir, "documents"), fill=True).withColumn("probability", F.round("probability", 9))
 
 
 def _entries(pages: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ three factors, have the wanted marginals; a document is then kept with a
 probability in proportion to its cell's factors, scaled so that none exceeds 1
 (so the expected tokens keep exactly the raked marginals) and that
 ``rate`` of all tokens are kept at most. So the cell with the largest factor
-decides how much is kept. ``fill`` (the pipeline sets it) keeps ``rate`` of the
-tokens instead: values and cells that are too small for their target are kept
-whole, and the others are raked again to what is left. The query and its SQL
-don't fill.
+decides how much is kept. ``fill`` (the query and the pipeline set it) keeps
+``rate`` of the tokens instead: values and cells that are too small for their
+target are kept whole, and the others are raked again to what is left.
 
 The state is three small tables of factors. Each step reads the cells, with
 sums taken before the shuffle, and writes one dimension's new factors, so the
@@ -45,6 +44,8 @@ MISS = 0.01
 #: Filling ends when no value is further from its goal than this, in parts of it. Where that can't be reached, it ends when
 #: the worst value came nearer by less than a hundredth in ten rounds, or at MOST_ROUNDS; either is logged.
 TOLERANCE, MOST_ROUNDS = 1e-3, 500
+#: A cell is held as kept whole from this factor on: just below 1, so that the last digit of a sum doesn't decide.
+WHOLE = 1 - 1e-9
 DIMENSIONS = ("source", "lang", "topic")
 LOG = logging.getLogger(__name__)
 
@@ -141,8 +142,8 @@ def filled(cells: DataFrame, wanted: dict[str, DataFrame], scratch: Scratch, rat
     while len(worst) < MOST_ROUNDS:
         for d in DIMENSIONS:
             rows = reduce(lambda rows, o: rows.join(factors[o], o), DIMENSIONS, usable)
-            held = F.sum(F.when(factor >= 1, F.col("tokens")).otherwise(0)).cast("double")
-            free = F.sum(F.when(factor < 1, F.col("tokens") * factor).otherwise(0.0))
+            held = F.sum(F.when(factor >= WHOLE, F.col("tokens")).otherwise(0)).cast("double")
+            free = F.sum(F.when(factor < WHOLE, F.col("tokens") * factor).otherwise(0.0))
             sums = rows.groupBy(d).agg(held.alias("held"), free.alias("free"), F.first(f"f_{d}").alias("old")).join(goals[d], d)
             now = F.col("held") + F.col("free")
             # With the held cells fixed; where those alone are too much, all of the value's cells come down.
@@ -162,7 +163,7 @@ def filled(cells: DataFrame, wanted: dict[str, DataFrame], scratch: Scratch, rat
     raked = reduce(lambda rows, d: rows.join(factors[d], d, "left"), DIMENSIONS, cells)
     raked = scratch.table(raked.select(*DIMENSIONS, "tokens", F.least(F.coalesce(factor, F.lit(0.0)), F.lit(1.0)).alias("probability")), "raked")
     kept = raked.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0]
-    LOG.warning("raking: %.4f of the tokens kept, %.4f wanted", kept / whole, rate)
+    LOG.warning("raking: %.4f of the tokens kept, %.4f wanted; %d rounds", kept / whole, rate, len(worst))
     for d in DIMENSIONS:
         short = raked.groupBy(d).agg(F.sum(F.col("tokens") * F.col("probability")).alias("now")).join(wanted[d], d)
         miss = F.abs(F.col("now") / kept / F.col("share") - 1)
@@ -200,28 +201,33 @@ def sample(docs: DataFrame, topic: Column | None = None, seed: str = SEED, **set
     return rows.where(drawn).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def mix_sql(rounds: int = ROUNDS, rate: float = RATE, temper: float = TEMPER, seed: str = SEED, topics: tuple = TOPICS) -> str:
-    """What ``mix_table`` gives over ``documents``, in SQL with the rounds written out."""
+def mix_sql(rate: float = RATE, temper: float = TEMPER, seed: str = SEED, topics: tuple = TOPICS, tolerance: float = TOLERANCE, rounds: int = MOST_ROUNDS) -> str:
+    """What ``mix_table`` with ``fill`` gives over ``documents``, in SQL: the rounds are a recursive query over the cells."""
     quoted = [(t, p.replace("'", "''")) for t, p in topics]
     topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{t}'" for t, p in quoted) + f" ELSE '{OTHER}' END"
     parts = [f"""slim AS MATERIALIZED (SELECT doc_id, coalesce('v' || source, 'n') AS source, coalesce('v' || lang, 'n') AS lang, 'v' || {topic} AS topic,
   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents)""",
-             "cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM slim GROUP BY ALL)"]
+             "cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM slim GROUP BY ALL HAVING sum(n_tokens) > 0)",
+             f"keep AS MATERIALIZED (SELECT least({rate}, 1.0) * sum(tokens) AS keep FROM cells)"]
     for d in DIMENSIONS:
-        parts.append(f"sums_{d} AS (SELECT {d}, sum(tokens) AS tokens FROM cells GROUP BY ALL)")
-        parts.append(f"t_{d} AS MATERIALIZED (SELECT {d}, pow(tokens, {temper}) / (SELECT sum(pow(tokens, {temper})) FROM sums_{d}) AS share, 1.0::DOUBLE AS f FROM sums_{d})")
-    now = {d: f"t_{d}" for d in DIMENSIONS}
-    for k in range(rounds):
-        for d in DIMENSIONS:
-            a, b = (o for o in DIMENSIONS if o != d)
-            parts.append(f"""f{k}_{d} AS MATERIALIZED (SELECT t_{d}.{d}, any_value(t_{d}.share) AS share, coalesce(any_value(t_{d}.share) / nullif(sum(tokens * a.f * b.f), 0), 0) AS f
-  FROM cells JOIN {now[a]} a ON cells.{a} = a.{a} JOIN {now[b]} b ON cells.{b} = b.{b} JOIN t_{d} ON cells.{d} = t_{d}.{d} GROUP BY t_{d}.{d})""")
-            now[d] = f"f{k}_{d}"
-    joins = " ".join(f"JOIN {now[d]} {d}_f ON cells.{d} = {d}_f.{d}" for d in DIMENSIONS)
-    parts.append(f"raked AS MATERIALIZED (SELECT cells.source, cells.lang, cells.topic, tokens, source_f.f * lang_f.f * topic_f.f AS factor FROM cells {joins})")
-    parts.append(f"scale AS (SELECT least({rate} * sum(tokens), 1.0 / nullif(max(factor), 0)) AS scale FROM raked)")
-    value = ", ".join(f"CASE WHEN slim.{d} <> 'n' THEN substr(slim.{d}, 2) END AS {d}" for d in DIMENSIONS)
-    return "WITH " + ",\n".join(parts) + f"""
-SELECT doc_id, {value}, n_tokens::BIGINT AS n_tokens, round(coalesce(least(factor * scale, 1.0), 0), 9) AS probability,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}'), 1, 13))::BIGINT / {float(1 << 52)!r} < coalesce(least(factor * scale, 1.0), 0) AS kept
-FROM slim JOIN raked ON slim.source = raked.source AND slim.lang = raked.lang AND slim.topic = raked.topic, scale"""
+        # The level to which all values are filled: the highest of those at which the first values are whole and the others share what is left.
+        parts.append(f"""sums_{d} AS MATERIALIZED (SELECT {d}, sum(tokens) AS there FROM cells GROUP BY ALL),
+shares_{d} AS MATERIALIZED (SELECT {d}, there, pow(there, {temper}) / (SELECT sum(pow(there, {temper})) FROM sums_{d}) AS share FROM sums_{d}),
+steps_{d} AS (SELECT *, sum(there) OVER (ORDER BY there / share, {d} ROWS UNBOUNDED PRECEDING) - there AS whole,
+  sum(share) OVER (ORDER BY there / share DESC, {d} DESC ROWS UNBOUNDED PRECEDING) AS others FROM shares_{d}),
+goals_{d} AS MATERIALIZED (SELECT {d}, least(share * (SELECT max((keep - whole) / others) FROM steps_{d}, keep), there) AS goal_{d} FROM shares_{d})""")
+    goals = " ".join(f"JOIN goals_{d} USING ({d})" for d in DIMENSIONS)
+    step = f"rake WHERE k = 0 OR (off > {tolerance} AND k < {rounds} AND NOT (k > 10 AND off > 0.99 * worst[k - 10]))"
+    for d in DIMENSIONS:
+        step = f"""(SELECT * EXCLUDE (held, free) REPLACE (f * CASE WHEN goal_{d} > held AND free > 0 THEN (goal_{d} - held) / free ELSE least(goal_{d} / (held + free), 1) END AS f,
+  greatest({'0' if d == DIMENSIONS[0] else 'off'}, abs((held + free) / goal_{d} - 1)) AS off) FROM
+ (SELECT *, sum(CASE WHEN f >= {WHOLE!r} THEN tokens ELSE 0 END) OVER (PARTITION BY {d}) AS held, sum(CASE WHEN f < {WHOLE!r} THEN tokens * f ELSE 0 END) OVER (PARTITION BY {d}) AS free FROM {step}))"""
+    named = ", ".join(f"goal_{d}" for d in DIMENSIONS)
+    parts.append(f"""rake AS (SELECT 0 AS k, source, lang, topic, tokens, {named}, keep / sum(tokens) OVER () AS f, 0::DOUBLE AS off, []::DOUBLE[] AS worst FROM cells {goals}, keep
+ UNION ALL SELECT k + 1, source, lang, topic, tokens, {named}, f, max(off) OVER (), list_append(worst, max(off) OVER ()) FROM {step})""")
+    parts.append("raked AS MATERIALIZED (SELECT source, lang, topic, least(f, 1.0) AS p FROM rake WHERE k = (SELECT max(k) FROM rake))")
+    value = ", ".join(f"CASE WHEN {d} <> 'n' THEN substr({d}, 2) END AS {d}" for d in DIMENSIONS)
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"""
+SELECT doc_id, {value}, n_tokens::BIGINT AS n_tokens, round(coalesce(p, 0), 9) AS probability,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}'), 1, 13))::BIGINT / {float(1 << 52)!r} < coalesce(p, 0) AS kept
+FROM slim LEFT JOIN raked USING (source, lang, topic)"""

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -236,6 +237,20 @@ def test_one_small_source_does_not_lower_what_is_kept(spark):
     assert raking.sample(docs.limit(0), fill=True).count() == 0
 
 
+def test_mixing_query_keeps_its_rate(spark):
+    got = queries.QUERIES["op9_mixing"](spark, SF).collect()
+    whole, kept = sum(r.n_tokens for r in got), sum(r.n_tokens * r.probability for r in got)
+    assert kept / whole == pytest.approx(raking.RATE, rel=1e-3)
+    for d in raking.DIMENSIONS:
+        there, now = Counter(), Counter()
+        for r in got:
+            there[r[d]] += r.n_tokens
+            now[r[d]] += r.n_tokens * r.probability
+        # Rarer values are kept at a higher rate, and none loses more than the tempering asks for.
+        rates = [now[v] / there[v] for v, _ in there.most_common()]
+        assert rates == sorted(rates) or max(a - b for a, b in zip(rates, rates[1:])) < 2e-3
+
+
 def test_raking_goes_on_until_a_tied_source_is_met(spark, caplog):
     cells = [("hot", "xx", 5000), ("hot", "en", 600), ("a", "xx", 600), ("a", "en", 5000), ("b", "en", 2000), ("b", "de", 3000)]
     docs = spark.createDataFrame([(i, "w " * n, lang, source) for i, (source, lang, n) in enumerate(cells)], "doc_id long, text string, lang string, source string")
