@@ -85,19 +85,40 @@ def stream_chunks(spark, sf):
     return _run(jobs.chunk_ranges_stream(_as_stream(rows, "segments"), views.MAX_CHARS, views.MAX_SECONDS), "ranges")
 
 
-def _logged(spark, sf):
-    """Every order as a delivery of a chunk, each delivered twice."""
-    rows = table(spark, sf, "orders").select(
+def _deliveries(spark, sf):
+    """Every order as a delivery of a chunk."""
+    return table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("episode_id"), F.col("o_orderstatus").alias("chunk_key"),
         F.timestamp_seconds(F.col("o_orderkey") + 1000000000).alias("at"), F.lit("s").alias("settings"),
         F.length("o_orderpriority").cast("long").alias("size_bytes"), F.col("o_orderkey").alias("modified"),
         F.sha2("o_orderpriority", 256).alias("sha256"))
+
+
+def _logged(spark, sf):
+    """Each delivery twice in one batch."""
+    rows = _deliveries(spark, sf)
     log = scratch_path(spark, "arrivals")
     stream = _as_stream(rows.unionByName(rows), "deliveries", 4, 4)
-    jobs.log_arrivals(stream, log, scratch_path(spark, "arrivals-log"), "400 days").awaitTermination()
+    jobs.log_arrivals(stream, log, scratch_path(spark, "held"), scratch_path(spark, "arrivals-log"), "400 days").awaitTermination()
     return spark.read.schema(rows.schema).parquet(log)
 
 
+@query("stream_late", """
+SELECT CAST(o_custkey AS VARCHAR) AS episode_id, o_orderstatus AS chunk_key, o_orderkey AS version,
+  CASE WHEN o_orderkey < max(o_orderkey) OVER () - 3600 THEN 'late' ELSE 'repeated' END AS reason
+FROM orders
+UNION ALL SELECT NULL, o_orderstatus, o_orderkey, 'bad' FROM orders""")
+def stream_late(spark, sf):
+    """All deliveries, then all of them again, once as they were and once without an episode: what is held back and why."""
+    rows = _deliveries(spark, sf)
+    path, held = scratch_path(spark, "waves"), scratch_path(spark, "held")
+    rows.repartition(4).write.parquet(path)
+    rows.unionByName(rows.withColumn("episode_id", F.lit(None).cast("string"))).repartition(4).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    jobs.log_arrivals(stream, scratch_path(spark, "arrivals"), held, scratch_path(spark, "arrivals-log"), "1 hour").awaitTermination()
+    return spark.read.parquet(held).select("episode_id", "chunk_key", F.col("modified").alias("version"), "reason")
+
+
 @query("stream_replacements", """
 SELECT CAST(o_custkey AS VARCHAR) AS episode_id, o_orderstatus AS chunk_key, arg_max(sha256(o_orderpriority), o_orderkey) AS sha256
 FROM orders GROUP BY o_custkey, o_orderstatus""")
