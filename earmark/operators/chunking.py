@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from earmark.functions import fixed
 from earmark.functions.text import keyword_tokens, let, search_text, strip
 from earmark.functions.times import clock, end_or_start
+from earmark.operators.ordered import position_block, scan
+from earmark.session import materialize
 
 # Executors need not have this package installed: the group functions below are
 # sent with the job.
@@ -296,6 +298,30 @@ def keyword_hints(text: Column, limit: int = fixed.KEYWORD_LIMIT) -> Column:
     return let(keyword_tokens(text), ranked)
 
 
+def transcript_chunks(
+    segments: DataFrame,
+    max_chars: int = fixed.MAX_CHARS,
+    max_seconds: float = fixed.MAX_SECONDS,
+    overlap: int = fixed.OVERLAP_SEGMENTS,
+) -> DataFrame:
+    """Chunk records of whole transcripts in one call.
+
+    ``segments``: ``episode_id, segment_id`` (whole numbers in order, gaps
+    allowed), ``start_seconds, end_seconds, speaker, text``. Segments without
+    text are left out, longer ones than ``max_chars`` split, the rest numbered
+    and cut into chunks.
+    """
+    spoken = segments.where(strip(F.coalesce("text", F.lit(""))) != "").select(
+        F.col("episode_id").cast("string").alias("episode_id"), "segment_id", "start_seconds", "end_seconds", "speaker", "text")
+    parts = split_oversized(spoken, max_chars)
+    numbered = scan(parts, ["episode_id"], ["source_segment_id", "part"], position_block("source_segment_id"),
+                    total={"_before": F.lit(1).cast("long")})
+    rows = numbered.withColumn("pos", F.coalesce("_before", F.lit(0)).cast("long")).drop("_before")
+    # Lengths, then texts are read: the split is worked out once.
+    rows = materialize(rows, "chunk-parts")
+    return chunk_rows(rows, chunk_ranges(rows, max_chars, max_seconds, overlap, size=max(NODE, 2 * (max_chars + overlap + 4))))
+
+
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 256, salts: int = 16) -> None:
     """Chunk index partitioned by episode hash; a large episode is spread over
     ``salts`` files of its bucket."""

@@ -8,8 +8,9 @@ from earmark.functions.text import keyword_tokens
 from earmark.operators import chunking, transcripts
 from earmark.operators.captions import merge_captions
 from earmark.plans import views
-from earmark.plans.registry import query, table
+from earmark.plans.registry import SQL, query, table
 from earmark.plans.views import folded, ordered_distinct, searched, sql_clock, sql_clock_ms, sql_longest_repeat, with_views
+from earmark.session import scratch_path
 
 
 @query("normalized_segments", with_views("v_rolling v_kept", f"""
@@ -55,6 +56,24 @@ def chunks(spark, sf):
         "keyword_hints": F.array_join("keyword_hints", " ")})
 
 
+@query("chunk_index", SQL["chunks"])
+def chunk_index(spark, sf):
+    """The chunks written as an index by episode and read back."""
+    path = scratch_path(spark, "index")
+    chunking.write_chunks(chunks(spark, sf), path)
+    return spark.read.parquet(path).drop("bucket")
+
+
+@query("transcript_chunks")
+def transcript_chunks(spark, sf):
+    """Every source of documents as one transcript, a document a segment: empty ones left out, long ones split, then cut."""
+    docs = table(spark, sf, "documents").select(
+        F.coalesce("source", F.lit("")).alias("episode_id"), F.col("doc_id").alias("segment_id"), "text", F.col("lang").alias("speaker"),
+        F.lit(None).cast("double").alias("start_seconds"), F.lit(None).cast("double").alias("end_seconds"))
+    return chunking.transcript_chunks(docs).select(
+        "episode_id", "chunk_id", F.array_join("segment_ids", ",").alias("segment_ids"), "char_count", "text")
+
+
 @query("oversized_split", r"""
 WITH RECURSIVE big AS (
   SELECT CAST(doc_id AS VARCHAR) AS episode_id, trim(text, E' \n') AS text FROM documents WHERE length(trim(text, E' \n')) > 1000),

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from earmark.operators.captions import merge_captions
-from earmark.operators.chunking import chunk_ranges
+from earmark.operators.chunking import chunk_ranges, split_oversized, transcript_chunks
 from earmark.operators.ordered import neighbours, position_block, scan
 from pyspark.sql import functions as F
 
@@ -53,6 +53,24 @@ def test_chunks_do_not_depend_on_node_size(timed, size, fan, overlap):
         assert [x[1:] for x in found[episode]] == plain_chunks(segments, 50, 40.0, overlap)
 
 
+def test_whole_transcripts_are_chunked_in_one_call(spark):
+    rng, rows = random.Random(8), []
+    for episode in ("one", "two", None):
+        for i in range(0, 300, 3):  # numbers have gaps
+            text = rng.choice([None, "", " \n", "short words", "A sentence here. " * rng.randint(1, 12), "x" * rng.choice([59, 60, 61, 500])])
+            rows.append((episode, i, text, rng.choice(["A", None]), float(i), i + 2.5))
+    df = spark.createDataFrame(rows, "episode_id string, segment_id long, text string, speaker string, start_seconds double, end_seconds double")
+    got = sorted(transcript_chunks(df.where("episode_id IS NOT NULL"), 60, 40.0, 2).collect(), key=lambda r: (r.episode_id, r.chunk_id))
+    parts = split_oversized(df.where("trim(translate(text, '\n', ' ')) <> ''"), 60).collect()
+    for episode in ("one", "two"):
+        own = sorted((p for p in parts if p.episode_id == episode), key=lambda p: (p.source_segment_id, p.part))
+        assert all(0 < len(p.text.strip()) <= 60 for p in own) and any(p.part > 3 for p in own)
+        plain = plain_chunks([{"pos": i, "chars": len(p.text), "start": p.start_seconds, "end": p.end_seconds} for i, p in enumerate(own)], 60, 40.0, 2)
+        assert [(r.segment_ids, r.text) for r in got if r.episode_id == episode] == [
+            ([p.segment_id for p in own[a:b + 1]], " ".join(p.text.strip() for p in own[a:b + 1])) for a, b in plain]
+    assert transcript_chunks(df.limit(0)).count() == 0
+
+
 def plain_merge(cues):
     kept = []
     for cue in cues:
