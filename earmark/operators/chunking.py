@@ -46,12 +46,18 @@ def split_oversized(segments: DataFrame, max_chars: int = fixed.MAX_CHARS) -> Da
         lambda i: F.substring(s, i * max_chars + 1, F.lit(max_chars)))))
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
+    def trimmed(joined: Column) -> Column:
+        # Nearly all are trimmed already; their two edges say so without a search of the whole text.
+        edges = F.concat(F.substring(joined, 1, 1), F.substring(joined, -1, 1))
+        return F.when(F.regexp_like(edges, F.lit(f"(?U){fixed.WS}")), strip(joined)).otherwise(joined)
+
     def pack(state: Column, unit: Column) -> Column:
-        joined = strip(F.concat(state["open"], F.lit(" "), unit))
-        full = (state["open"] != "") & (F.length(joined) > max_chars)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
-            F.when(full, unit).otherwise(joined).alias("open"))
+        def added(joined: Column) -> Column:
+            full = (state["open"] != "") & (F.length(joined) > max_chars)
+            return F.when(full, F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), unit.alias("open"))).otherwise(
+                F.struct(state["done"].alias("done"), joined.alias("open")))
+
+        return let(let(F.concat(state["open"], F.lit(" "), unit), trimmed), added)
 
     parts = F.aggregate(units, empty, pack, lambda s: F.when(
         s["open"] != "", F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
