@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from earmark.functions.text import strip
+from earmark.functions.text import let, strip
 
 _NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
@@ -19,8 +19,10 @@ def _whole(c: Column) -> Column:
 
 def to_seconds(c: Column) -> Column:
     """``1:02:03.5``, ``02:03,5``, ``90``, ``1500ms`` or ``1.5s``; else null."""
-    text = F.replace(strip(c), F.lit(","), F.lit("."))
-    part = F.split(text, ":")
+    return let(F.replace(strip(c), F.lit(","), F.lit(".")), lambda text: let(F.split(text, ":"), lambda part: _seconds(text, part)))
+
+
+def _seconds(text: Column, part: Column) -> Column:
     at = lambda i: _number(F.get(part, F.lit(i)))
     return (
         F.when(F.endswith(text, F.lit("ms")), _number(F.regexp_replace(text, "ms$", "")) / 1000)
@@ -70,21 +72,29 @@ def end_or_start(end: Column, start: Column) -> Column:
 
 def published_at(c: Column) -> Column:
     """Mail-style or ISO date with or without zone; a missing zone is UTC."""
-    bare = F.regexp_replace(strip(c), r"^[A-Za-z]{3,9},?\s+", "")
+    iso_day = F.regexp_like(c, F.lit(r"^\s*\d{4}-\d{2}-\d{2}"))
+    return let(strip(c), lambda text: _published(text, iso_day))
+
+
+def _published(c: Column, iso_day: Column) -> Column:
+    bare = F.regexp_replace(c, r"^[A-Za-z]{3,9},?\s+", "")
     bare = F.regexp_replace(bare, r"\s*\([^)]*\)$", "")
-    zoned = F.when(F.regexp_like(bare, F.lit(r"(?:[A-Za-z]{1,5}|[+-]\d{2}:?\d{2})$")), bare).otherwise(F.concat(bare, F.lit(" +0000")))
+    zoned = let(bare, lambda b: F.when(F.regexp_like(b, F.lit(r"(?:[A-Za-z]{1,5}|[+-]\d{2}:?\d{2})$")), b).otherwise(F.concat(b, F.lit(" +0000"))))
+    day = F.regexp_like(c, F.lit(r"^\d{4}-\d{2}-\d{2}$"))
+    zone = F.regexp_like(c, F.lit(r"(?:[A-Za-z]|:\d{2}[+-]\d{2}:?\d{0,2})$"))
+    utc = F.when(day, F.concat(c, F.lit("T00:00:00Z"))).when(zone, c).otherwise(F.concat(c, F.lit("Z")))
+    iso = F.when(iso_day, F.try_to_timestamp(utc))
+    return F.coalesce(iso, let(zoned, _mail_date))
+
+
+def _mail_date(zoned: Column) -> Column:
     # One pattern is chosen by shape, so a date is parsed only once.
     numeric = F.regexp_like(zoned, F.lit(r"[+-]\d{2}:?\d{2}$"))
     parse = lambda pattern: F.try_to_timestamp(zoned, F.lit(pattern))
     full = F.regexp_like(zoned, F.lit(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}"))
     short = F.regexp_like(zoned, F.lit(r"^\d{1,2} [A-Za-z]{3} \d{2} \d{1,2}:\d{2}"))
-    mail = (F.when(full & numeric, parse("d MMM yyyy H:mm[:ss] Z")).when(full, parse("d MMM yyyy H:mm[:ss] z"))
+    return (F.when(full & numeric, parse("d MMM yyyy H:mm[:ss] Z")).when(full, parse("d MMM yyyy H:mm[:ss] z"))
             .when(short & numeric, parse("d MMM yy H:mm[:ss] Z")).when(short, parse("d MMM yy H:mm[:ss] z")))
-    day = F.regexp_like(strip(c), F.lit(r"^\d{4}-\d{2}-\d{2}$"))
-    zone = F.regexp_like(strip(c), F.lit(r"(?:[A-Za-z]|:\d{2}[+-]\d{2}:?\d{0,2})$"))
-    utc = F.when(day, F.concat(strip(c), F.lit("T00:00:00Z"))).when(zone, strip(c)).otherwise(F.concat(strip(c), F.lit("Z")))
-    iso = F.when(F.regexp_like(c, F.lit(r"^\s*\d{4}-\d{2}-\d{2}")), F.try_to_timestamp(utc))
-    return F.coalesce(iso, mail)
 
 
 def epoch_micros(c: Column) -> Column:

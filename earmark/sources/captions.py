@@ -44,13 +44,12 @@ def caption_cues(text: Column) -> Column:
     block = rf"(?m)^([^\n]*?{fixed.CUE_RANGE}[^\n]*(?:\n(?=[^\n]*\S)[^\n]*)*+)"
     blocks = F.regexp_extract_all(text, F.lit(block), 1)
 
-    def cue(b: Column) -> Column:
-        body = F.array_join(F.transform(F.slice(F.split(b, "\n"), 2, F.size(F.split(b, "\n"))), strip), " ")
-        said = speaker_and_text(body)
-        at = lambda i: to_seconds(F.regexp_extract(F.split(b, "\n")[0], fixed.CUE_RANGE, i))
-        return _cue(at(1), at(2), said["speaker"], said["text"])
+    def cue(lines: Column) -> Column:
+        body = F.array_join(F.transform(F.slice(lines, 2, F.size(lines)), strip), " ")
+        return let(speaker_and_text(body), lambda said: let(lines[0], lambda times: _cue(
+            *[to_seconds(F.regexp_extract(times, fixed.CUE_RANGE, i)) for i in (1, 2)], said["speaker"], said["text"])))
 
-    return F.transform(blocks, cue)
+    return F.transform(blocks, lambda b: let(F.split(b, "\n"), cue))
 
 
 def line_cues(text: Column) -> Column:
@@ -69,9 +68,9 @@ def _timed_lines(timed: Column) -> Column:
     starts = F.transform(timed, lambda x: to_seconds(F.regexp_extract(x, fixed.BRACKET_LINE, 1)))
 
     def cue(line: Column, i: Column, at: Column) -> Column:
-        said = speaker_and_text(F.regexp_extract(line, fixed.BRACKET_LINE, 2))
         # The next line's time, whether or not that line has text.
-        return _cue(F.get(at, i), F.get(at, i + 1), said["speaker"], said["text"])
+        return let(speaker_and_text(F.regexp_extract(line, fixed.BRACKET_LINE, 2)), lambda said: _cue(
+            F.get(at, i), F.get(at, i + 1), said["speaker"], said["text"]))
 
     return let(starts, lambda at: F.transform(timed, lambda line, i: cue(line, i, at)))
 
@@ -80,13 +79,12 @@ def ass_cues(text: Column) -> Column:
     """ASS dialogue lines of exactly ten fields; the last keeps its commas."""
     said = F.filter(_lines(text), lambda x: F.regexp_like(x, F.lit(r"(?i)^\s*dialogue:")))
 
-    def cue(line: Column) -> Column:
-        f = F.split(F.regexp_replace(line, r"^[^:]*:", ""), ",", 10)
+    def cue(f: Column) -> Column:
         body = F.replace(F.replace(F.regexp_replace(F.get(f, F.lit(9)), r"\{[^}]*\}", ""), F.lit("\\N"), F.lit(" ")), F.lit("\\n"), F.lit(" "))
         return _cue(to_seconds(F.get(f, F.lit(1))), to_seconds(F.get(f, F.lit(2))),
                     F.nullif(strip(F.get(f, F.lit(4))), F.lit("")), clean_text(body))
 
-    return F.transform(said, cue)
+    return F.transform(said, lambda line: let(F.split(F.regexp_replace(line, r"^[^:]*:", ""), ",", 10), cue))
 
 
 def _attribute(tag: Column, name: str) -> Column:
