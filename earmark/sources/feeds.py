@@ -20,23 +20,25 @@ def _node_text(raw: Column) -> Column:
 
 
 def _children(item: Column) -> Column:
-    """The elements directly below an item; what is nested in them is part of them."""
+    """``name`` (lower case, without prefix) and ``inner`` of the elements directly below an item; what is nested in them is part of them."""
     inner = F.regexp_replace(item, r"^<[^>]*>", "")
-    return F.regexp_extract_all(inner, F.lit(r"(?is)(<((?:[\w.-]+:)?[\w.-]+)(?:\s[^>]*)?(?<!/)>.*?</\2\s*>)"), 1)
+    found = F.regexp_extract_all(inner, F.lit(r"(?is)(<((?:[\w.-]+:)?[\w.-]+)(?:\s[^>]*)?(?<!/)>.*?</\2\s*>)"), 1)
+    return F.transform(found, lambda c: F.struct(
+        F.lower(F.regexp_extract(c, r"^<(?:[\w.-]+:)?([\w.-]+)", 1)).alias("name"),
+        F.regexp_extract(c, r"(?s)^<[^>]*>(.*)</[^>]*>$", 1).alias("inner")))
 
 
 def _first_text(children: Column, *names: str) -> Column:
     """Text of the first named child that has some, in document order."""
-    pattern = rf"(?is)^<(?:[\w.-]+:)?(?:{'|'.join(names)})(?:\s[^>]*)?>(.*)</[^>]*>$"
-    named = F.filter(children, lambda c: F.regexp_like(c, F.lit(pattern)))
-    texts = F.transform(named, lambda c: let(F.regexp_extract(c, pattern, 1), _node_text))
+    texts = F.transform(F.filter(children, lambda c: c["name"].isin(*names)), lambda c: let(c["inner"], _node_text))
     return F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), F.lit(""))
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of a tag's attribute, or empty."""
-    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return let(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]), unescape)
+    pattern = rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    bare = lambda raw: F.when(F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'")), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return unescape(let(F.regexp_extract(tag, pattern, 1), bare))
 
 
 def parse_feeds(files: DataFrame) -> DataFrame:
@@ -45,19 +47,19 @@ def parse_feeds(files: DataFrame) -> DataFrame:
     item, base = F.col("item"), F.col("_base")
 
     def tag(t: Column) -> Column:
-        href = F.coalesce(F.nullif(attribute(t, "href"), F.lit("")), attribute(t, "url"))
-        kind = F.lower(attribute(t, "type"))
-        return F.struct(
+        link = let(attribute(t, "href"), lambda h: F.when(h == "", attribute(t, "url")).otherwise(h))
+        return let(link, lambda href: let(F.lower(attribute(t, "type")), lambda kind: F.struct(
             F.lower(F.regexp_extract(t, r"(?i)^<(?:[\w.-]+:)?(\w+)", 1)).alias("name"), href.alias("href"),
             F.startswith(kind, F.lit("audio/")).alias("audio"), F.lower(attribute(t, "rel")).alias("rel"),
-            let(href, lambda h: suffix(split_url(h).path)).isin(fixed.MEDIA_SUFFIXES).alias("named"))
+            suffix(split_url(href).path).isin(fixed.MEDIA_SUFFIXES).alias("named"))))
 
     rows = items.withColumn("_base", url_base(F.col("feed_url"))).withColumn("children", _children(item)).withColumn("tags", F.filter(
         F.transform(F.regexp_extract_all(item, F.lit(_TAG), 1), tag), lambda t: t["href"] != ""))
     media = lambda t: t["audio"] | t["named"]
     enclosures = F.filter("tags", lambda t: (t["name"] == "enclosure") & media(t))
     links = F.filter("tags", lambda t: t["name"] == "link")
-    url = lambda array, i: resolve_url(base, F.get(array, F.lit(i))["href"])
+    first = lambda array: F.get(array, F.lit(0))["href"]
+    url = lambda link: let(link, lambda l: F.when(l.isNotNull(), resolve_url(base, l)))
     audio_links = F.filter(links, lambda t: t["audio"])
     sets_audio = lambda t: ((t["name"] == "enclosure") & media(t)) | ((t["name"] == "link") & t["audio"])
     # An audio link counts as a page link only once the audio is known.
@@ -68,9 +70,8 @@ def parse_feeds(files: DataFrame) -> DataFrame:
         _first_text(F.col("children"), "title").alias("title"), _first_text(F.col("children"), "guid", "id").alias("guid"),
         _first_text(F.col("children"), "pubdate", "published", "updated", "date").alias("published"),
         F.nullif(_first_text(F.col("children"), "duration"), F.lit("")).alias("duration"),
-        F.when(F.size(page_links) > 0, url(page_links, 0)).alias("episode_url"),
-        F.when(F.size(enclosures) > 0, resolve_url(base, F.get(F.reverse(enclosures), F.lit(0))["href"]))
-        .when(F.size(audio_links) > 0, url(audio_links, 0)).alias("audio_url"),
+        url(first(page_links)).alias("episode_url"),
+        url(F.coalesce(first(F.reverse(enclosures)), first(audio_links))).alias("audio_url"),
         F.transform(F.filter("tags", lambda t: t["name"] == "transcript"), lambda t: resolve_url(base, t["href"])).alias("transcript_urls"),
         strip_markup(_first_text(F.col("children"), "description", "summary", "content", "encoded")).alias("description"))
 
