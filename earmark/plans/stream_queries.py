@@ -14,11 +14,16 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 
 def _as_stream(rows, name: str, files: int = 4, per_batch: int = 2):
-    """``rows`` written as files and read back as a stream, in file order."""
+    """``rows`` written as files and read back as a stream, in file order.
+
+    There are as many files as a shuffle has parts, so none grows with the
+    input; the number of batches stays that of ``files`` by ``per_batch``.
+    """
     spark = rows.sparkSession
     path = scratch_path(spark, name)
-    rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    parts = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(parts).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-parts * per_batch // files)).parquet(path)
 
 
 def _run(stream, name: str):
