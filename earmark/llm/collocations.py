@@ -1,24 +1,30 @@
 """Phrases that belong together, by dynamic itemset counting over cyclic shard scans.
 
-Texts become runs of word ids in ``SHARDS`` shards, which are scanned in turn,
-round and round. Words are counted from the first shard on. A longer phrase is
+Texts become runs of word ids in ``SHARDS`` shards, and words are counted on the
+way. The shards are scanned in turn, round and round. A longer phrase is
 counted from the step after which both its subphrases (without its last word,
 without its first) have been seen often enough so far, however few shards that
 took, until it has been through every shard once. So lengths interleave, and
 the scans end when nothing has become frequent for a full cycle: what could
 have been activated has been seen everywhere by then.
 
-A scan must not make every phrase of its shard. A bitmap of fixed size holds a
-digest's bit for each phrase that is frequent so far, and bits are only ever
-set. A phrase is activated when the bits of both its subphrases are set (and
+Counters that stay behind are given up: one is kept while it has at least the part
+of ``least`` that the shards it has been through are of all. Seen again, the phrase
+begins anew. A phrase that is there ``least`` times has a shard, going round, from which it
+never stays behind, so it is counted through a whole cycle from there or from
+before. For that, what begins in its first cycle is followed for another one.
+
+A scan must not make every phrase of its shard. Bitmaps of fixed size hold a
+digest's bit for each phrase that is frequent so far, where bits are only ever
+set, and for each open counter. A phrase is activated when the bits of both its subphrases are set (and
 theirs, down to its words), and is counted in the steps where that is so but
-was not yet so a cycle ago: in every shard exactly once. A bit that two phrases share at most activates a
-phrase in vain, whose count is right all the same. Counts live in a table that each step merges with
+was not yet so a cycle ago, and later while its counter is open. A bit that two phrases share at most counts a
+phrase in vain; a counter that is through doesn't change. Counts live in a table that each step merges with
 the shard's counts in one aggregate, with sums taken before the shuffle.
 
-A word's id is a digest of its language and itself. In the end the texts are
-read once more for the words of the frequent ids; should two have one id, all
-is done again with another seed. A phrase is the bytes of its ids.
+A word's id is half of a digest of its language and itself; should two frequent words
+have one id, the other half tells, and all is done again with another seed. A phrase is the bytes of its ids.
+In the end the texts are read once more for the words of phrases that may be returned.
 
 Null texts have no words, a null language is ``und``, repeated rows count again,
 an empty table gives no row, and other columns aren't read.
@@ -35,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from earmark.llm.common import Scratch, give_back, slices
+from earmark.llm.common import Scratch, give_back, slices, without_old_shuffles
 
 LEAST, LONGEST, TOP = 100, 5, 2_000
 SHARDS = 2
@@ -48,7 +54,9 @@ PARTS = 64
 #: What ends a piece, as a byte that no UTF-8 text has.
 BREAK = b"\xff"
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
-TOKENS = "shard int, ids array<bigint>, lang string, n bigint"
+#: Shards of totals and of words.
+TOTALS, WORDS = -1, -2
+TOKENS = "shard int, ids array<bigint>, checks array<bigint>, counts array<bigint>, code bigint, lang string, n bigint"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -56,30 +64,43 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().translate(_BREAKS).replace(BREAK, b" \xff ").split()
 
 
-class Ids(dict):
-    """Ids by word of one language; 0 for the end of a piece."""
+def digest(lang: bytes, word: bytes, seed: int) -> bytes:
+    """A word's id and a second number to tell it from another word with that id, eight bytes each."""
+    value = xxhash.xxh3_128_digest(lang + b"\0" + word, seed)
+    return value if any(value[:8]) else b"\1" + value[1:]
+
+
+class Numbers(dict):
+    """Numbers by word of one language, whose digests go to ``digests``; 0 for the end of a piece."""
 
-    def __init__(self, lang: str, seed: int):
+    def __init__(self, lang: str, seed: int, digests: bytearray):
         super().__init__({BREAK: 0})
-        self.digest, self.seed = lang.encode() + b"\0", seed
+        self.lang, self.seed, self.digests, self.places = lang.encode(), seed, digests, []
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(self.digest + word, self.seed)
-        self[word] = value = (value - (1 << 64) if value >> 63 else value) or 1
+        self[word] = value = len(self.digests) // 16
+        self.digests += digest(self.lang, word, self.seed)
+        self.places.append(value)
         return value
 
 
+def code_of(lang: str, seed: int) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(lang.encode(), seed), "little", signed=True)
+
+
 def _shards(shards: int, seed: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        known: dict[str, Ids] = {}
+        known: dict[str, Numbers] = {}
+        digests = bytearray(16)  # of all words in ``known``
+        counts = np.zeros(1, dtype=np.int64)
         totals: dict[str, int] = {}
         held: list[np.ndarray] = []
 
-        def batch_of(shard: list[int], ids=None, lang=None, n=None) -> pa.RecordBatch:
-            types = {"ids": pa.list_(pa.int64()), "lang": pa.string(), "n": pa.int64()}
-            given = [pa.nulls(len(shard), t) if x is None else pa.array(x, type=t) for x, t in zip((ids, lang, n), types.values(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(shard, type=pa.int32()), *given], names=["shard", *types])
+        def batch_of(shard: list[int], **given: list) -> pa.RecordBatch:
+            types = {"ids": pa.list_(pa.int64()), "checks": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()), "code": pa.int64(), "lang": pa.string(), "n": pa.int64()}
+            columns = [pa.array(given[c], type=t) if c in given else pa.nulls(len(shard), t) for c, t in types.items()]
+            return pa.RecordBatch.from_arrays([pa.array(shard, type=pa.int32()), *columns], names=["shard", *types])
 
         def full() -> Iterator[pa.RecordBatch]:
             nonlocal number
@@ -92,36 +113,56 @@ def _shards(shards: int, seed: int):
                 yield batch_of([number % shards], ids=[every[at:cut]])
                 number, at = number + 1, cut
 
+        def words() -> Iterator[pa.RecordBatch]:
+            nonlocal counts
+            both = np.frombuffer(bytes(digests), dtype="<i8").reshape(-1, 2)
+            for lang, numbers in known.items():
+                for at in range(0, len(numbers.places), ROW):
+                    some = numbers.places[at:at + ROW]
+                    yield batch_of([WORDS], ids=[both[some, 0]], checks=[both[some, 1]], counts=[counts[some]], code=[code_of(lang, seed)])
+            known.clear()
+            digests[16:] = b""
+            counts = np.zeros(1, dtype=np.int64)
+
         for batch in batches:
             langs, at = batch.column("lang").to_pylist(), 0
             for texts in slices(batch.column("text"), 1 << 20):
+                found: list[np.ndarray] = []
                 for text in texts:
                     lang, at = langs[at], at + 1
                     lang = "und" if lang is None else lang
-                    ids = known.get(lang)
-                    if ids is None:
-                        ids = known[lang] = Ids(lang, seed)
+                    numbers = known.get(lang)
+                    if numbers is None:
+                        numbers = known[lang] = Numbers(lang, seed, digests)
                     some = tokens(text)
-                    one = np.fromiter(map(ids.__getitem__, some), dtype=np.int64, count=len(some))
+                    one = np.fromiter(map(numbers.__getitem__, some), dtype=np.int64, count=len(some))
                     totals[lang] = totals.get(lang, 0) + int(np.count_nonzero(one))
-                    held += [one, np.zeros(1, dtype=np.int64)]
+                    found += [one, np.zeros(1, dtype=np.int64)]
+                ids = np.frombuffer(bytes(digests), dtype="<i8")[::2]
+                counts = np.pad(counts, (0, len(ids) - len(counts)))
+                every = np.concatenate(found)
+                counts += np.bincount(every, minlength=len(ids))
+                for one in found:
+                    held.append(ids[one])
                     if sum(map(len, held)) >= ROW:
                         yield from full()
-                if sum(map(len, known.values())) > REMEMBERED:
-                    known.clear()
+                if len(ids) > REMEMBERED:
+                    yield from words()
         if held:
             yield from full()
-        yield batch_of([-1] * len(totals), lang=list(totals), n=list(totals.values()))
+        yield from words()
+        yield batch_of([TOTALS] * len(totals), lang=list(totals), n=list(totals.values()), code=[code_of(x, seed) for x in totals])
         give_back()
 
     return rows
 
 
-def _names(frequent, seed: int):
-    """The words whose ids may be frequent."""
+def _names(wanted, seed: int):
+    """The words whose ids may be wanted, once a task."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, set[bytes]] = {}
+        said: dict[str, set[bytes]] = {}
         for batch in batches:
             langs, at = batch.column("lang").to_pylist(), 0
             for texts in slices(batch.column("text"), 1 << 20):
@@ -129,18 +170,19 @@ def _names(frequent, seed: int):
                     lang, at = langs[at], at + 1
                     seen.setdefault("und" if lang is None else lang, set()).update(tokens(text))
                 if sum(map(len, seen.values())) > REMEMBERED:
-                    yield from named(seen)
-        yield from named(seen)
+                    yield from named(seen, said)
+        yield from named(seen, said)
         give_back()
 
-    def named(seen: dict[str, set[bytes]]) -> Iterator[pa.RecordBatch]:
+    def named(seen: dict[str, set[bytes]], said: dict[str, set[bytes]]) -> Iterator[pa.RecordBatch]:
         for lang, some in seen.items():
-            some.discard(BREAK)
-            words, by_word = list(some), Ids(lang, seed)
-            ids = np.fromiter(map(by_word.__getitem__, words), dtype=np.int64, count=len(words))
-            there = np.flatnonzero(_has(frequent.value, mixed(np.full(len(ids), 1, dtype=np.uint64), ids))).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array([lang] * len(there), type=pa.string()), pa.array([words[i].decode() for i in there], type=pa.string())],
-                                             names=["id", "lang", "word"])
+            before = said.setdefault(lang, {BREAK})
+            words, code = list(some - before), lang.encode()
+            ids = np.frombuffer(b"".join(digest(code, w, seed) for w in words), dtype="<i8")[::2]
+            there = np.flatnonzero(_has(wanted.value, mixed(np.full(len(ids), 1, dtype=np.uint64), ids)))
+            found = [words[i] for i in there.tolist()]
+            before.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array([w.decode() for w in found], type=pa.string())], names=["id", "word"])
         seen.clear()
 
     return names
@@ -176,12 +218,10 @@ def _phrases(ids: np.ndarray, at: np.ndarray, digests: np.ndarray, k: int) -> pa
     return pa.RecordBatch.from_arrays([phrase, pa.array(n.astype(np.int64))], names=["phrase", "n"])
 
 
-def counted(ids: np.ndarray, frequent: np.ndarray, before: np.ndarray, words: bool, longest: int) -> Iterator[pa.RecordBatch]:
-    """The phrases of ``ids`` to count: words if asked for, longer ones by the bitmaps of now and of a cycle ago."""
+def counted(ids: np.ndarray, frequent: np.ndarray, before: np.ndarray, open_: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of ``ids`` to count, by the bitmaps of now and of a cycle ago, and by that of open counters."""
     at = np.flatnonzero(ids)
     digests = mixed(np.full(len(at), 1, dtype=np.uint64), ids[at])
-    if words:
-        yield _phrases(ids, at, digests, 1)
     were = np.ones(len(at), dtype=bool)  # whether they were counted a cycle ago
     for k in range(2, longest + 1):
         # Of the phrases one shorter, those frequent so far, and which of them were so a cycle ago.
@@ -193,21 +233,22 @@ def counted(ids: np.ndarray, frequent: np.ndarray, before: np.ndarray, words: bo
         both = both[ids[at[both] + k - 1] != 0]
         were = old[both] & old[both + 1]
         at, digests = at[both], mixed(digests[both], ids[at[both] + k - 1])
-        if not were.all():
-            yield _phrases(ids, at[~were], digests[~were], k)
+        count = ~were | _has(open_, digests)
+        if count.any():
+            yield _phrases(ids, at[count], digests[count], k)
 
 
-def _scan(frequent, before, words: bool, longest: int):
+def _scan(frequent, before, open_, longest: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
             for row in batch.column("ids"):
                 held.append(np.append(row.values.to_numpy(), np.zeros(longest, dtype=np.int64)))
                 if sum(map(len, held)) >= CHUNK:
-                    yield from counted(np.concatenate(held), frequent.value, before.value, words, longest)
+                    yield from counted(np.concatenate(held), frequent.value, before.value, open_.value, longest)
                     held = []
         if held:
-            yield from counted(np.concatenate(held), frequent.value, before.value, words, longest)
+            yield from counted(np.concatenate(held), frequent.value, before.value, open_.value, longest)
         give_back()
 
     return scan
@@ -237,26 +278,32 @@ def bitmap_of(phrases: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def frequent_phrases(shards: DataFrame, scratch: Scratch, n_shards: int, least: int, longest: int, bits: int) -> DataFrame:
-    """``phrase`` and ``f`` of all phrases of up to ``longest`` words that are there ``least`` times."""
+def frequent_phrases(shards: DataFrame, words: DataFrame, scratch: Scratch, n_shards: int, least: int, longest: int, bits: int) -> DataFrame:
+    """``phrase`` and ``f`` of all phrases of 2 to ``longest`` words that are there ``least`` times; ``words`` has the ``phrase`` of frequent words."""
     spark = scratch.spark
-    state, step, last = spark.createDataFrame([], "phrase binary, f bigint, since int, risen int"), 0, 0
-    bitmaps = [np.zeros(bits // 64, dtype=np.uint64)] * (n_shards + 1)  # those of the last cycle
-    while step < n_shards or step <= last + n_shards:
-        shared = [spark.sparkContext.broadcast(b) for b in (bitmaps[-1], bitmaps[0])]
+    state, step, last = spark.createDataFrame([], "phrase binary, f bigint, since int, risen int"), 0, -1
+    none = np.zeros(bits // 64, dtype=np.uint64)
+    bitmaps, open_ = [*[none] * n_shards, bitmap_of(words, bits)], none  # those of the last cycle
+    # What begins in the cycle after the last change is through a cycle later.
+    while step <= last + n_shards or (open_.any() and step < last + 2 * n_shards):
+        shared = [spark.sparkContext.broadcast(b) for b in (bitmaps[-1], bitmaps[0], open_)]
         here = shards.where(F.col("shard") == step % n_shards).select("ids")
-        new = here.mapInArrow(_scan(*shared, step < n_shards, longest), "phrase binary, n bigint")
-        both = state.unionByName(new.select("phrase", F.col("n").alias("f"), F.lit(step).alias("since"), F.lit(None).cast("int").alias("risen")))
-        merged = both.groupBy("phrase").agg(F.sum("f").alias("f"), F.min("since").alias("since"), F.min("risen").alias("risen"))
-        merged = merged.withColumn("risen", F.coalesce("risen", F.when(F.col("f") >= least, step)))
+        new = here.mapInArrow(_scan(*shared, longest), "phrase binary, n bigint")
+        both = state.select("phrase", "f", F.lit(0).cast("long").alias("n"), "since", "risen").unionByName(
+            new.select("phrase", F.lit(0).cast("long").alias("f"), "n", F.lit(step).alias("since"), F.lit(None).cast("int").alias("risen")))
+        merged = both.groupBy("phrase").agg(F.sum("f").alias("f"), F.sum("n").alias("n"), F.min("since").alias("since"), F.min("risen").alias("risen"))
         # What was first seen a cycle ago has its whole count.
-        old, state = state, scratch.table(merged.where((F.col("f") >= least) | (F.col("since") + (n_shards - 1) > step)), f"state-{step}")
+        merged = merged.withColumn("f", F.col("f") + F.when(F.col("since") + n_shards > step, F.col("n")).otherwise(0)).drop("n")
+        merged = merged.withColumn("risen", F.coalesce("risen", F.when(F.col("f") >= least, step)))
+        been = F.least(F.lit(step + 1) - F.col("since"), F.lit(n_shards))
+        old, state = state, scratch.table(merged.where(F.col("f") * n_shards >= been * F.lit(least).cast("long")), f"state-{step}")
         if step:
             scratch.drop(old)
         for b in shared:
             b.destroy()
         risen = state.where((F.col("risen") == step) & (F.length("phrase") < 8 * longest))
         bitmaps = [*bitmaps[1:], bitmaps[-1] | bitmap_of(risen, bits)]
+        open_ = bitmap_of(state.where(F.col("since") + n_shards > step + 1), bits)
         last = step if (bitmaps[-1] != bitmaps[-2]).any() else last
         step += 1
     return state.where("risen IS NOT NULL").select("phrase", "f")
@@ -264,23 +311,24 @@ def frequent_phrases(shards: DataFrame, scratch: Scratch, n_shards: int, least:
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n`` and ``score`` of each language's ``top`` phrases; ``docs`` has ``text`` and ``lang``."""
-    scratch, seed = Scratch(docs.sparkSession, "collocations"), 0
+    spark = docs.sparkSession
+    scratch, seed, done = Scratch(spark, "collocations"), 0, []
     while True:
         path = scratch.path("shards")
         docs.select("text", "lang").mapInArrow(_shards(shards, seed), TOKENS).write.partitionBy("shard").parquet(path)
-        every = docs.sparkSession.read.schema(TOKENS).parquet(path)
-        frequent = frequent_phrases(every, scratch, shards, least, longest, bits)
-        ids = frequent.where(F.length("phrase") == 8).select(F.col("phrase").alias("word_id"))
-        shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(F.col("word_id").alias("phrase")), bits))
-        said = docs.select("text", "lang").mapInArrow(_names(shared, seed), "id bigint, lang string, word string").distinct()
-        names = scratch.table(said.select(_bytes("id").alias("word_id"), "lang", "word").join(ids, "word_id", "left_semi"), "names")
-        shared.destroy()
-        if names.groupBy("word_id").count().where("count > 1").isEmpty():
+        every = spark.read.schema(TOKENS).parquet(path)
+        totals = every.where(F.col("shard") == TOTALS).groupBy("code", "lang").agg(F.sum("n").alias("n"))
+        words = every.where(F.col("shard") == WORDS).select("code", F.inline(F.arrays_zip("ids", "checks", "counts"))).groupBy("ids").agg(
+            F.sum("counts").alias("f"), F.min("code").alias("code"), (F.min("checks") < F.max("checks")).alias("two")).where(F.col("f") >= least)
+        without_old_shuffles(spark, lambda: done.append(scratch.table(words.select(_bytes("ids").alias("phrase"), "f", "code", "two"), "words")))
+        words = done.pop()
+        if words.where("two").isEmpty() and totals.groupBy("code").count().where("count > 1").isEmpty():
             break
         seed += 1
-    totals = every.where("shard = -1").groupBy("lang").agg(F.sum("n").alias("n"))
+    without_old_shuffles(spark, lambda: done.append(frequent_phrases(every, words, scratch, shards, least, longest, bits)))
+    found = done.pop()
+    frequent = words.select("phrase", "f").unionByName(found)
     size = F.length("phrase")
-    found = frequent.where(size > 8)
     # Within a longer one that is there as often; one word more is enough to look at, as counts only fall with length.
     wider = found.where(size > 16).select(F.explode(F.array(F.substring("phrase", F.lit(1), size - 8), F.substring("phrase", F.lit(9), size - 8))).alias("phrase"), F.col("f").alias("wide"))
     wider = wider.groupBy("phrase").agg(F.max("wide").alias("wide"))
@@ -288,14 +336,25 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     cut = alone.select("phrase", "a", F.explode(F.sequence(F.lit(1), (size / 8).cast("int") - 1)).alias("k"))
     cut = cut.select("phrase", "a", "k", F.substring("phrase", F.lit(1), F.col("k") * 8).alias("head"), F.substring("phrase", F.col("k") * 8 + 1, size - F.col("k") * 8).alias("tail"))
     cut = cut.join(frequent.select(F.col("phrase").alias("head"), F.col("f").alias("l")), "head").join(frequent.select(F.col("phrase").alias("tail"), F.col("f").alias("r")), "tail")
-    # Names: one row a word of a phrase.
-    places = alone.select("phrase", F.posexplode(F.transform(F.sequence(F.lit(1), size, F.lit(8)), lambda b: F.substring("phrase", b, F.lit(8)))).alias("at", "word_id"))
-    said = places.join(names, "word_id").groupBy("phrase").agg(F.max("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("said"))
-    scored = cut.join(said, "phrase").join(totals, "lang")
+    first = words.select(F.col("phrase").alias("first"), "code")
+    scored = cut.withColumn("first", F.substring("phrase", F.lit(1), F.lit(8))).join(first, "first").join(totals, "code")
     score = F.expr("(1000 * CAST(a AS DECIMAL(15,0)) * CAST(n AS DECIMAL(16,0))) DIV (CAST(l AS DECIMAL(15,0)) * CAST(r AS DECIMAL(15,0)))")
     worst = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("w")
-    rows = scored.groupBy("phrase").agg(F.first("lang").alias("lang"), F.first("said").alias("said"), F.first("a").alias("a"), F.first("n").alias("n"), worst)
-    rows = rows.select("lang", F.col("said").alias("phrase"), "a", "w.l", "w.r", "n", "w.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    rows = scored.groupBy("phrase").agg(F.first("lang").alias("lang"), F.first("a").alias("a"), F.first("n").alias("n"), worst)
+    rows = rows.select("lang", "phrase", "a", "w.l", "w.r", "n", "w.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    # Whatever its words, a phrase behind ``top`` better ones isn't returned, so it needs no name.
+    for within in (["lang", "part"], ["lang"]):
+        rows = rows.withColumn("rank", F.rank().over(Window.partitionBy(*within).orderBy(F.desc("score"), F.desc("a")))).where(F.col("rank") <= top)
+    without_old_shuffles(spark, lambda: done.append(scratch.table(rows, "best")))
+    rows = done.pop()
+    # Names: one row a word of a phrase.
+    places = rows.select("phrase", F.posexplode(F.transform(F.sequence(F.lit(1), size, F.lit(8)), lambda b: F.substring("phrase", b, F.lit(8)))).alias("at", "word_id"))
+    shared = spark.sparkContext.broadcast(bitmap_of(places.select(F.col("word_id").alias("phrase")).distinct(), bits))
+    names = docs.select("text", "lang").mapInArrow(_names(shared, seed), "id bigint, word string").distinct()
+    names = scratch.table(names.select(_bytes("id").alias("word_id"), "word").join(places.select("word_id").distinct(), "word_id", "left_semi"), "names")
+    shared.destroy()
+    said = places.join(names, "word_id").groupBy("phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("said"))
+    rows = rows.join(said, "phrase").withColumn("phrase", F.col("said"))
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     some = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")

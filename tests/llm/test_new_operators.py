@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -274,3 +275,47 @@ def test_collocation_scores_pass_64_bits(spark):
     one = spark.range(1).selectExpr("200000000000000L AS a", "3000000000000000L AS n", "400000000000000L AS l", "500000000000000L AS r")
     score = one.selectExpr("(1000 * CAST(a AS DECIMAL(15,0)) * CAST(n AS DECIMAL(16,0))) DIV (CAST(l AS DECIMAL(15,0)) * CAST(r AS DECIMAL(15,0))) AS s").first().s
     assert score == 1000 * 200000000000000 * 3000000000000000 // (400000000000000 * 500000000000000)
+
+
+def test_collocations_keep_few_counters_and_name_what_is_returned(spark, monkeypatch):
+    rng, sizes, made = random.Random(3), {}, collocations.Scratch.table
+
+    def table(self, df, name="t"):
+        out = made(self, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(collocations.Scratch, "table", table)
+    monkeypatch.setattr(collocations, "ROW", 100)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en") for i in range(100)]
+    # Some are only in the first or the last texts, so only in some shards.
+    rows = [(-i, " ".join(["north sea", rng.choice(words)] * 5), "en") for i in range(1, 9)] + rows
+    rows += [(1000 + i, " ".join(["south sea oil", rng.choice(words)] * 5), "en") for i in range(8)]
+    got = collocations.collocations(documents(spark, rows).coalesce(1), least=30, top=2, shards=3, bits=1 << 20).collect()
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == plain_collocations(rows, 30, top=2)
+    assert sizes["names"] < 10
+    assert max(n for name, n in sizes.items() if name.startswith("state")) < 100
+
+
+def test_collocations_with_two_words_of_one_id(spark, monkeypatch):
+    made = collocations._shards
+    york, city = (np.frombuffer(collocations.digest(b"en", w, 0), dtype="<i8")[0] for w in (b"york", b"city"))
+    seeds = []
+
+    def shards(n, seed):
+        seeds.append(seed)
+        rows = made(n, seed)
+
+        def changed(batches):
+            for batch in rows(batches):
+                ids = [None if x is None else [york if i == city else i for i in x] for x in batch.column("ids").to_pylist()]
+                yield batch if seed else batch.set_column(1, "ids", pa.array(ids, type=pa.list_(pa.int64())))
+
+        return changed
+
+    monkeypatch.setattr(collocations, "_shards", shards)
+    rows = phrase_rows(4, 80)
+    got = collocations.collocations(documents(spark, rows), least=4).collect()
+    assert seeds == [0, 1]
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == plain_collocations(rows, 4)
