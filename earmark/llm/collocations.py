@@ -49,6 +49,8 @@ SHARDS = 2
 BITS = 1 << 25
 #: Ids of a row of a shard, and ids worked on at a time; words a task remembers.
 ROW, CHUNK, REMEMBERED = 1 << 15, 1 << 20, 200_000
+#: Bytes of a dictionary in the files of shards. Ids are digests, which pack as numbers of a dictionary only; by default one has no room for the words of a file.
+DICTIONARY = 16 << 20
 #: Parts in which the best of a language are found before they are ranked.
 PARTS = 64
 #: What ends a piece, as a byte that no UTF-8 text has.
@@ -315,15 +317,19 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     scratch, seed, done = Scratch(spark, "collocations"), 0, []
     while True:
         path = scratch.path("shards")
-        docs.select("text", "lang").mapInArrow(_shards(shards, seed), TOKENS).write.partitionBy("shard").parquet(path)
+        write = docs.select("text", "lang").mapInArrow(_shards(shards, seed), TOKENS).write.partitionBy("shard")
+        write.option("parquet.dictionary.page.size", DICTIONARY).option("compression", "zstd").parquet(path)
         every = spark.read.schema(TOKENS).parquet(path)
         totals = every.where(F.col("shard") == TOTALS).groupBy("code", "lang").agg(F.sum("n").alias("n"))
         words = every.where(F.col("shard") == WORDS).select("code", F.inline(F.arrays_zip("ids", "checks", "counts"))).groupBy("ids").agg(
             F.sum("counts").alias("f"), F.min("code").alias("code"), (F.min("checks") < F.max("checks")).alias("two")).where(F.col("f") >= least)
         without_old_shuffles(spark, lambda: done.append(scratch.table(words.select(_bytes("ids").alias("phrase"), "f", "code", "two"), "words")))
         words = done.pop()
+        scratch.delete(f"{path}/shard={WORDS}")
         if words.where("two").isEmpty() and totals.groupBy("code").count().where("count > 1").isEmpty():
             break
+        scratch.delete(path)
+        scratch.drop(words)
         seed += 1
     without_old_shuffles(spark, lambda: done.append(frequent_phrases(every, words, scratch, shards, least, longest, bits)))
     found = done.pop()

@@ -44,15 +44,15 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            self._delete(t._scratch)
+            self.delete(t._scratch)
 
-    def _delete(self, path: str) -> None:
+    def delete(self, path: str) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
 
     def close(self) -> None:
         try:
-            self._delete(self.root)
+            self.delete(self.root)
         except Exception:  # the session has ended: its cluster clears the folder
             pass
 
