@@ -36,3 +36,15 @@ def test_long_runs_of_any_character_are_looked_at_once(spark):
     rows = spark.createDataFrame([("\U0001f600" * 20_000,), ("ab" * 10_000,)], "text string")
     assert [r[0] for r in rows.select(longest_repeat(F.col("text"))).collect()] == [20_000, 20_000]
     assert time.monotonic() - began < 30
+
+
+def test_spans_begin_at_any_place(spark):
+    """The test of every fifth place loses no run, of any width and wherever it begins, and lets texts without one go at once."""
+    unit = "abcdéf𝄞hijkl"
+    texts = [("zyxwvutsrq"[:lead] + unit[:w] * n + tail, (w * n if n >= (12 if w == 1 else 8) else 0))
+             for w in range(1, 13) for n in (7, 8, 12) for lead in range(8) for tail in ("", "!?")]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, text string")
+    got = dict(rows.select("i", longest_repeat(F.col("text")).alias("span")).collect())
+    assert [got[i] for i in range(len(texts))] == [span for _, span in texts]
+    plan = rows.select(longest_repeat(F.col("text")))._jdf.queryExecution().toString()
+    assert r"\A(?:.{5})*?(.{1,12}?)\1{3}" in plan
