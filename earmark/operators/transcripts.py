@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from earmark.functions import fixed
-from earmark.functions.text import casefold, clean_text, collapse, longest_repeat, strip, words
+from earmark.functions.text import casefold, clean_text, collapse, longest_repeat, longest_repeat_packed, strip, words
 from earmark.functions.times import clock, clock_ms, end_or_start, micros
 from earmark.functions.urls import seek_url
 from earmark.operators.captions import merge_captions, number_segments
@@ -156,11 +156,16 @@ def quality(segments: DataFrame, episodes: DataFrame | None = None) -> DataFrame
         F.max(F.when(F.col("timed"), F.col("end_seconds"))).alias("last_end"),
         F.count("confidence").alias("scored"), F.sum("confidence").alias("confidence"),
         F.count_if(F.col("confidence") < 0.5).alias("low"))
-    tokens = words(F.col("text"))
-    by_text = by_text.withColumns({
-        "folded": casefold(F.col("text")), "word_count": F.size(tokens), "chars": F.length("text"),
-        "stuck": (F.size(tokens) >= 8) & (F.size(F.array_distinct(F.split(casefold(F.col("text")), " "))) <= 2),
-        "span": longest_repeat(F.col("text")),
+    # Texts are collapsed already: words have one blank between them. Each is folded once.
+    folded = F.col("folded")
+    packed = F.replace(folded, F.lit(" "), F.lit(""))
+    blanks = F.length(folded) - F.length(packed)
+    distinct = lambda tokens: F.size(F.array_distinct(tokens))
+    by_text = by_text.withColumn("folded", casefold(F.col("text"))).withColumns({
+        "word_count": F.when(folded == "", 0).otherwise(blanks + 1), "chars": F.length("text"),
+        # Eight words in front tell of most texts that they have more than two.
+        "stuck": (blanks >= 7) & (distinct(F.slice(F.split(folded, " ", 9), 1, 8)) <= 2) & (distinct(F.split(folded, " ")) <= 2),
+        "span": longest_repeat_packed(packed),
     })
     n = F.col("n")
     pathological = F.col("span") >= 32

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from earmark.functions.text import longest_repeat
+from earmark.operators import transcripts
 
 
 def plain(text):
@@ -48,3 +49,14 @@ def test_spans_begin_at_any_place(spark):
     assert [got[i] for i in range(len(texts))] == [span for _, span in texts]
     plan = rows.select(longest_repeat(F.col("text")))._jdf.queryExecution().toString()
     assert r"\A(?:.{5})*?(.{1,12}?)\1{3}" in plan
+
+
+def test_quality_folds_each_text_once(spark):
+    rows = [("a", 0.0, 1.0, None, x) for x in ("ho " * 7, " HO ho  \x1cHo ho ho ho ho ho hey", "ha " * 8 + "hum hey", "", "ab" * 16, "A b " * 8)]
+    df = spark.createDataFrame(rows + [("b", 0.0, 1.0, None, "ho " * 7), ("b", 0.0, 1.0, None, "a b c d e f g a b")],
+                               "episode_id string, start_seconds double, end_seconds double, confidence double, text string")
+    out = transcripts.quality(df)
+    got = {r.episode_id: (r.words, r.characters, r.warnings, r.pathological_segments, r.max_repeated_span) for r in out.collect()}
+    assert got == {"a": (7 + 9 + 10 + 0 + 1 + 16, 20 + 27 + 31 + 0 + 32 + 31, ["repeated_tokens", "repeated_pattern"], 1, 32), "b": (16, 37, [], 0, 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
