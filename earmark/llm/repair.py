@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-from earmark.llm.common import SLICE_BYTES, Scratch, vocabulary_path
+from earmark.llm.common import SLICE_BYTES, Scratch, give_back, vocabulary_path
 
 WORD_49K, END = "word_bpe_49k.json", 1
 SHARD_TOKENS = 1 << 20
@@ -67,8 +67,7 @@ class Words:
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         parts = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
         self.cuts = all(parts) and [json.loads(x.__getstate__()) for x in parts] == RULES
-        self.of_cut = Tokenizer.from_file(path)  # for what is lowered and cut already
-        self.of_cut.normalizer = None
+        self.of_cut = Tokenizer(self.tokenizer.model)  # for what is lowered and cut already
         self.of_cut.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -264,28 +263,32 @@ class Shard:
         self.rules = rules.reshape(-1, 2)
         # Where each rule's expansion begins in one table of all of them.
         self.begins = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.table = np.zeros(int(self.lengths.sum()), dtype=np.int64)
-        for rule, (left, right) in enumerate(self.rules.tolist()):
-            at = int(self.begins[rule])
-            for symbol in (left, right):
-                if symbol < self.base:
-                    self.table[at] = symbol
-                    at += 1
-                else:
-                    a, n = int(self.begins[symbol - self.base]), int(self.lengths[symbol - self.base])
-                    self.table[at:at + n] = self.table[a:a + n]
-                    at += n
+        self.table = np.zeros(int(self.lengths.sum()), dtype="<u4")
+        # A rule is expanded once both its symbols are: level by level.
+        inner, level = np.maximum(self.rules - self.base, 0), np.zeros(n_rules, dtype=np.int64)
+        while n_rules:
+            next_level = 1 + np.where(self.rules < self.base, 0, level[inner]).max(axis=1)
+            if np.array_equal(next_level, level):
+                break
+            level = next_level
+        order = np.argsort(level, kind="stable")
+        for rules in np.split(order, np.flatnonzero(np.diff(level[order])) + 1):
+            size = self.lengths[rules]
+            at = np.repeat(self.begins[rules] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            self.table[at] = self.expand(self.rules[rules].ravel())
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         rule = symbols - self.base
         if not len(self.lengths):
             return symbols.astype("<u4")
-        length = np.where(rule < 0, 1, self.lengths[np.maximum(rule, 0)])
-        out = np.repeat(symbols, length)
-        packed = np.repeat(rule >= 0, length)
-        inner = np.arange(len(out)) - np.repeat(np.cumsum(length) - length, length)
-        out[packed] = self.table[(np.repeat(self.begins[np.maximum(rule, 0)], length) + inner)[packed]]
-        return out.astype("<u4")
+        plain, rule = rule < 0, np.maximum(rule, 0)
+        length = np.where(plain, 1, self.lengths[rule])
+        starts = np.cumsum(length) - length
+        at = np.repeat(np.where(plain, 0, self.begins[rule]) - starts, length)
+        at += np.arange(len(at))
+        out = self.table[at]
+        out[starts[plain]] = symbols[plain]
+        return out
 
     def document(self, k: int) -> np.ndarray:
         """The ids of one document; only its own symbols are expanded."""
@@ -326,6 +329,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, shard_tokens: i
                     size, at = size + len(held[-1]), at + 1
         if held:
             yield done()
+        give_back()
 
     order = ["doc_id", "digest"]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("digest"))

@@ -91,3 +91,14 @@ def test_places_too_wide_for_one_number():
         assert (got.tolist(), counts.tolist()) == ([3, 1, 0, 2], [1, 1, 2])
     big = [np.tile(np.array([1 << 31, 5, 1 << 31, 6], dtype=np.uint32), 50), np.zeros(0, dtype=np.uint32)]
     assert [x.tolist() for x in repair.Shard(repair.pack(big)).documents()] == [x.tolist() for x in big]
+
+
+def test_rules_are_expanded_level_by_level(monkeypatch):
+    calls, inner = [], repair.Shard.expand
+    monkeypatch.setattr(repair.Shard, "expand", lambda self, symbols: calls.append(len(symbols)) or inner(self, symbols))
+    rng = np.random.default_rng(5)
+    texts = [np.tile(rng.integers(0, 3000, 700).astype(np.uint32), 20), np.zeros(900, dtype=np.uint32), rng.integers(0, 40, 9000).astype(np.uint32)]
+    shard = repair.Shard(repair.pack(texts))
+    assert 2 <= len(calls) < 60 < 500 < len(shard.rules) and sum(calls) == 2 * len(shard.rules)
+    assert all(np.array_equal(shard.document(k), t) for k, t in enumerate(texts))
+    assert all(np.array_equal(a, t) for a, t in zip(shard.documents(), texts, strict=True))
