@@ -194,8 +194,9 @@ def replace_pairs(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np
         order, chosen = np.argsort(-counts, kind="stable"), counts >= least
         place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order))
-        every = at = at[np.repeat(chosen, counts)]
+        at = at[np.repeat(chosen, counts)]
         rank[at] = kind[at] = np.repeat(place[chosen], counts[chosen])
+        every = at = np.sort(at)  # neighbours in memory are read together
         taken = []
         while len(at):
             own, ahead = rank[at], rank[before[at]]
